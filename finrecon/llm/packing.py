@@ -31,7 +31,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = tokens.ChunkStore(tokens.byte_level(path))
+        store = tokens.store_of(path)
         for batch in batches:
             for first, ids, size in tokens.encoded(batch.column(1), store):
                 ends = np.cumsum(size)
@@ -80,7 +80,7 @@ def _recut(path: str, end_id: int):
     """Checksums of the parts of cut pieces; a text that is not the piece's own (ids given twice) is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = tokens.ChunkStore(tokens.byte_level(path))
+        store = tokens.store_of(path)
         for batch in batches:
             rows = batch.to_pylist()
             keep, sums = [], []

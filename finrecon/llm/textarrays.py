@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 #: The bytes that separate words, 0x20 and 0x09-0x0D.
 SPACES = np.zeros(256, bool)
@@ -53,6 +53,14 @@ def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def marked(n: int, *places: np.ndarray) -> np.ndarray:
+    """The places in 0..n that are in any of the arrays, in order."""
+    marks = np.zeros(n + 1, bool)
+    for p in places:
+        marks[p] = True
+    return np.flatnonzero(marks)
+
+
 class Texts:
     """Bytes of texts end to end; offsets has one more entry than there are texts."""
 
@@ -79,8 +87,7 @@ class Texts:
         ends[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = inside[offsets[1:][offsets[1:] > offsets[:-1]] - 1]
         stop = np.flatnonzero(ends) + 1
         if lead:
-            tail = offsets[1:][offsets[1:] > offsets[:-1]]
-            stop = np.union1d(stop, tail)
+            stop = marked(n, stop, offsets[1:][offsets[1:] > offsets[:-1]])
             start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
         else:
             start = np.flatnonzero(begins)

@@ -1,27 +1,29 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
 The pre-tokenizer of the vocabulary never joins text across the end of a run of non-space characters, so a text is encoded chunk by chunk,
-a chunk being a run of spaces with the run of other characters after it. Each distinct chunk is encoded once per task by ``tokenizers``
+a chunk being a run of spaces with the run of other characters after it, split further where an ASCII letter meets an ASCII mark other than the apostrophe. Each distinct chunk is encoded once per worker by ``tokenizers``
 and looked up by its hash afterwards. A chunk that ends in a space beyond ASCII stays joined to the next one, as the pre-tokenizer
-may join those. The store of a task holds at most ``STORED`` chunks and starts anew when full.
+may join those. The store of a worker holds at most ``STORED`` chunks and starts anew when full.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from finrecon.llm import textarrays as ta
 
-STORED = 1 << 21
+STORED, AT_ONCE = 1 << 21, 4096
 
 
 class ChunkStore:
-    """Ids of chunks by hash; encode turns a list of chunks (bytes) into a list of id lists."""
+    """Ids of chunks by hash; encode turns a list of chunks (bytes) into their ids end to end and the number of each."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
@@ -33,7 +35,7 @@ class ChunkStore:
 
     def look_up(self, hashes: np.ndarray, chunk: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(first position in ids, number of ids) for each of the hashes; chunk(i) gives the bytes of the i-th."""
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which, distinct = pd.factorize(hashes)
         if len(self.keys) + len(distinct) > STORED:
             self.clear()
         place = np.searchsorted(self.keys, distinct)
@@ -41,11 +43,19 @@ class ChunkStore:
         there = place < len(self.keys)
         new[there] = self.keys[place[there]] != distinct[there]
         if new.any():
-            found = self.encode([chunk(i) for i in first[new].tolist()])
-            size = np.fromiter(map(len, found), np.int64, len(found))
+            first = np.zeros(len(distinct), np.int64)
+            first[which[::-1]] = np.arange(len(hashes) - 1, -1, -1)
+            fresh = np.flatnonzero(new)
+            fresh = fresh[np.argsort(distinct[fresh])]
+            ids, size = [], []
+            for k in range(0, len(fresh), AT_ONCE):
+                found, own = self.encode([chunk(i) for i in first[fresh[k : k + AT_ONCE]].tolist()])
+                ids.append(found)
+                size.append(own)
+            size = np.concatenate(size)
             at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))])
-            self.at, self.size, self.keys = (np.insert(old, place[new], fresh) for old, fresh in ((self.at, at), (self.size, size), (self.keys, distinct[new])))
+            self.ids = np.concatenate([self.ids, *ids])
+            self.at, self.size, self.keys = (np.insert(old, place[fresh], own) for old, own in ((self.at, at), (self.size, size), (self.keys, distinct[fresh])))
             place = np.searchsorted(self.keys, distinct)
         return self.at[place][which], self.size[place][which]
 
@@ -55,14 +65,42 @@ def gathered(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
 
 
-def byte_level(path: str) -> Callable[[list[bytes]], list[list[int]]]:
+_stores: dict[str, ChunkStore] = {}
+
+
+def store_of(path: str) -> ChunkStore:
+    """The store for a vocabulary; a Python worker keeps it from task to task."""
+    if path not in _stores:
+        _stores[path] = ChunkStore(byte_level(path))
+    return _stores[path]
+
+
+def byte_level(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-
-    def encode(chunks: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+    line_end = tokenizer.encode("\n", add_special_tokens=False).ids[0]
+
+    def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        size, plain, other = np.zeros(len(texts), np.int64), [], []
+        for i, t in enumerate(texts):
+            word = t[1:] if t[:1] == " " else t
+            (plain if word and word.split() == [word] else other).append(i)
+        # Plain chunks are lines of one text: a line end is a token of its own there, so it parts their ids.
+        lines = np.array(tokenizer.encode("\n".join([texts[i] for i in plain] + [""]), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(lines == line_end)
+        size[plain] = np.diff(ends, prepend=-1) - 1
+        rest = [e.ids for e in tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)]
+        size[other] = list(map(len, rest))
+        ids = np.zeros(size.sum(), np.uint32)
+        at = np.cumsum(size) - size
+        ids[gathered(at[plain], size[plain])] = lines[lines != line_end]
+        for i, own in zip(other, rest, strict=True):
+            ids[at[i] : at[i] + len(own)] = own
+        return ids, size
 
     return encode
 
@@ -78,16 +116,24 @@ def _wide_space(data: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return two | ogham | general | mathematical | ((third == 0xE3) & (second == 0x80) & (last == 0x80))
 
 
+#: Classes of ASCII bytes: letters 1, marks other than the apostrophe 2, all else 0.
+CLASS = np.zeros(256, np.uint8)
+CLASS[33:127] = 2
+CLASS[48:58] = 0
+CLASS[39] = 0
+CLASS[[*range(65, 91), *range(97, 123)]] = 1
+
+
 def chunks(texts: ta.Texts) -> ta.Words:
     """The chunks of the texts; see the module."""
     found = texts.words(lead=True)
-    ends = np.isin(found.stop, texts.offsets[1:])
-    whole = ends | ~_wide_space(texts.data, found.stop)
-    if not whole.all():
-        stop = found.stop[whole]
-        start = np.concatenate([[0], stop[:-1]])
-        found = ta.Words(texts, start, stop, np.searchsorted(texts.offsets, start, side="right") - 1, found.table, found.n)
-    return found
+    stop = found.stop
+    stop = stop[~_wide_space(texts.data, stop)]
+    kind = CLASS[texts.data]
+    turns = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    stop = ta.marked(len(texts.data), stop, turns, texts.offsets[1:][texts.offsets[1:] > texts.offsets[:-1]])
+    start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
+    return ta.Words(texts, start, stop, np.searchsorted(texts.offsets, start, side="right") - 1, found.table, found.n)
 
 
 def encoded(column: pa.Array, store: ChunkStore) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
