@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 PACKAGE = Path(__file__).resolve().parents[1]
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and stored in the shared folder that spark.checkpoint.dir names.
-
-    A folder of our own is taken only where the session names none, as in tests."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where the session names none, as in tests."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and stored in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
