@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from finrecon.operators import pools, scalars  # noqa: F401
