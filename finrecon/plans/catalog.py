@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from finrecon.operators import pools, scalars  # noqa: F401
+from finrecon.operators import checks, joins, pools, scalars  # noqa: F401
