@@ -1,3 +1,5 @@
 """Imports every module that registers queries."""
 
-from finrecon.operators import checks, joins, pools, scalars  # noqa: F401
+from finrecon.operators import checks, filters, joins, plugs, pools, scalars, windows  # noqa: F401
+from finrecon.sources import readers, sinks  # noqa: F401
+from finrecon.streaming import feeds  # noqa: F401

@@ -1 +1 @@
-"""Part of finrecon."""
+"""Sources (SRC), sinks (SNK) and filters (FLT)."""
