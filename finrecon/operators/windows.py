@@ -200,3 +200,46 @@ def t7(spark, sf_dir):
 def l19(spark, sf_dir):
     lines = lines_of(fixture(spark, sf_dir, "documents"), ["doc_id"]).where(F.col("line").rlike(r"^[A-Za-z]{4,}.*\d") & (F.length("line") <= 300))
     return lines.select("doc_id", "line_no", F.regexp_extract("line", "^([A-Za-z]+)", 1).alias("label"), F.regexp_extract("line", r"(\d+)", 1).alias("value"))
+
+
+def fitting(rows: DataFrame, keys: list[str], order: Column, size: str, budget: int, item: str) -> DataFrame:
+    """Items in order that fit the budget, passing over those that do not: a fold over the key's sorted (order, size, item) array."""
+    sorted_rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(size).cast("long").alias("size"), F.col(item).alias("item")))).alias("rows"))
+    kind = dict(rows.dtypes)[item]
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("items"))
+
+    def add(s: Column, r: Column) -> Column:
+        fits = s["used"] + r["size"] <= budget
+        return F.struct((s["used"] + F.when(fits, r["size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(s["items"], F.array(r["item"]))).otherwise(s["items"]).alias("items"))
+
+    return sorted_rows.select(*keys, F.explode(F.aggregate("rows", start, add)["items"]).alias(item))
+
+
+@query("w07_budget_skip")
+def w07_skip(spark, sf_dir):
+    pages = fixture(spark, sf_dir, "fx_pages")
+    return fitting(pages, ["filing"], F.struct(-F.col("n_chars"), F.col("page_no")), "n_chars", 20000, "page_no")
+
+
+TFIDF_SQL = r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') as ws from documents), g as (select doc_id, unnest(ws) as term from w union all select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w),
+ c as (select doc_id, term, count(*) as n from g group by 1, 2), d as (select term, count(*) as df from c group by 1 having count(*) <= 0.95 * (select count(*) from documents)),
+ t as (select doc_id, c.term, n * (ln((1 + (select count(*) from documents)) / (1.0 + df)) + 1) as x from c join d using (term)), l as (select doc_id, sqrt(sum(x * x)) as len from t group by 1),
+ s as (select q.doc_id as query_id, t.doc_id, sum(q.x * t.x) as dot from t q join t using (term) where q.doc_id % 100 = 0 and q.doc_id <> t.doc_id group by 1, 2), f as (select query_id, s.doc_id, dot / (a.len * b.len) as score from s join l a on a.doc_id = query_id join l b on b.doc_id = s.doc_id)
+ select query_id, doc_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as k from f) where k <= 5"""
+
+
+@query("t3_tfidf_top_k", TFIDF_SQL)
+def t3_tfidf(spark, sf_dir):
+    """Cosine of one- and two-word terms weighted by count and rarity; terms of over 95 percent of the documents are left out."""
+    docs = fixture(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("ws"))
+    pairs = F.when(F.size("ws") > 1, F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat_ws(" ", F.element_at("ws", i), F.element_at("ws", i + 1)))).otherwise(F.array().cast("array<string>"))
+    counts = words.select("doc_id", F.explode(F.concat("ws", pairs)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    total = docs.agg(F.count("*").alias("total"))
+    common = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where("df <= 0.95 * total")
+    weighted = counts.join(common, "term").select("doc_id", "term", (F.col("n") * (F.log((1 + F.col("total")) / (1.0 + F.col("df"))) + 1)).alias("x"))
+    length = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
+    asked = weighted.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("x").alias("y"))
+    dot = asked.join(weighted, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dot.join(length, "doc_id").join(length.select(F.col("doc_id").alias("query_id"), F.col("len").alias("qlen")), "query_id").withColumn("score", F.col("dot") / (F.col("qlen") * F.col("len")))
+    return top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 5).select("query_id", "doc_id", F.round("score", 6).alias("score"))

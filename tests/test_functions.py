@@ -108,3 +108,17 @@ def test_nothing_else_imports_llm():
     for file in package.rglob("*.py"):
         if "llm" not in file.parts:
             assert "finrecon.llm" not in file.read_text(), file
+
+
+def test_line_chunks(spark):
+    from finrecon.operators.scalars import line_chunks
+
+    texts = ["aa\nbb\ncc\ndd", "x" * 30 + "\nyy", "", "one"]
+    rows = values(spark, texts, lambda c: line_chunks(c, 8, 1))
+    assert rows == [["aa\nbb\ncc", "cc\ndd"], ["x" * 30, "yy"], [""], ["one"]]
+
+
+def test_budget_skips_what_does_not_fit(spark):
+    rows = spark.createDataFrame([("f", i, n) for i, n in enumerate([5, 9, 4, 1, 7])], "filing string, page_no long, n_chars long")
+    kept = windows.fitting(rows, ["filing"], F.col("page_no"), "n_chars", 10, "page_no").collect()
+    assert sorted(r["page_no"] for r in kept) == [0, 2, 3]
