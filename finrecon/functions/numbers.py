@@ -80,3 +80,16 @@ def glued_numbers(cell: Column) -> Column:
     """Two numbers of two decimals written without a gap, as an array; else the cell alone."""
     parts = F.regexp_extract_all(cell, F.lit(r"(\d{1,3}(?:,\d{2,3})*\.\d{2})"), F.lit(1))
     return F.when(cell.rlike(r"^(?:\d{1,3}(?:,\d{2,3})*\.\d{2}){2}$"), parts).otherwise(F.array(cell))
+
+
+def joined_numbers(cells: Column) -> Column:
+    """Neighbour cells that hold one number in two parts, such as 6,31,17,25 and 0, put together; a fold over the row."""
+
+    def add(done: Column, cell: Column) -> Column:
+        last = F.element_at(done, -1)
+        splits = (F.size(done) > 0) & last.rlike(r"^[\d,]*,\d{1,2}$") & cell.rlike(r"^\d{1,2}$") & (F.length(F.regexp_extract(last, r"(\d*)$", 1)) + F.length(cell) == 3)
+        return F.when(splits, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, cell)))).otherwise(F.concat(done, F.array(cell)))
+
+    # element_at on an empty array is an error in ANSI mode, so the fold starts with a guard cell.
+    folded = F.aggregate(cells, F.array(F.lit("")), add)
+    return F.slice(folded, 2, F.greatest(F.size(folded) - 1, F.lit(0)))

@@ -243,3 +243,26 @@ def t3_tfidf(spark, sf_dir):
     dot = asked.join(weighted, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dot.join(length, "doc_id").join(length.select(F.col("doc_id").alias("query_id"), F.col("len").alias("qlen")), "query_id").withColumn("score", F.col("dot") / (F.col("qlen") * F.col("len")))
     return top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 5).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def word_rows(words: DataFrame, keys: list[str], most: float = 5.0) -> DataFrame:
+    """Words (text, x0, top) of a page to rows: a word starts a new row where it lies more than most below the row's first word. A page's words are one short array."""
+    page = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("top", "x0", "text"))).alias("ws"))
+    kind = "array<struct<top:double,x0:double,text:string,row:int>>"
+    start = F.struct(F.array().cast(kind).alias("out"), F.lit(None).cast("double").alias("first"), F.lit(-1).alias("row"))
+
+    def add(s: Column, w: Column) -> Column:
+        new = s["first"].isNull() | (w["top"] - s["first"] > most)
+        row = s["row"] + F.when(new, 1).otherwise(0)
+        placed = F.struct(w["top"].alias("top"), w["x0"].alias("x0"), w["text"].alias("text"), row.alias("row"))
+        return F.struct(F.concat(s["out"], F.array(placed)).alias("out"), F.when(new, w["top"]).otherwise(s["first"]).alias("first"), row.alias("row"))
+
+    rows = page.select(*keys, F.inline(F.aggregate("ws", start, add)["out"]))
+    return rows.groupBy(*keys, "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ").alias("line"))
+
+
+@query("w10_word_rows")
+def w10_rows(spark, sf_dir):
+    """Line items as words of a page: the quantity gives the height, the line number the place across."""
+    words = fixture(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("top"), F.col("l_linenumber").cast("double").alias("x0"), F.col("l_partkey").cast("string").alias("text"))
+    return word_rows(words, ["page"])

@@ -122,3 +122,14 @@ def test_budget_skips_what_does_not_fit(spark):
     rows = spark.createDataFrame([("f", i, n) for i, n in enumerate([5, 9, 4, 1, 7])], "filing string, page_no long, n_chars long")
     kept = windows.fitting(rows, ["filing"], F.col("page_no"), "n_chars", 10, "page_no").collect()
     assert sorted(r["page_no"] for r in kept) == [0, 2, 3]
+
+
+def test_joined_numbers(spark):
+    rows = [["6,31,17,25", "0", "12"], ["1,234", "5"], [], ["7,12", "3"]]
+    assert values(spark, rows, nb.joined_numbers, "array<string>") == [["6,31,17,250", "12"], ["1,234", "5"], [], ["7,123"]]
+
+
+def test_word_rows(spark):
+    words = [("p", "b", 20.0, 11.0), ("p", "a", 5.0, 10.0), ("p", "c", 5.0, 14.9), ("p", "d", 1.0, 15.5), ("q", "e", 1.0, 1.0)]
+    found = windows.word_rows(spark.createDataFrame(words, "page string, text string, x0 double, top double"), ["page"]).collect()
+    assert {(r["page"], r["row"]): r["line"] for r in found} == {("p", 0): "a c b", ("p", 1): "d", ("q", 0): "e"}
