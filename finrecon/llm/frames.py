@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
+from finrecon.plans.shipping import shipped
+
+BATCH_BYTES, DEFAULT_BATCH_BYTES, OWN_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,21 +29,27 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shipped(spark: SparkSession) -> None:
-    """Give the executors this package, as --py-files does, once for each context."""
-    context = spark.sparkContext
-    if any(x.endswith(f"{PACKAGE.name}_llm.zip") for x in context._python_includes):
-        return
-    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{PACKAGE.name}_llm.zip"
-    with zipfile.ZipFile(path, "w") as archive:
-        for file in [PACKAGE / "__init__.py", *sorted((PACKAGE / "llm").glob("*.py"))]:
-            archive.write(file, file.relative_to(PACKAGE.parent))
-    context.addPyFile(str(path))
-
-
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    shipped(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """df.mapInArrow(run, schema) with batches bounded by bytes, as texts may be long, and memory given back after each task."""
+    spark = df.sparkSession
+    shipped(spark)
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:  # a value that the user chose stays
+        spark.conf.set(BATCH_BYTES, OWN_BATCH_BYTES)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system; workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from finrecon.llm import textarrays as ta
 
-STORED, AT_ONCE = 1 << 21, 4096
+STORED, AT_ONCE = 1 << 20, 4096
 
 
 class ChunkStore:
