@@ -23,7 +23,7 @@ from finrecon.llm.frames import in_arrow, own
 RATE, UP, DOWN = 8000, 3, 4
 FRAME, HOP, BANDS, BLOCK = 256, 128, 20, 64
 UNIT = 64
-HIGH_DB, LOW_DB = 3.0, -3.0
+HIGH_DB, LOW_DB = 3.0, 1.0
 FLOOR = 1e-6
 
 
