@@ -24,8 +24,8 @@ ORACLE_SQL = None
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents whose id is not among doc_id of rejected; a null id stays."""
-    ids = rejected.select(F.col("doc_id").alias("_rejected")).where("_rejected is not null").distinct()
-    return docs.join(ids, docs["doc_id"] == F.col("_rejected"), "left_anti")
+    ids = rejected.select(F.col("doc_id").alias("rejected")).where("rejected is not null").distinct()
+    return docs.join(ids, docs["doc_id"] == ids["rejected"], "left_anti")
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
