@@ -74,9 +74,9 @@ def d4(spark, sf_dir):
     return w.select(*CONCEPT_KEYS, *margins, F.when(F.abs("finance_cost") > 0.001, F.round(revenue / F.col("finance_cost"), 4)).alias("coverage"))
 
 
-@query("d5_inject_derived", oracle(f"with {WIDE_SQL}, d as (select company_id, source, statement_type, fy, fq, 'gross_profit' as concept, cast(cast(revenue_from_operations as decimal(30,4)) - cast(cost_of_goods_sold as decimal(30,4)) as double) as value, 'derived' as origin from wide where revenue_from_operations is not null and cost_of_goods_sold is not null) select company_id, source, statement_type, fy, fq, concept, value, 'reported' as origin from fx_concepts where fy = 1998 union all select * from d where fy = 1998", "fx_concepts"))
+@query("d5_inject_derived", oracle(f"with {WIDE_SQL}, d as (select company_id, source, statement_type, fy, fq, 'gross_profit' as concept, cast(cast(revenue_from_operations as decimal(30,4)) - cast(cost_of_goods_sold as decimal(30,4)) as double) as value, 'derived' as origin from wide where revenue_from_operations is not null and cost_of_goods_sold is not null) select company_id, source, statement_type, fy, fq, concept, value, 'reported' as origin from fx_concepts union all select * from d", "fx_concepts"))
 def d5(spark, sf_dir):
-    given = fixture(spark, sf_dir, "fx_concepts").where("fy = 1998")
+    given = fixture(spark, sf_dir, "fx_concepts")
     new = derived(wide(given), (("gross_profit", ("revenue_from_operations",), ("cost_of_goods_sold",)),))
     new = new.unpivot(CONCEPT_KEYS, ["gross_profit"], "concept", "value").where("value is not null").join(given, [*CONCEPT_KEYS, "concept"], "left_anti")
     columns = [*CONCEPT_KEYS, "concept", "value"]
@@ -138,9 +138,9 @@ def v03(spark, sf_dir):
     return swings(_years(spark, sf_dir), ["company_id", "source", "concept"], 5, 0.2).select("company_id", "source", "concept", "fy", F.lit("high").alias("severity"))
 
 
-@query("v04_history_swing", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and (company_id + fy) % 2 = 0 group by 1, 2, 3), p as (select a.company_id, a.raw_label, a.fy, a.value, arg_max(b.value, b.fy) as prior from h a join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4) select company_id, raw_label, fy from p where abs(prior) >= 1 and raw_label <> 'promo' and (abs(value) / abs(prior) > 2 or abs(value) / abs(prior) < 0.5)", "fx_obs"))
+@query("v04_history_swing", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and value > 60000 group by 1, 2, 3), p as (select a.company_id, a.raw_label, a.fy, a.value, arg_max(b.value, b.fy) as prior from h a join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4) select company_id, raw_label, fy from p where abs(prior) >= 1 and raw_label <> 'promo' and (abs(value) / abs(prior) > 2 or abs(value) / abs(prior) < 0.5)", "fx_obs"))
 def v04(spark, sf_dir):
-    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and (company_id + fy) % 2 = 0").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
+    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and value > 60000").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
     rows = as_of(history, ["company_id", "raw_label"], "fy", "value").withColumn("r", F.abs("value") / F.abs("prior_value"))
     return rows.where("abs(prior_value) >= 1 and raw_label <> 'promo' and (r > 2 or r < 0.5)").select("company_id", "raw_label", "fy")
 

@@ -190,10 +190,10 @@ def j11(spark, sf_dir):
     return met.withColumn("tier", nb.agreement(F.col("extracted"), F.col("outside")))
 
 
-@query("j12_gap_fill", oracle("with c as (select distinct company_id, raw_label, fy from fx_obs where source = 'xbrl'), f as (select company_id, raw_label, fy, arg_max(value, fq * 10 + (statement_type = 'standalone')::int) as value from fx_obs where source = 'screener' and raw_label in (select lower(p_type) from part where p_partkey <= 3) group by 1, 2, 3) select f.* from f anti join c using (company_id, raw_label, fy)", "fx_obs"))
+@query("j12_gap_fill", oracle("with c as (select distinct company_id, raw_label, fy from fx_obs where source = 'xbrl'), f as (select company_id, raw_label, fy, arg_max(value, fq * 10 + (statement_type = 'standalone')::int) as value from fx_obs where source = 'screener' and raw_label in (select lower(p_type) from part where p_type in ('STANDARD', 'PROMO', 'SMALL')) group by 1, 2, 3) select f.* from f anti join c using (company_id, raw_label, fy)", "fx_obs"))
 def j12(spark, sf_dir):
     obs = fixture(spark, sf_dir, "fx_obs")
-    in_template = fixture(spark, sf_dir, "part").where("p_partkey <= 3").select(F.lower("p_type").alias("raw_label")).distinct()
+    in_template = fixture(spark, sf_dir, "part").where("p_type in ('STANDARD', 'PROMO', 'SMALL')").select(F.lower("p_type").alias("raw_label")).distinct()
     last = F.struct("fq", F.col("statement_type") == "standalone")
     offered = obs.where("source = 'screener'").join(in_template, "raw_label", "left_semi").groupBy("company_id", "raw_label", "fy").agg(F.max_by("value", last).alias("value"))
     return offered.join(obs.where("source = 'xbrl'").select("company_id", "raw_label", "fy").distinct(), ["company_id", "raw_label", "fy"], "left_anti")
@@ -214,9 +214,9 @@ def as_of(rows: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
     return rows.withColumns({"prior_year": F.max(year).over(before), "prior_value": F.last(value, ignorenulls=True).over(before)})
 
 
-@query("j14_prior_year", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and (company_id + fy) % 2 = 0 group by 1, 2, 3) select a.company_id, a.raw_label, a.fy, a.value, max(b.fy) as prior_year, arg_max(b.value, b.fy) as prior_value from h a left join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4", "fx_obs"))
+@query("j14_prior_year", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and value > 60000 group by 1, 2, 3) select a.company_id, a.raw_label, a.fy, a.value, max(b.fy) as prior_year, arg_max(b.value, b.fy) as prior_value from h a left join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4", "fx_obs"))
 def j14(spark, sf_dir):
-    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and (company_id + fy) % 2 = 0").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
+    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and value > 60000").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
     return as_of(history, ["company_id", "raw_label"], "fy", "value")
 
 
@@ -283,12 +283,22 @@ def j21(spark, sf_dir):
     return met.groupBy(F.col("p_partkey").alias("id")).agg(F.min_by("target", "ord").alias("target"))
 
 
+def contained(a: DataFrame, b: DataFrame, x: str, y: str, gap: int) -> DataFrame:
+    """Pairs of which one text holds the other, lengths at most gap apart. The first three characters of the inner text occur in the outer one, so both meet in an equi-join on those."""
+
+    def grams(c: str) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(3))))
+
+    inner = a.withColumn("k", F.substring(x, 1, 3)).join(b.withColumn("k", F.explode(grams(y))), "k").where(F.expr(f"contains({y}, {x})"))
+    outer = a.withColumn("k", F.explode(grams(x))).join(b.withColumn("k", F.substring(y, 1, 3)), "k").where(F.expr(f"contains({x}, {y})"))
+    return inner.union(outer).drop("k").where(F.expr(f"abs(length({x}) - length({y})) <= {gap}")).distinct()
+
+
 @query("j22_containment", oracle("with t as (select distinct split_part(lower(template_label), ' ', 1) as w from fx_template), d as (select distinct lower(raw_label) as l from fx_pool_label) select w as template_word, l as label from t join d on (contains(l, w) or contains(w, l)) and abs(length(l) - length(w)) <= 25", "fx_template", "fx_pool_label"))
 def j22(spark, sf_dir):
     words = fixture(spark, sf_dir, "fx_template").select(F.split_part(F.lower("template_label"), F.lit(" "), F.lit(1)).alias("w")).distinct()
     lines = fixture(spark, sf_dir, "fx_pool_label").select(F.lower("raw_label").alias("l")).distinct()
-    # Containment of a template word is a substring test; words of the label that contain it are found on the distinct label vocabulary.
-    return lines.join(words, F.expr("(contains(l, w) or contains(w, l)) and abs(length(l) - length(w)) <= 25")).select(F.col("w").alias("template_word"), F.col("l").alias("label"))
+    return contained(words, lines, "w", "l", 25).select(F.col("w").alias("template_word"), F.col("l").alias("label"))
 
 
 @query("j23_fill_empty", oracle("with a as (select company_id, raw_label, fy, max(value) as v from fx_obs where source = 'screener' group by 1, 2, 3), b as (select company_id, raw_label, fy, max(value) as v from fx_obs where source = 'yfinance' group by 1, 2, 3) select company_id, raw_label, fy, coalesce(a.v, b.v) as value, case when a.v is not null then 'primary' else 'gap' end as origin from a full join b using (company_id, raw_label, fy)", "fx_obs"))
@@ -306,9 +316,9 @@ def j24(spark, sf_dir):
     return exact.union(rest)
 
 
-@query("j25_spec_expansion", "with rows as (select distinct o_orderkey as row, o_orderpriority as label from orders where o_orderkey <= 200), periods(col, period) as (values (1, 'F2023'), (2, 'F2024'), (3, 'F2025')), formula as (select l_orderkey as row, l_linenumber as col from lineitem where l_returnflag = 'A'), filled as (select l_orderkey as row, l_linenumber as col from lineitem where l_returnflag = 'R') select row, label, col, period from rows cross join periods anti join formula using (row, col) anti join filled using (row, col)")
+@query("j25_spec_expansion", "with rows as (select distinct o_orderkey as row, o_orderpriority as label from orders), periods(col, period) as (values (1, 'F2023'), (2, 'F2024'), (3, 'F2025')), formula as (select l_orderkey as row, l_linenumber as col from lineitem where l_returnflag = 'A'), filled as (select l_orderkey as row, l_linenumber as col from lineitem where l_returnflag = 'R') select row, label, col, period from rows cross join periods anti join formula using (row, col) anti join filled using (row, col)")
 def j25(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "orders").where("o_orderkey <= 200").select(F.col("o_orderkey").alias("row"), F.col("o_orderpriority").alias("label")).distinct()
+    rows = fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row"), F.col("o_orderpriority").alias("label")).distinct()
     periods = F.array(*(F.struct(F.lit(k).alias("col"), F.lit(f"F{2022 + k}").alias("period")) for k in (1, 2, 3)))
     grid = rows.select("row", "label", F.inline(periods))
     cells = fixture(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), "l_returnflag")

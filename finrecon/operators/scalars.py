@@ -28,20 +28,20 @@ def p1(spark, sf_dir):
     "p2_quarter_text",
     oracle(
         """select id, case id % 8 when 4 then concat(cast(id % 4 + 1 as varchar), 'QF', cast(y as varchar)) when 5 then concat('4QF', cast(y as varchar))
-        when 6 then concat('1QF', cast(y + 1 as varchar)) end as quarter from fx_period_text where id % 8 >= 4""",
+        when 6 then concat('1QF', cast(y + 1 as varchar)) end as quarter from fx_period_text""",
         "fx_period_text",
     ),
 )
 def p2(spark, sf_dir):
-    return fixture(spark, sf_dir, "fx_period_text").where("id % 8 >= 4").select("id", pd.quarter(F.col("raw_period")).alias("quarter"))
+    return fixture(spark, sf_dir, "fx_period_text").select("id", pd.quarter(F.col("raw_period")).alias("quarter"))
 
 
 @query(
     "p3_grid_period",
-    oracle("select id, concat('F', cast(y as varchar)) as period from fx_period_text where id % 8 in (0, 1, 2, 3)", "fx_period_text"),
+    oracle("select id, case id % 8 when 4 then concat(cast(id % 4 + 1 as varchar), 'QF', cast(y as varchar)) when 6 then concat('1QF', cast(y + 1 as varchar)) when 7 then null else concat('F', cast(y as varchar)) end as period from fx_period_text", "fx_period_text"),
 )
 def p3(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_period_text").where("id % 8 < 4")
+    rows = fixture(spark, sf_dir, "fx_period_text")
     padded = F.concat(F.lit(" "), F.upper("raw_period"), F.lit(" "))
     return rows.select("id", pd.period(padded, 1990, 2050).alias("period"))
 

@@ -76,11 +76,11 @@ def src3(spark, sf_dir):
     return raw.select("company_id", "line", F.explode(rows).alias("r")).where("r.kind <> 'TTM'").select("company_id", "line", pr.period(F.col("r.displayPeriod"), 1990, 2050).alias("period"), F.col("r.amount").alias("value"))
 
 
-@query("src4_wide_statement", oracle("with w as (select company_id, raw_label, max(case when fy = 1996 then value end) as y1996, max(case when fy = 1997 then value end) as y1997, max(case when fy = 1998 then value end) as y1998 from fx_obs where source = 'yfinance' group by 1, 2) select company_id, raw_label, replace(period, 'y', 'F') as period, round(value / 1e7, 10) as value from (unpivot w on y1996, y1997, y1998 into name period value value) where value is not null", "fx_obs"))
+@query("src4_wide_statement", oracle("with w as (select company_id, raw_label, max(case when fy = 1995 then value end) as y1995, max(case when fy = 1996 then value end) as y1996, max(case when fy = 1997 then value end) as y1997, max(case when fy = 1998 then value end) as y1998, max(case when fy = 1999 then value end) as y1999, max(case when fy = 2000 then value end) as y2000, max(case when fy = 2001 then value end) as y2001, max(case when fy = 2002 then value end) as y2002 from fx_obs where source = 'yfinance' group by 1, 2) select company_id, raw_label, replace(period, 'y', 'F') as period, round(value / 1e7, 10) as value from (unpivot w on y1995, y1996, y1997, y1998, y1999, y2000, y2001, y2002 into name period value value) where value is not null", "fx_obs"))
 def src4(spark, sf_dir):
     rows = fixture(spark, sf_dir, "fx_obs").where("source = 'yfinance'")
-    wide = rows.groupBy("company_id", "raw_label").pivot("fy", [1996, 1997, 1998]).agg(F.max("value"))
-    long = wide.unpivot(["company_id", "raw_label"], ["1996", "1997", "1998"], "period", "value").where("value is not null and not isnan(value)")
+    wide = rows.groupBy("company_id", "raw_label").pivot("fy", list(range(1995, 2003))).agg(F.max("value"))
+    long = wide.unpivot(["company_id", "raw_label"], [str(y) for y in range(1995, 2003)], "period", "value").where("value is not null and not isnan(value)")
     return long.select("company_id", "raw_label", F.concat(F.lit("F"), F.col("period")).alias("period"), F.round(F.col("value") / 1e7, 10).alias("value"))
 
 
@@ -148,15 +148,15 @@ def grid_facts(cells: DataFrame, most_rows: int = 14, low: int = 1990, high: int
     return body.select("sheet", "row", "label", "period", nb.number(F.col("text")).alias("value")).where("value is not null")
 
 
-@query("src7_grid_facts", oracle("with g as (select company_id as sheet, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and fy between 1996 and 1998 group by 1, 2, 3), r as (select sheet, raw_label, dense_rank() over (partition by sheet order by raw_label) + 2 as row, fy, value from g) select sheet, cast(row as integer) as row, raw_label as label, concat('F', fy::varchar) as period, value from r", "fx_obs"))
+@query("src7_grid_facts", oracle("with g as (select company_id as sheet, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' group by 1, 2, 3), r as (select sheet, raw_label, dense_rank() over (partition by sheet order by raw_label) + 2 as row, fy, value from g) select sheet, cast(row as integer) as row, raw_label as label, concat('F', fy::varchar) as period, value from r", "fx_obs"))
 def src7(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and fy between 1996 and 1998").groupBy(F.col("company_id").alias("sheet"), "raw_label", "fy").agg(F.max("value").alias("value"))
+    rows = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl'").groupBy(F.col("company_id").alias("sheet"), "raw_label", "fy").agg(F.max("value").alias("value"))
     placed = rows.withColumn("row", F.dense_rank().over(Window.partitionBy("sheet").orderBy("raw_label")) + 2)
-    body = placed.select("sheet", "row", (F.col("fy") - 1994).alias("col"), F.col("value").cast("decimal(20,2)").cast("string").alias("text"))
+    body = placed.select("sheet", "row", (F.col("fy") - 1990).alias("col"), F.col("value").cast("decimal(20,2)").cast("string").alias("text"))
     label = placed.select("sheet", "row", F.lit(1).alias("col"), F.col("raw_label").alias("text")).distinct()
-    head = placed.select("sheet", F.lit(2).alias("row"), (F.col("fy") - 1994).alias("col"), F.concat(F.lit("FY"), F.col("fy")).alias("text")).distinct()
+    head = placed.select("sheet", F.lit(2).alias("row"), (F.col("fy") - 1990).alias("col"), F.concat(F.lit("FY"), F.col("fy")).alias("text")).distinct()
     # A sheet with one period has no header by the rule; give every sheet a second one.
-    more = placed.select("sheet", F.lit(2).alias("row"), F.lit(9).alias("col"), F.lit("FY1990").alias("text")).distinct()
+    more = placed.select("sheet", F.lit(2).alias("row"), F.lit(20).alias("col"), F.lit("FY1990").alias("text")).distinct()
     return grid_facts(body.union(label).union(head).union(more))
 
 
@@ -200,13 +200,16 @@ def src11(spark, sf_dir):
     return fixture(spark, sf_dir, "pages").where(~host.contains("blog.")).select(root.alias("root"), (~F.col("url").contains("spam")).alias("allowed")).distinct()
 
 
-@query("src12_split_pages", oracle("select filing, cast(page_no as integer) as page_no, text from fx_pages where filing in ('src1', 'src2')", "fx_pages"))
+def split_pages(stitched: DataFrame, keys: list[str]) -> DataFrame:
+    """Text with page markers to (keys, page_no, text)."""
+    parts = stitched.select(*keys, F.explode(F.split("doc", r"(?=<<PAGE \d+>>\n)")).alias("part")).where("part <> ''")
+    return parts.select(*keys, F.regexp_extract("part", r"^<<PAGE (\d+)>>", 1).cast("int").alias("page_no"), F.regexp_replace("part", r"^<<PAGE \d+>>\n", "").alias("text"))
+
+
+@query("src12_split_pages", "select doc_id, 1 as page_no, text || chr(10) as text from documents union all select doc_id, 2, source || ' ' || lang from documents")
 def src12(spark, sf_dir):
-    pages = fixture(spark, sf_dir, "fx_pages").where("filing in ('src1', 'src2')")
-    marked = F.concat(F.lit("<<PAGE "), F.col("page_no"), F.lit(">>\n"), F.col("text"))
-    stitched = pages.groupBy("filing").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_no", marked.alias("t")))), lambda x: x["t"]), "").alias("doc"))
-    parts = stitched.select("filing", F.explode(F.split("doc", r"(?=<<PAGE \d+>>\n)")).alias("part")).where("part <> ''")
-    return parts.select("filing", F.regexp_extract("part", r"^<<PAGE (\d+)>>", 1).cast("int").alias("page_no"), F.regexp_replace("part", r"^<<PAGE \d+>>\n", "").alias("text"))
+    doc = F.concat(F.lit("<<PAGE 1>>\n"), F.col("text"), F.lit("\n<<PAGE 2>>\n"), F.col("source"), F.lit(" "), F.col("lang"))
+    return split_pages(fixture(spark, sf_dir, "documents").select("doc_id", doc.alias("doc")), ["doc_id"])
 
 
 @query("src13_section_weights", "with w(sector, section, keyword, weight) as (values ('banking', 'profit', 'interest', 2.0::double), ('banking', 'balance', 'deposits', 1.5::double), ('generic', 'profit', 'revenue', 1.0::double)), s as (select s_suppkey as company_id, case s_suppkey % 3 when 0 then 'banking' when 1 then 'it' else 'generic' end as sector from supplier) select company_id, section, keyword, weight from s join w on w.sector = case when s.sector in (select sector from w) then s.sector else 'generic' end")
@@ -226,11 +229,11 @@ def knowledge_base(base: DataFrame, overlay: DataFrame) -> DataFrame:
     return met.select("concept", F.coalesce("o", "b").alias("alias"))
 
 
-@query("src14_knowledge_base", "with b as (select concat('c', p_partkey) as concept, p_name as alias from part where p_partkey % 2 = 0), o as (select concat('c', p_partkey) as concept, upper(p_name) as alias from part where p_partkey % 3 = 0) select concept, coalesce(o.alias, b.alias) as alias from b full join o using (concept)")
+@query("src14_knowledge_base", "with b as (select concat('c', p_partkey) as concept, p_name as alias from part where p_type <> 'PROMO'), o as (select concat('c', p_partkey) as concept, upper(p_name) as alias from part where p_type in ('PROMO', 'SMALL')) select concept, coalesce(o.alias, b.alias) as alias from b full join o using (concept)")
 def src14(spark, sf_dir):
     part = fixture(spark, sf_dir, "part")
     concept = F.concat(F.lit("c"), F.col("p_partkey")).alias("concept")
-    return knowledge_base(part.where("p_partkey % 2 = 0").select(concept, F.col("p_name").alias("alias")), part.where("p_partkey % 3 = 0").select(concept, F.upper("p_name").alias("alias")))
+    return knowledge_base(part.where("p_type <> 'PROMO'").select(concept, F.col("p_name").alias("alias")), part.where("p_type in ('PROMO', 'SMALL')").select(concept, F.upper("p_name").alias("alias")))
 
 
 @query("src15_registers", "with r(nation, site) as (values (15, 'a.example'), (20, 'b.example')) select s_suppkey as company_id, coalesce(site, 'unknown') as site from supplier left join r on nation = s_nationkey")
