@@ -51,7 +51,7 @@ def period(raw: Column, low: int = LOW, high: int = HIGH) -> Column:
     march = full_year(_part(t, r"^mar(?:ch)?[ ,-]*(\d{4})$", 1))
     plain = full_year(_part(t, r"^(\d{4})$", 1))
     year = F.coalesce(direct, span, written, march, F.when(plain.between(low, high), plain))
-    return F.when(year.isNotNull(), F.concat(F.lit("F"), year.cast("string"))).otherwise(quarter(raw))
+    return F.coalesce(F.concat(F.lit("F"), year.cast("string")), quarter(raw))
 
 
 def heading(raw: Column) -> Column:
