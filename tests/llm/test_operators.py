@@ -310,6 +310,30 @@ def test_secrets(spark):
     assert kinds[4] == [("hex", "d41d8cd98f00b204e9800998ecf8427e")] and kinds[5] == [] and kinds[6] == []
 
 
+def spans_of(text):
+    ((_, texts),) = ta.pieces(pa.array([text]))
+    return [(k, text[a:b]) for k, a, b in next(secrets.found_in(texts))]
+
+
+@pytest.mark.parametrize("front", ["sig=", "/", "X-Key-", "sigKEY", "a/b_c="])
+def test_secrets_behind_marks_and_names_are_judged_by_their_own_class(front):
+    rng = np.random.default_rng(8)
+    draw = lambda letters, n: "".join(letters[k] for k in rng.integers(0, len(letters), n))
+    for letters, n, kind in (("0123456789ABCDEF", 40, "entropy_hex"), ("0123456789abcdef", 22, "entropy_hex"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz", 32, "entropy_alnum")):
+        found = [spans_of(front + draw(letters, n)) for _ in range(200)]
+        assert sum(bool(f) for f in found) >= 190, (front, n)
+        assert front == "sigKEY" or all(k in (kind, "entropy_base64") for f in found for k, _ in f)
+    assert spans_of(front + "da39a3ee5e6b4b0d3255bfef95601890afd80709")[-1:] in ([], [("hex", "da39a3ee5e6b4b0d3255bfef95601890afd80709")])
+
+
+def test_short_base64_keys_are_found():
+    rng = np.random.default_rng(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(letters[k] for k in rng.integers(0, 62, 21)) for _ in range(300)]
+    assert sum(bool(spans_of(k[:9] + "-" + k[9:])) for k in keys) >= 270
+    assert not any(spans_of(t) for t in ("docs/reports-of-the-year/2024-01", "550e8400-e29b-41d4-a716-446655440000", "x=12345678901234567890123"))
+
+
 def test_entropy_windows_match_direct_counts():
     rng = np.random.default_rng(4)
     run = "".join("abcdef0123456789"[k] for k in rng.integers(0, 16, 200)) + "a" * 60
