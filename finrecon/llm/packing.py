@@ -1,6 +1,6 @@
 """Packing of documents into sequences of a fixed number of tokens by cutting-stock column generation.
 
-Each text becomes ids with an end id after them. A document longer than a sequence is cut every ``capacity`` ids; only its last piece is
+Each text becomes the ids of the vocabulary's own tokenizer, added tokens included, with an end id after them. A document longer than a sequence is cut every ``capacity`` ids; only its last piece is
 shorter. The exact histogram of piece lengths, at most ``capacity`` rows however many documents there are, goes to the driver, where column
 generation finds patterns of lengths and how often each is used. Pieces of one length are ranked by a salted count:
 the number of pieces of each (length, salt) gives every salt its first rank, and pieces are numbered within their salt. So one length may hold any
@@ -31,7 +31,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = tokens.store_of(path)
+        store = tokens.store_of(path, added=True)
         for batch in batches:
             for first, ids, size in tokens.encoded(batch.column(1), store):
                 ends = np.cumsum(size)
@@ -80,7 +80,7 @@ def _recut(path: str, end_id: int):
     """Checksums of the parts of cut pieces; a text that is not the piece's own (ids given twice) is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = tokens.store_of(path)
+        store = tokens.store_of(path, added=True)
         for batch in batches:
             rows = batch.to_pylist()
             keep, sums = [], []

@@ -22,7 +22,7 @@ BLOCK = 1024
 
 def _sizes(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = tokens.store_of(path)
+        store = tokens.store_of(path, added=True)
         for batch in batches:
             for first, size in tokens.encoded_sizes(batch.column(1), store):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(size)), pa.array(size)], ["doc_id", "n_tokens"])

@@ -4,11 +4,16 @@ The pre-tokenizer of the vocabulary never joins text across the end of a run of
 a chunk being a run of spaces with the run of other characters after it, split further where an ASCII letter meets an ASCII mark other than the apostrophe. Each distinct chunk is encoded once per worker by ``tokenizers``
 and looked up by its hash afterwards. A chunk that ends in a space beyond ASCII stays joined to the next one, as the pre-tokenizer
 may join those. The store of a worker holds at most ``STORED`` chunks and starts anew when full.
+
+By default the vocabulary's special tokens are text like any other. With ``added`` the ids are those of the file's own tokenizer: each literal string of an added token
+is a chunk of its own with that token's id, and texts are cut there first, as the tokenizer does.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,10 +26,11 @@ STORED, AT_ONCE = 1 << 20, 4096
 
 
 class ChunkStore:
-    """Ids of chunks by hash; encode turns a list of chunks (bytes) into their ids end to end and the number of each."""
+    """Ids of chunks by hash; encode turns a list of chunks (bytes) into their ids end to end and the number of each.
+    added finds the literal strings of added tokens, None if there are none to find."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], added: re.Pattern[bytes] | None = None):
+        self.encode, self.added = encode, added
         self.clear()
 
     def clear(self) -> None:
@@ -65,22 +71,32 @@ def gathered(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)
 
 
-_stores: dict[str, ChunkStore] = {}
+_stores: dict[tuple[str, bool], ChunkStore] = {}
+
+
+def store_of(path: str, added: bool = False) -> ChunkStore:
+    """The store for a vocabulary, with its added tokens or with these as plain text; a Python worker keeps it from task to task."""
+    if (path, added) not in _stores:
+        _stores[path, added] = ChunkStore(byte_level(path, added), added_tokens(path) if added else None)
+    return _stores[path, added]
 
 
-def store_of(path: str) -> ChunkStore:
-    """The store for a vocabulary; a Python worker keeps it from task to task."""
-    if path not in _stores:
-        _stores[path] = ChunkStore(byte_level(path))
-    return _stores[path]
+def added_tokens(path: str) -> re.Pattern[bytes] | None:
+    """Matches the literal strings of the added tokens, the longest first."""
+    with open(path, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"]
+    if any(t[flag] for t in tokens for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {path} that take more or less than their literal string")
+    strings = sorted((t["content"].encode() for t in tokens), key=len, reverse=True)
+    return re.compile(b"|".join(map(re.escape, strings))) if strings else None
 
 
-def byte_level(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+def byte_level(path: str, added: bool = False) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not added
     line_end = tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def encode(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +140,16 @@ CLASS[39] = 0
 CLASS[[*range(65, 91), *range(97, 123)]] = 1
 
 
-def chunks(texts: ta.Texts) -> ta.Words:
+def _found(texts: ta.Texts, added: re.Pattern[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after of each added token in the texts."""
+    spans = []
+    if added and added.search(texts.data.tobytes()):
+        for i, base in enumerate(texts.offsets[:-1].tolist()):
+            spans += [(base + m.start(), base + m.end()) for m in added.finditer(texts.bytes_of(i))]
+    return tuple(np.array(spans, np.int64).reshape(-1, 2).T)
+
+
+def chunks(texts: ta.Texts, added: re.Pattern[bytes] | None = None) -> ta.Words:
     """The chunks of the texts; see the module."""
     found = texts.words(lead=True)
     stop = found.stop
@@ -132,6 +157,10 @@ def chunks(texts: ta.Texts) -> ta.Words:
     kind = CLASS[texts.data]
     turns = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
     stop = ta.marked(len(texts.data), stop, turns, texts.offsets[1:][texts.offsets[1:] > texts.offsets[:-1]])
+    first, last = _found(texts, added)
+    if len(first):
+        within = np.searchsorted(first, stop, side="left") > np.searchsorted(last, stop, side="right")
+        stop = ta.marked(len(texts.data), stop[~within], first[first > 0], last)
     start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
     return ta.Words(texts, start, stop, np.searchsorted(texts.offsets, start, side="right") - 1, found.table, found.n)
 
@@ -139,7 +168,7 @@ def chunks(texts: ta.Texts) -> ta.Words:
 def encoded(column: pa.Array, store: ChunkStore) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids end to end, ids per text) for a few texts of the column at a time."""
     for first, texts in ta.pieces(column):
-        found = chunks(texts)
+        found = chunks(texts, store.added)
         at, size = store.look_up(found.hashes(), found.bytes_of)
         yield first, store.ids[gathered(at, size)], np.bincount(found.text, weights=size, minlength=len(texts)).astype(np.int64)
 
@@ -147,6 +176,6 @@ def encoded(column: pa.Array, store: ChunkStore) -> Iterator[tuple[int, np.ndarr
 def encoded_sizes(column: pa.Array, store: ChunkStore) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, ids per text), without the ids."""
     for first, texts in ta.pieces(column):
-        found = chunks(texts)
+        found = chunks(texts, store.added)
         _, size = store.look_up(found.hashes(), found.bytes_of)
         yield first, np.bincount(found.text, weights=size, minlength=len(texts)).astype(np.int64)

@@ -153,6 +153,36 @@ def test_token_ids_equal_those_of_whole_texts():
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+MARKED = ["a<|endoftext|>b", "<|endoftext|>", "", "  <|endoftext|>  x", "a \u3000<|endoftext|>\n b<|endoftext|><|endoftext|>", "<|endoftext|", "|>", "<|endo", "ftext|> <|endoftext|>.", "plain words"]
+
+
+def test_added_tokens_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(BPE)
+    texts = [*MARKED, *unusual_texts(3000)]
+    got, sizes = [], []
+    for _, ids, size in tokens.encoded(pa.array(texts), tokens.store_of(BPE, added=True)):
+        got += [ids[b - n : b].tolist() for b, n in zip(np.cumsum(size), size, strict=True)]
+    for _, size in tokens.encoded_sizes(pa.array(texts), tokens.store_of(BPE, added=True)):
+        sizes += size.tolist()
+    assert got[0] == [64, 50256, 65]
+    assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)] and sizes == list(map(len, got))
+
+
+def test_operators_give_ids_of_the_unchanged_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(BPE)
+    texts = [*MARKED, "word<|endoftext|>" * 1500]
+    ids = [np.array([*e.ids, 0], "<u4") for e in whole.encode_batch(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.packed(docs, BPE).collect():
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids[r["doc_id"]]), zlib.crc32(part.tobytes()))
+    assert {r["doc_id"]: r["n_tokens"] for r in tokencounts.token_lengths(docs, BPE).collect()} == {i: len(own) - 1 for i, own in enumerate(ids)}
+
+
 def test_segmentations_round_trip_and_repeat():
     lattices = segmentation.lattices_of(PIECES)
     texts = [*unusual_texts(1500), "q" * 3000]
