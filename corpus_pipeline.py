@@ -1,8 +1,8 @@
 """A training corpus from documents: toxic and poor documents go, one of each near-duplicate group stays, personal data is replaced, and what is left is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored and read again for the next one. All but the last return the columns of documents.
-A row without an id, or with an id that an earlier row of the stage's input has, is judged by its text like any other; the stages that join
-by id keep or drop all rows of an id together.
+Every row is judged by its own text, also one without an id or with an id that another row has: a stage that drops rows numbers those of its input, and its
+operator works on these numbers. Labels of toxicity are by doc_id. Of near copies the row with the least doc_id stays, one without an id only if none has one.
 """
 
 from __future__ import annotations
@@ -22,23 +22,40 @@ DEMO_KEY = "demonstration key"
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id is not among doc_id of rejected; a null id stays."""
-    ids = rejected.select(F.col("doc_id").alias("rejected")).where("rejected is not null").distinct()
-    return docs.join(ids, docs["doc_id"] == ids["rejected"], "left_anti")
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, and the name of its column. They are stored, so that every plan reads the same numbers."""
+    row = "row_number"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder), row
+
+
+def _without(docs: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """The documents whose number is not among doc_id of rejected."""
+    ids = rejected.select(F.col("doc_id").alias("rejected"))
+    return docs.join(ids, docs[row] == ids["rejected"], "left_anti").drop(row)
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, toxicity.scored(docs, model).where("score >= 0.5"))
+    docs, row = _numbered(spark, docs)
+    return _without(docs, row, toxicity.scored(docs, model, id_col=row).where("score >= 0.5"))
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.judged(docs).where("not kept"))
+    docs, row = _numbered(spark, docs)
+    return _without(docs, row, quality.judged(docs, id_col=row).where("not kept"))
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, minhash.near_duplicates(docs, words=SHINGLE_WORDS, percent=PERCENT).where("not kept"))
+    docs, row = _numbered(spark, docs)
+    found = minhash.near_duplicates(docs, id_col=row, words=SHINGLE_WORDS, percent=PERCENT).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
+    stay = found.join(ids, "row").groupBy("component").agg(first.alias("stays")).select("stays")
+    return docs.join(stay, docs[row] == stay["stays"], "left_semi").drop(row)
 
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,23 @@ def test_run_packs_what_is_left(spark, corpus):
     assert not left & {*range(200, 220), *range(300, 310), 500, 501} and {*range(100), 400} <= left
 
 
+def test_rows_are_judged_whatever_their_ids(spark, corpus, tmp_path):
+    """Rows without an id, a repeated row, and rows of other texts under an id that is there."""
+    folder, docs = corpus
+    toxic, poor = (" vilefool rotbrain scumm " + text_of(2, 9)), " ".join(w + "###$$$" for w in text_of(9, 120).split())
+    gone = [(None, text_of(900, 120) + toxic), (None, "few words"), (None, poor), (None, text_of(40, 120) + " last words")]
+    gone += [(10, text_of(901, 120) + toxic), (15, poor), (95, text_of(30, 120) + " last words")]
+    stay = [(None, text_of(902, 120)), (130, text_of(903, 120)), (130, text_of(904, 120)), (10, text_of(10, 120)), (15, text_of(15, 120)), (95, text_of(95, 120)), (40, text_of(40, 120)), (30, text_of(30, 120))]
+    more = [(i, t, "en", "a", 0) for i, t in [*gone, *stay[:3], (20, text_of(20, 120))]]
+    docs = spark.createDataFrame(more, docs.schema).union(docs)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert not set(gone) & set(left)
+    assert all(left.count(x) == 1 for x in [*stay, (20, text_of(20, 120))])
+
+
 @pytest.mark.parametrize("make", [untidy, empty])
 def test_stages_take_untidy_and_empty_tables(spark, tmp_path, make):
     docs = make(spark)
