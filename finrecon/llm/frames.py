@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,17 +13,43 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finrecon.plans.shipping import shipped
 
-BATCH_BYTES, DEFAULT_BATCH_BYTES, OWN_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+BATCH_BYTES, OWN_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where the session names none, as in tests."""
+    """The folder that spark.checkpoint.dir names; on one machine, as in tests, one of our own if the session names none. A cluster must name one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+class Scratch:
+    """Tables of one run in the shared folder. A table that no later step reads is deleted by ``done``; those that the result reads stay."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The rows of df, computed once and written."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def done(self, *tables: DataFrame) -> None:
+        context = self.spark.sparkContext
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and stored in the shared folder."""
     shared_folder(df.sparkSession)
@@ -30,10 +57,12 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches bounded by bytes, as texts may be long, and memory given back after each task."""
+    """df.mapInArrow(run, schema) with batches bounded by bytes, as texts may be long, and memory given back after each task.
+
+    The bound is a setting of the session, the only way in that Spark offers; it is set here once unless the user has set it."""
     spark = df.sparkSession
     shipped(spark)
-    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:  # a value that the user chose stays
+    if BATCH_BYTES not in spark.conf.getAll:
         spark.conf.set(BATCH_BYTES, OWN_BATCH_BYTES)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
