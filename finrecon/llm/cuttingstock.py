@@ -96,10 +96,10 @@ def relaxation(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[
 
 
 def cutting_stock(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], dict[int, int], float]:
-    """(pattern, how many sequences) of whole pieces, the pieces left over, and a lower bound on the number of sequences.
+    """(pattern, how many sequences) of whole pieces, the pieces left over, and a lower bound on the number of sequences of whole pieces.
 
-    Patterns of the relaxation are used floor(value) times as far as pieces are left, then sequences filled largest first that are full but for
-    SLACK. What is left is at most a few pieces for each pattern, however many there are in all; the caller cuts those. Empty histogram: no patterns."""
+    Patterns of the relaxation that are full but for SLACK are used floor(value) times as far as pieces are left, then sequences filled largest first that are as full.
+    The caller cuts what is left: a few pieces for each pattern, or any number where lengths do not fit each other. Empty histogram: no patterns."""
     full = histogram.get(capacity, 0)
     part = {n: k for n, k in sorted(histogram.items()) if 0 < n < capacity and k > 0}
     plan: list[tuple[Pattern, int]] = [({capacity: 1}, full)] if full else []
@@ -110,6 +110,8 @@ def cutting_stock(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[
     for i in np.argsort(-used):
         pattern = patterns[i]
         in_it = pattern > 0
+        if capacity - int(pattern @ lengths) > SLACK * capacity:
+            continue
         times = min(int(used[i] + 1e-9), int((left[in_it] // pattern[in_it]).min()))
         if times > 0:
             left = left - times * pattern

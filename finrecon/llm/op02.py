@@ -21,7 +21,7 @@ def _digests(model: str):
         lattices = sg.lattices_of(model)
         for batch in batches:
             texts = batch.column(1)
-            for first, ids, size in sg.encoded(texts, sg._keys(batch.column(0)), lattices, SEED):
+            for first, ids, size in sg.encoded(texts, sg.row_seeds(batch.column(0), SEED), lattices):
                 back = sg.decoded_texts(ids, size, lattices)
                 given = [(texts[first + i].as_py() or "").encode("utf-8", "surrogatepass") for i in range(len(size))]
                 stop = np.cumsum(size)

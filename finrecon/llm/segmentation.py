@@ -10,7 +10,7 @@ segment are computed once per worker; a sampling step is then one binary search
 (1 + r) ** -alpha, since the vocabulary gives merge ranks; alpha sets how far samples stray from frequent pieces. Characters without a piece, and the space mark itself, become
 byte pieces, so decoding gives back every text exactly.
 
-Defined cases: null and empty texts have no pieces and decode to the empty text; a null key counts as its own key; repeated rows get equal ids; other columns are not read; an
+Defined cases: null and empty texts have no pieces and decode to the empty text; a null key has a seed of its own, unlike that of any number; repeated rows get equal ids; other columns are not read; an
 empty table gives an empty result. A segment of any length is sampled whole.
 """
 
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 
 from finrecon.llm import textarrays as ta
 from finrecon.llm.frames import in_arrow, own
-from finrecon.llm.tokens import gathered
+from finrecon.llm.tokens import KnownBytes, first_of, gathered
 
 MARK = "▁"
 ALPHA, STORED_EDGES = 1.0, 6_000_000
+NO_KEY = np.uint64(0xA0761D6478BD642F)
 ONLY_SPACE = np.zeros(256, bool)
 ONLY_SPACE[0x20] = True
 
@@ -69,10 +70,12 @@ class Lattices:
         for i in plain:
             raw = np.frombuffer(spelt[i], np.uint8)
             self.joined[raw[:-1], raw[1:]] = True
+        self.key = 0
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
+        self.known = KnownBytes()
         self.end = np.zeros(0, np.int64)
         self.nodes = 0
         self.threshold, self.before, self.emit = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.uint32)
@@ -96,6 +99,13 @@ class Lattices:
             h = ta.Words(texts, char[u], char[u + k], of[u], ta.SAME, len(data)).hashes()
             place = np.minimum(np.searchsorted(self.piece_hash, h), len(self.piece_hash) - 1)
             found = self.piece_hash[place] == h
+            hit, ids = np.flatnonzero(found), self.piece_id[place[found]]
+            size = char[u[hit] + k] - char[u[hit]]
+            right = size == self.piece_size[ids]
+            found[hit[~right]] = False
+            hit, ids, size = hit[right], ids[right], size[right]
+            same = data[gathered(char[u[hit]], size)] == self.piece_bytes[gathered(self.piece_at[ids], size)]
+            found[hit[np.bincount(np.repeat(np.arange(len(hit)), size), weights=~same, minlength=len(hit)) > 0]] = False
             if k == 1:
                 lone = u[~found]
                 size = char[lone + 1] - char[lone]
@@ -148,24 +158,29 @@ class Lattices:
             out[i] = self.spelt_of[raw]
         return out
 
-    def look_up(self, hashes: np.ndarray, segment) -> np.ndarray:
-        """The end node of the lattice of each segment."""
-        which, distinct = pd.factorize(hashes)
-        if len(self.threshold) > STORED_EDGES:
-            self.clear()
-        place = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        there = place < len(self.keys)
-        new[there] = self.keys[place[there]] != distinct[there]
-        fresh = np.flatnonzero(new)
-        if len(fresh):
-            fresh = fresh[np.argsort(distinct[fresh])]
-            first = np.zeros(len(distinct), np.int64)
-            first[which[::-1]] = np.arange(len(hashes) - 1, -1, -1)
-            ends = self.add([segment(i) for i in first[fresh].tolist()])
-            self.keys, self.end = np.insert(self.keys, place[fresh], distinct[fresh]), np.insert(self.end, place[fresh], ends)
+    def look_up(self, found: ta.Words) -> np.ndarray:
+        """The end node of the lattice of each segment; the segments cover their texts. Bytes are compared, and a hash that two segments share gets another key."""
+        while True:
+            which, distinct = pd.factorize(found.hashes(self.key))
+            if len(self.threshold) > STORED_EDGES:
+                self.clear()
             place = np.searchsorted(self.keys, distinct)
-        return self.end[place][which]
+            new = np.ones(len(distinct), bool)
+            there = place < len(self.keys)
+            new[there] = self.keys[place[there]] != distinct[there]
+            fresh = np.flatnonzero(new)
+            if len(fresh):
+                fresh = fresh[np.argsort(distinct[fresh])]
+                first = first_of(which, len(distinct))[fresh]
+                ends = self.add([found.bytes_of(i) for i in first.tolist()])
+                self.keys, self.end = np.insert(self.keys, place[fresh], distinct[fresh]), np.insert(self.end, place[fresh], ends)
+                self.known.add(place[fresh], first, found)
+                place = np.searchsorted(self.keys, distinct)
+            row = place[which]
+            if self.known.equal(row, found):
+                return self.end[row]
+            self.key += 1
+            self.clear()
 
     def sampled(self, end: np.ndarray, seed: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids per segment) of a drawn path for each segment; length is the segment's number of characters."""
@@ -212,7 +227,7 @@ def lattices_of(model: str, alpha: float = ALPHA) -> Lattices:
     return _lattices[model, alpha]
 
 
-def encoded(column: pa.Array, keys: np.ndarray, lattices: Lattices, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def encoded(column: pa.Array, seeds: np.ndarray, lattices: Lattices) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids end to end, ids per text) for a few texts at a time."""
     for first, plain in ta.pieces(column):
         full = np.diff(plain.offsets) > 0
@@ -228,9 +243,9 @@ def encoded(column: pa.Array, keys: np.ndarray, lattices: Lattices, seed: int) -
         words = ta.Words(texts, begin, stop, np.searchsorted(texts.offsets, begin, side="right") - 1, words.table, words.n)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         length = heads[words.stop] - heads[words.start]
-        end = lattices.look_up(words.hashes(), words.bytes_of)
+        end = lattices.look_up(words)
         place = np.arange(len(words)) - np.searchsorted(words.text, words.text)
-        row = ta.mix(keys[first : first + len(texts)].astype(np.uint64) + ta.mix(np.array([seed], np.uint64)))
+        row = seeds[first : first + len(texts)]
         ids, size = lattices.sampled(end, ta.mix(row[words.text] + place.astype(np.uint64)), length)
         yield first, ids, np.bincount(words.text, weights=size, minlength=len(texts)).astype(np.int64)
 
@@ -243,15 +258,18 @@ def decoded_texts(ids: np.ndarray, size: np.ndarray, lattices: Lattices) -> list
     return [raw[ends[b - n] : ends[b]].tobytes()[1:] if n else b"" for b, n in zip(stop.tolist(), size.tolist(), strict=True)]
 
 
-def _keys(column: pa.Array) -> np.ndarray:
-    return np.array([-1 if v is None else v for v in column.to_pylist()], np.int64).view(np.uint64)
+def row_seeds(column: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit seed for each row from its key; a null key has one that follows from no number."""
+    keys = ta.mix(np.array([0 if v is None else v for v in column.to_pylist()], np.int64).view(np.uint64) + ta.mix(np.array([seed], np.uint64)))
+    none = np.array([v is None for v in column.to_pylist()], bool)
+    return np.where(none, ta.mix(keys + NO_KEY), keys)
 
 
 def _encode(model: str, alpha: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(model, alpha)
         for batch in batches:
-            for first, ids, size in encoded(batch.column(1), _keys(batch.column(0)), lattices, seed):
+            for first, ids, size in encoded(batch.column(1), row_seeds(batch.column(0), seed), lattices):
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(size)), column], ["doc_id", "ids"])

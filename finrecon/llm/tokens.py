@@ -2,7 +2,7 @@
 
 The pre-tokenizer of the vocabulary never joins text across the end of a run of non-space characters, so a text is encoded chunk by chunk,
 a chunk being a run of spaces with the run of other characters after it, split further where an ASCII letter meets an ASCII mark other than the apostrophe. Each distinct chunk is encoded once per worker by ``tokenizers``
-and looked up by its hash afterwards. A chunk that ends in a space beyond ASCII stays joined to the next one, as the pre-tokenizer
+and looked up by its hash afterwards; the bytes of every chunk are compared with those that the store encoded, and should two chunks ever share a hash, the store starts anew with another key. A chunk that ends in a space beyond ASCII stays joined to the next one, as the pre-tokenizer
 may join those. The store of a worker holds at most ``STORED`` chunks and starts anew when full.
 
 By default the vocabulary's special tokens are text like any other. With ``added`` the ids are those of the file's own tokenizer: each literal string of an added token
@@ -30,7 +30,7 @@ class ChunkStore:
     added finds the literal strings of added tokens, None if there are none to find."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], added: re.Pattern[bytes] | None = None):
-        self.encode, self.added = encode, added
+        self.encode, self.added, self.key = encode, added, 0
         self.clear()
 
     def clear(self) -> None:
@@ -38,32 +38,66 @@ class ChunkStore:
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
-
-    def look_up(self, hashes: np.ndarray, chunk: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(first position in ids, number of ids) for each of the hashes; chunk(i) gives the bytes of the i-th."""
-        which, distinct = pd.factorize(hashes)
-        if len(self.keys) + len(distinct) > STORED:
-            self.clear()
-        place = np.searchsorted(self.keys, distinct)
-        new = np.ones(len(distinct), bool)
-        there = place < len(self.keys)
-        new[there] = self.keys[place[there]] != distinct[there]
-        if new.any():
-            first = np.zeros(len(distinct), np.int64)
-            first[which[::-1]] = np.arange(len(hashes) - 1, -1, -1)
-            fresh = np.flatnonzero(new)
-            fresh = fresh[np.argsort(distinct[fresh])]
-            ids, size = [], []
-            for k in range(0, len(fresh), AT_ONCE):
-                found, own = self.encode([chunk(i) for i in first[fresh[k : k + AT_ONCE]].tolist()])
-                ids.append(found)
-                size.append(own)
-            size = np.concatenate(size)
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, *ids])
-            self.at, self.size, self.keys = (np.insert(old, place[fresh], own) for old, own in ((self.at, at), (self.size, size), (self.keys, distinct[fresh])))
+        self.known = KnownBytes()
+
+    def look_up(self, found: ta.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first position in ids, number of ids) for each chunk; the chunks cover their texts."""
+        while True:
+            which, distinct = pd.factorize(found.hashes(self.key))
+            if len(self.keys) + len(distinct) > STORED:
+                self.clear()
             place = np.searchsorted(self.keys, distinct)
-        return self.at[place][which], self.size[place][which]
+            new = np.ones(len(distinct), bool)
+            there = place < len(self.keys)
+            new[there] = self.keys[place[there]] != distinct[there]
+            if new.any():
+                self.add(distinct, place, np.flatnonzero(new), first_of(which, len(distinct)), found)
+                place = np.searchsorted(self.keys, distinct)
+            row = place[which]
+            if self.known.equal(row, found):
+                return self.at[row], self.size[row]
+            self.key += 1
+            self.clear()
+
+    def add(self, distinct: np.ndarray, place: np.ndarray, fresh: np.ndarray, first: np.ndarray, found: ta.Words) -> None:
+        fresh = fresh[np.argsort(distinct[fresh])]
+        ids, size = [], []
+        for k in range(0, len(fresh), AT_ONCE):
+            got, own = self.encode([found.bytes_of(i) for i in first[fresh[k : k + AT_ONCE]].tolist()])
+            ids.append(got)
+            size.append(own)
+        size = np.concatenate(size)
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *ids])
+        self.at, self.size, self.keys = (np.insert(old, place[fresh], own) for old, own in ((self.at, at), (self.size, size), (self.keys, distinct[fresh])))
+        self.known.add(place[fresh], first[fresh], found)
+
+
+def first_of(which: np.ndarray, n: int) -> np.ndarray:
+    """The first place at which each of n numbers stands in which."""
+    first = np.zeros(n, np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return first
+
+
+class KnownBytes:
+    """The bytes of a store's entries, end to end, in the order of the store's rows."""
+
+    def __init__(self):
+        self.at, self.size, self.data = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def add(self, rows: np.ndarray, words: np.ndarray, found: ta.Words) -> None:
+        """Put words of found at the rows, as numpy.insert does."""
+        size = found.stop[words] - found.start[words]
+        at = len(self.data) + np.cumsum(size) - size
+        self.data = np.concatenate([self.data, found.texts.data[gathered(found.start[words], size)]])
+        self.at, self.size = np.insert(self.at, rows, at), np.insert(self.size, rows, size)
+
+    def equal(self, rows: np.ndarray, found: ta.Words) -> bool:
+        """Whether the rows hold the bytes of the words of found, which cover their texts."""
+        if not np.array_equal(self.size[rows], found.stop - found.start):
+            return False
+        return np.array_equal(self.data[gathered(self.at[rows], self.size[rows])], found.texts.data)
 
 
 def gathered(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -169,7 +203,7 @@ def encoded(column: pa.Array, store: ChunkStore) -> Iterator[tuple[int, np.ndarr
     """(first row, ids end to end, ids per text) for a few texts of the column at a time."""
     for first, texts in ta.pieces(column):
         found = chunks(texts, store.added)
-        at, size = store.look_up(found.hashes(), found.bytes_of)
+        at, size = store.look_up(found)
         yield first, store.ids[gathered(at, size)], np.bincount(found.text, weights=size, minlength=len(texts)).astype(np.int64)
 
 
@@ -177,5 +211,5 @@ def encoded_sizes(column: pa.Array, store: ChunkStore) -> Iterator[tuple[int, np
     """(first row, ids per text), without the ids."""
     for first, texts in ta.pieces(column):
         found = chunks(texts, store.added)
-        _, size = store.look_up(found.hashes(), found.bytes_of)
+        _, size = store.look_up(found)
         yield first, np.bincount(found.text, weights=size, minlength=len(texts)).astype(np.int64)

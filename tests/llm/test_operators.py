@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from finrecon.llm import components, cuttingstock, media, minhash, op01, op02, op03, op04, op05, op06, op07, op08, op09, op10, packing, pseudonyms, quality, secrets, segmentation, textarrays as ta, tokencounts, tokens, toxicity, urlfilter
+from finrecon.llm import components, cuttingstock, frames, media, minhash, op01, op02, op03, op04, op05, op06, op07, op08, op09, op10, packing, pseudonyms, quality, secrets, segmentation, textarrays as ta, tokencounts, tokens, toxicity, urlfilter
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -119,6 +120,76 @@ def test_near_duplicates_are_exact(spark):
     assert found == brute_components(texts, 4, 80)
 
 
+def test_dense_groups_without_a_common_original(spark, monkeypatch):
+    """Members of one template with a few edits each, some shared: buckets stay open, classes repeat, and shingles are dealt over blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    rng, texts = np.random.default_rng(1), {}
+    for g in range(2):
+        base = [f"w{g}x{k}" for k in rng.integers(0, 400, 60 + 30 * g)]
+        for _ in range(90):
+            words = base.copy()
+            for p in rng.choice(len(words), rng.integers(1, 4), replace=False):
+                words[p] = f"e{rng.integers(0, 3)}" if rng.random() < 0.6 else f"u{rng.integers(0, 10**6)}"
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, words=4).collect()}
+    assert found == brute_components(texts, 4, 80)
+
+
+def test_large_group_of_near_copies_needs_little_disk(spark):
+    """What near-duplicates write stays within a few times the input, with half of the texts in one group of near copies."""
+    rng = np.random.default_rng(2)
+    base = text_of(5, 90).split()
+    texts = [text_of(i, 60 + i % 50) + f" own{i}" for i in range(1500)]
+    for k in range(1500):
+        words = base.copy()
+        words[rng.integers(0, 90)] = f"edit{k}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    folder = pathlib.Path(frames.shared_folder(spark).removeprefix("file:"))
+    before = {p for p in folder.rglob("*")}
+    minhash.near_duplicates(docs, words=4).collect()
+    left = sum(p.stat().st_size for p in folder.rglob("*") if p not in before and p.is_file())
+    assert left < 1.5 * sum(map(len, texts))
+
+
+def thue_morse(n):
+    return ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(n)) for k in (0, 1)]
+
+
+def test_texts_that_polynomial_hashes_confuse(spark):
+    """Two Thue-Morse strings have equal polynomial hashes modulo 2^64 for every odd base."""
+    one, two = thue_morse(2048)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"x {one}"), (4, f"x {two}")], "doc_id long, text string")
+    assert all(r["kept"] for r in minhash.near_duplicates(docs).collect())
+    back = segmentation.decoded_pieces(segmentation.sampled_pieces(docs, PIECES, seed=2), PIECES)
+    assert {r[0]: r[1] for r in back.collect()} == {r[0]: r[1] for r in docs.collect()}
+    check_packed(packing.packed(docs, BPE).collect(), {r[0]: r[1] for r in docs.collect()})
+
+
+def test_stores_survive_equal_hashes(monkeypatch):
+    """With a hash of few bits under the first key, the stores notice by bytes and go on with another key."""
+    true = ta.Words.hashes
+    monkeypatch.setattr(ta.Words, "hashes", lambda self, key=0: true(self, key) & np.uint64(15) if key == 0 else true(self, key))
+    texts = [text_of(i, 30) for i in range(20)]
+    store = tokens.ChunkStore(tokens.byte_level(BPE, True), tokens.added_tokens(BPE))
+    from tokenizers import Tokenizer
+
+    got = [ids[b - n : b].tolist() for _, ids, size in tokens.encoded(pa.array(texts), store) for b, n in zip(np.cumsum(size), size, strict=True)]
+    assert got == [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)] and store.key > 0
+
+
+def test_null_keys_have_a_seed_of_their_own():
+    seeds = segmentation.row_seeds(pa.array([None, 0, -1, 1, None]), 7)
+    assert seeds[0] == seeds[4] and len(set(seeds.tolist())) == 4
+
+
+def test_one_id_with_two_texts(spark):
+    rows = [(1, text_of(1)), (1, text_of(2)), (2, text_of(1)), (3, text_of(2))]
+    runs = [sorted(map(tuple, minhash.near_duplicates(spark.createDataFrame(r, "doc_id long, text string")).collect())) for r in (rows, rows[::-1])]
+    assert runs[0] == runs[1] and [r[0] for r in runs[0]] == [1, 2, 3]
+
+
 def test_densified_bins_copy_full_ones():
     s = np.unique(ta.mix(np.arange(5, dtype=np.uint64)))
     sign = minhash.signature(s)
@@ -144,7 +215,7 @@ def test_token_ids_equal_those_of_whole_texts():
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
+    whole.encode_special_tokens = True  # this store takes added tokens as text
     texts = unusual_texts(3000)
     got = []
     for _, ids, size in tokens.encoded(pa.array(texts), tokens.store_of(BPE)):
@@ -186,10 +257,10 @@ def test_operators_give_ids_of_the_unchanged_tokenizer(spark):
 def test_segmentations_round_trip_and_repeat():
     lattices = segmentation.lattices_of(PIECES)
     texts = [*unusual_texts(1500), "q" * 3000]
-    keys = np.arange(len(texts)).astype(np.uint64)
+    keys = pa.array(np.arange(len(texts)))
     runs = []
     for _ in range(2):
-        out = [(ids.tolist(), size.tolist(), segmentation.decoded_texts(ids, size, lattices)) for _, ids, size in segmentation.encoded(pa.array(texts), keys, lattices, 9)]
+        out = [(ids.tolist(), size.tolist(), segmentation.decoded_texts(ids, size, lattices)) for _, ids, size in segmentation.encoded(pa.array(texts), segmentation.row_seeds(keys, 9), lattices)]
         runs.append(out)
     assert runs[0] == runs[1]
     assert [t.decode() for _, _, back in runs[0] for t in back] == texts
@@ -203,7 +274,7 @@ def test_segmentations_follow_their_weights():
         return [((s[:k], *rest), weight[s[:k]] * p) for k in range(1, len(s) + 1) if s[:k] in weight for rest, p in (paths(s[k:]) if s[k:] else [((), 1.0)])]
 
     n, seen = 20_000, Counter()
-    for _, ids, size in segmentation.encoded(pa.array(["thing"] * n), np.arange(n).astype(np.uint64), lattices, 4):
+    for _, ids, size in segmentation.encoded(pa.array(["thing"] * n), segmentation.row_seeds(pa.array(np.arange(n)), 4), lattices):
         stop = np.cumsum(size)
         for b, k in zip(stop, size, strict=True):
             seen[tuple(lattices.piece_bytes[lattices.piece_at[i] : lattices.piece_at[i] + lattices.piece_size[i]].tobytes().decode() for i in ids[b - k : b])] += 1
@@ -236,7 +307,6 @@ def check_packed(rows, texts):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
     parts, sequences = {}, {}
     for r in rows:
         parts.setdefault(r["doc_id"], []).append(r)
@@ -260,6 +330,13 @@ def check_packed(rows, texts):
     return padding / sum(r["length"] for r in rows)
 
 
+@pytest.mark.parametrize("n", [600, 513, 1000])
+def test_lengths_that_do_not_fit_are_cut(spark, n):
+    texts = {i: "the " * (n - 2) for i in range(40)}
+    rows = packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), BPE).collect()
+    assert check_packed(rows, texts) < 0.01
+
+
 def test_op3_packs_every_id(spark, small):
     rows = op03.op3_packing(spark, small).collect()
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
@@ -415,7 +492,6 @@ def test_op8_matches_brute_force(spark, small):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
     texts = [r[0] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
     n = np.array([len(e.ids) for e in whole.encode_batch(texts, add_special_tokens=False)])
     sums = op08.op8_token_counts(spark, small).cache()
