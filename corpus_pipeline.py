@@ -1,19 +1,17 @@
 """A training corpus from documents: toxic and poor documents go, one of each near-duplicate group stays, personal data is replaced, and what is left is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored and read again for the next one. All but the last return the columns of documents.
-Every row is judged by its own text, also one without an id or with an id that another row has: a stage that drops rows numbers those of its input, and its
-operator works on these numbers. Labels of toxicity are by doc_id. Of near copies the row with the least doc_id stays, one without an id only if none has one.
+Every row is judged by its own text, also one without an id or with an id that another row has: scores and verdicts are columns beside the row, and near-dedup numbers the rows of
+its input. Labels of toxicity are by doc_id. Of near copies the row with the least doc_id stays, one without an id only if none has one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finrecon.llm import minhash, packing, pseudonyms, quality, toxicity
-from finrecon.llm.frames import shared_folder
+from finrecon.llm.frames import Scratch
 
 SHINGLE_WORDS, PERCENT = 5, 80
 CAPACITY = 1024
@@ -22,40 +20,31 @@ DEMO_KEY = "demonstration key"
 ORACLE_SQL = None
 
 
-def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with a number of their own, and the name of its column. They are stored, so that every plan reads the same numbers."""
-    row = "row_number"
-    while row in {c.lower() for c in docs.columns}:
-        row += "_"
-    folder = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn(row, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
-    return spark.read.parquet(folder), row
-
-
-def _without(docs: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
-    """The documents whose number is not among doc_id of rejected."""
-    ids = rejected.select(F.col("doc_id").alias("rejected"))
-    return docs.join(ids, docs[row] == ids["rejected"], "left_anti").drop(row)
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    docs, row = _numbered(spark, docs)
-    return _without(docs, row, toxicity.scored(docs, model, id_col=row).where("score >= 0.5"))
+    score = "toxicity"
+    while score in {c.lower() for c in docs.columns}:
+        score += "_"
+    return toxicity.with_scores(docs, model, name=score).where(F.col(score) < 0.5).drop(score)
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, row = _numbered(spark, docs)
-    return _without(docs, row, quality.judged(docs, id_col=row).where("not kept"))
+    return quality.kept_rows(docs)
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, row = _numbered(spark, docs)
+    row = "row_number"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    # The rows get numbers of their own and are stored, so that every plan reads the same numbers.
+    docs = Scratch(spark, "rows").kept(docs.withColumn(row, F.monotonically_increasing_id()))
     found = minhash.near_duplicates(docs, id_col=row, words=SHINGLE_WORDS, percent=PERCENT).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))["row"]
-    stay = found.join(ids, "row").groupBy("component").agg(first.alias("stays")).select("stays")
-    return docs.join(stay, docs[row] == stay["stays"], "left_semi").drop(row)
+    stay = found.join(ids, "row").groupBy("component").agg(first.alias("stays"), F.count("*").alias("size")).where("size > 1")
+    gone = Scratch(spark, "copies").kept(found.join(stay, "component").where("row <> stays").select("row"))
+    few = F.broadcast(gone) if gone.count() <= minhash.BROADCAST_ROWS else gone
+    return docs.join(few, docs[row] == few["row"], "left_anti").drop(row)
 
 
 def private_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,8 +66,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    scratch, before = Scratch(spark, "pipeline"), None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.kept(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.done(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

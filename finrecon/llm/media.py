@@ -93,12 +93,16 @@ _BANK, _WINDOW = mel_bank(RATE * UP / DOWN), np.hanning(FRAME)
 
 
 def log_mel(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log band energies (frames x bands) and frame energies in dB; the end is filled up to a whole frame."""
+    """Log band energies (frames x bands) and frame energies in dB, BLOCK frames at a time; the end is filled up to a whole frame."""
     frames = max(1, -(-(len(y) - FRAME) // HOP) + 1)
     padded = np.concatenate([y, np.zeros(max(0, (frames - 1) * HOP + FRAME - len(y)))])
     cut = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP][:frames]
-    power = np.abs(np.fft.rfft(cut * _WINDOW, axis=1)) ** 2
-    return np.log(power @ _BANK + FLOOR).astype(np.float32), 10 * np.log10(power.mean(axis=1) + FLOOR)
+    mel, level = np.empty((frames, BANDS), np.float32), np.empty(frames)
+    for k in range(0, frames, BLOCK):
+        power = np.abs(np.fft.rfft(cut[k : k + BLOCK] * _WINDOW, axis=1)) ** 2
+        mel[k : k + BLOCK] = np.log(power @ _BANK + FLOOR)
+        level[k : k + BLOCK] = 10 * np.log10(power.mean(axis=1) + FLOOR)
+    return mel, level
 
 
 def segments(level: np.ndarray, high: float = HIGH_DB, low: float = LOW_DB) -> list[tuple[int, int]]:
@@ -136,6 +140,13 @@ def tensors(mel: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def bands_of(stream: bytes) -> np.ndarray:
+    """The frames x bands that ``tensors`` stored, without the filling of the last block."""
+    table = pa.ipc.open_stream(stream).read_all()
+    blocks = table["log_mel"].combine_chunks().to_numpy_ndarray().reshape(-1, BANDS)
+    return blocks[: round(table["end_s"][-1].as_py() / seconds(1))]
+
+
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
     for batch in batches:
@@ -143,9 +154,11 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = stored(payload_of(batch.column(1)[i].as_py()))
             mel, runs = features_of(samples_of(media)[1])
             found = [{"start_s": seconds(a), "end_s": seconds(b)} for a, b in runs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([media], pa.binary()), pa.array([tensors(mel)], pa.binary()), pa.array([found], span)], ["doc_id", "media", "log_mel", "segments"])
+            size = len((batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"))
+            columns = [pa.array([media], pa.binary()), pa.array([tensors(mel)], pa.binary()), pa.array([found], span), pa.array([size], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *columns], ["doc_id", "media", "log_mel", "segments", "n_bytes"])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, media (wave file), log_mel (Arrow stream of fixed-shape tensors), segments (time spans)."""
-    return in_arrow(own(docs, id_col, text_col), _columns, "doc_id long, media binary, log_mel binary, segments array<struct<start_s:double,end_s:double>>")
+    """doc_id, media (wave file), log_mel (Arrow stream of fixed-shape tensors), segments (time spans), n_bytes (of the text)."""
+    return in_arrow(own(docs, id_col, text_col), _columns, "doc_id long, media binary, log_mel binary, segments array<struct<start_s:double,end_s:double>>, n_bytes long")

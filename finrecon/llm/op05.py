@@ -7,7 +7,8 @@ from finrecon.llm.toxicity import fitted, scored
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by 5; false for a null id, to which no label belongs."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

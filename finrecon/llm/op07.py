@@ -8,31 +8,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from finrecon.llm import media
-from finrecon.llm.frames import in_arrow, own, table
+from finrecon.llm.frames import in_arrow, table
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def described(samples: bytes) -> str:
-    """Frames, mean and deviation of the bands, and the time spans of the segments."""
-    mel, runs = media.features_of(samples)
-    spans = ",".join(f"{media.seconds(a):.3f}-{media.seconds(b):.3f}" for a, b in runs)
+def described(stream: bytes, runs: list[dict]) -> str:
+    """Frames, mean and deviation of the stored bands, and the time spans of the segments."""
+    mel = media.bands_of(stream)
+    spans = ",".join(f"{r['start_s']:.3f}-{r['end_s']:.3f}" for r in runs)
     return f"frames={len(mel)};mean={','.join(f'{v:.3f}' for v in mel.mean(axis=0))};deviation={','.join(f'{v:.3f}' for v in mel.std(axis=0))};segments={spans}"
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text in batch.column(1):
-            payload = media.payload_of(text.as_py())
-            stored = media.stored(payload)
+        for stored, stream, runs, n in zip(*(batch.column(c).to_pylist() for c in ("media", "log_mel", "segments", "n_bytes")), strict=True):
             _, back = media.samples_of(stored)
-            n = len((text.as_py() or "").encode("utf-8", "surrogatepass"))
-            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-media.UNIT :]), len(stored), hashlib.sha256(stored).hexdigest(), described(back)))
+            rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-media.UNIT :]), len(stored), hashlib.sha256(stored).hexdigest(), described(stream, runs)))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return in_arrow(own(table(spark, sf_dir, "documents"), "doc_id", "text"), _digests, SCHEMA)
+    return in_arrow(media.media_columns(table(spark, sf_dir, "documents")), _digests, SCHEMA)

@@ -7,13 +7,16 @@ holder of the key can go back with ``revealed``. Kinds:
 card    13-19 digits that pass the Luhn test: the first digit stays, the others are permuted, the check digit follows
 iban    letters and digits whose mod-97 test passes: country and classes of characters stay, the check digits follow
 ssn     ddd-dd-dddd within the issued ranges, permuted within those
-phone   + and 8-15 digits: country code and punctuation stay
+phone   + and 8-15 digits, or ten digits written ddd-ddd-dddd, ddd.ddd.dddd or (ddd) ddd-dddd: country code, by the table of codes, and punctuation stay; the digits after the code
+        decide alone, so a number is the same with and without separators, and a ten-digit one the same as with +1 in front
 ip      four numbers up to 255, permuted as 32 bits
+ipv6    eight groups or fewer with ::, permuted as two halves of 64 bits, so addresses of one network stay in one; written as eight groups, which is how they come back
 date    a valid day of 1900-2099 written y-m-d, d/m/y or d.m.y: permuted among the days of its century; written with leading zeros;
         m/d/y, told by a day after 12, keeps day and month and gets another year of the century
-email   letters and digits before the @ are permuted within their classes; the rest stays
+email   letters and digits before the @ are permuted within their alphabets (``ALPHABETS``); the rest stays
 
-A Feistel step adds a keyed hash of one half to the other half modulo that half's size, so the pair of sizes can be any product, and no value needs a
+The key is a string, or a Column, such as one joined from a table that only the job may read: a string becomes a literal of the plan, which explain output and event logs show.
+The hash is HMAC-SHA-256 under the digest of the key. A Feistel step adds a keyed hash of one half to the other half modulo that half's size, so the pair of sizes can be any product, and no value needs a
 second try. Candidates that fail validation stay. Defined cases: a null text stays null; empty texts, repeated rows and other columns are
 kept as they are; a null id is kept.
 """
@@ -25,28 +28,50 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
-KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
+KINDS = ("email", "iban", "card", "ssn", "phone", "ipv6", "ip", "date")
 #: The written forms, in the order in which they are tried.
 FORMS = {
     "email": r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d+.-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.+-])(?:\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\d-]|\.\d)",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])",
 }
 PATTERN = "|".join(f"(?:{FORMS[k]})" for k in KINDS)
+#: International dialling codes of one and two digits; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+#: Alphabets as (first code point, letters): ASCII, Latin-1, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, kana, Han, Hangul.
+ALPHABETS = (
+    (97, 26), (65, 26), (48, 10), (0xE0, 23), (0xF8, 7), (0xC0, 23), (0xD8, 7), (0x3B1, 25), (0x391, 17), (0x3A3, 7), (0x430, 32), (0x410, 32), (0x5D0, 27),
+    (0x627, 20), (0x905, 53), (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20902), (0xAC00, 11172),
+)
 #: Any form holds one of these; texts without them are passed over by a plain scan.
 QUICK = "[0-9@]"
 
 
-def _hash(key: Column, kind: str, turn: Column, half: Column) -> Column:
-    digest = F.sha2(F.concat_ws("|", key, F.lit(kind), turn.cast("string"), half.cast("string"), key), 256)
+_HEX = "0123456789abcdef"
+
+
+def _pad(key: Column, byte: int) -> Column:
+    """The digest of the key in 64 letters A-P, one block of the hash, with each byte xored."""
+    return F.translate(F.sha2(key, 256), _HEX, "".join(chr((65 + i) ^ byte) for i in range(16)))
+
+
+def hmac(key: Column, message: Column) -> Column:
+    """HMAC-SHA-256 of the message under the digest of the key, its hex digits written A-P; as hex digits."""
+    inner = F.unhex(F.sha2(F.concat(_pad(key, 0x36), message), 256))
+    return F.sha2(F.concat(F.encode(_pad(key, 0x5C), "utf-8"), inner), 256)
+
+
+def _hash(key: Column, kind: str | Column, turn: Column, half: Column) -> Column:
+    digest = hmac(key, F.concat_ws("|", F.lit(kind) if isinstance(kind, str) else kind, turn.cast("string"), half.cast("string")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def feistel(x: Column, y: Column, a: Column, b: Column, key: Column, kind: str, back: bool = False) -> Column:
+def feistel(x: Column, y: Column, a: Column, b: Column, key: Column, kind: str | Column, back: bool = False) -> Column:
     """struct(x, y) after the rounds; x counts modulo a and y modulo b."""
 
     def turn(s: Column, r: Column) -> Column:
@@ -65,7 +90,7 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _of_digits(digits: Column, key: Column, kind: str, back: bool) -> Column:
+def _of_digits(digits: Column, key: Column, kind: str | Column, back: bool) -> Column:
     """A permutation of the strings of as many digits."""
     n = F.length(digits)
     h = F.floor(n / 2).cast("int")
@@ -122,17 +147,18 @@ def _shifted(text: Column, key: Column, kind: str, back: bool) -> Column:
 
     def turn(s: Column, r: Column) -> Column:
         other = F.array_join(F.filter(F.split(s, ""), lambda c, i: i % 2 == r % 2), "")
-        stream = F.sha2(F.concat_ws("|", key, F.lit(kind), r.cast("string"), n.cast("string"), other, key), 256)
+        stream = hmac(key, F.concat_ws("|", F.lit(kind), r.cast("string"), n.cast("string"), other))
 
         def move(c: Column, i: Column) -> Column:
-            by = F.conv(F.substr(stream, (F.floor(i / 2) % 21 * 3 + 1).cast("int"), F.lit(3)), 16, 10).cast("int") * (-1 if back else 1)
+            # Places that are a multiple of twelve apart share a number, which the place shifts.
+            by = (F.conv(F.substr(stream, (F.floor(i / 2) % 12 * 5 + 1).cast("int"), F.lit(5)), 16, 10).cast("int") + F.floor(i / 24)) * (-1 if back else 1)
             code = F.ascii(c)
-
-            def within(low: int, size: int) -> Column:
-                return F.char(F.pmod(code - low + by, F.lit(size)) + low)
-
-            moved = F.when(c.rlike("^[a-z]$"), within(97, 26)).when(c.rlike("^[A-Z]$"), within(65, 26)).when(c.rlike("^[0-9]$"), within(48, 10)).otherwise(c)
-            return F.when(i % 2 == r % 2, c).otherwise(moved)
+            chain = F
+            for low, size in ALPHABETS:
+                new = F.pmod(code - low + by, F.lit(size)) + low
+                text_of = F.char(new) if low < 128 else F.decode(F.unhex(F.lpad(F.hex(new), 4, "0")), "UTF-16BE")
+                chain = chain.when(code.between(low, low + size - 1), text_of)
+            return F.when(i % 2 == r % 2, c).otherwise(chain.otherwise(c))
 
         return F.array_join(F.transform(F.split(s, ""), move), "")
 
@@ -181,11 +207,38 @@ def _ssn(m: Column, key: Column, back: bool) -> Column:
 
 
 def _phone(m: Column, key: Column, back: bool) -> Column:
-    code = F.length(F.regexp_extract(m, r"^\+(\d{1,3}?)(?:[ .(-]|(?=\d{8}))", 1))
     digits = _digits(m)
+    one, two = ([c for c in CODES.split() if len(c) == k] for k in (1, 2))
+    code = F.when(~m.startswith("+"), 0).when(F.substr(digits, F.lit(1), F.lit(1)).isin(one), 1).when(F.substr(digits, F.lit(1), F.lit(2)).isin(two), 2).otherwise(3)
     inner = F.substr(digits, code + 1, F.length(digits))
+    # The rest is permuted under its country code; ten digits alone are numbers of +1.
+    country = F.concat(F.lit("phone"), F.when(code == 0, "1").otherwise(F.substr(digits, F.lit(1), code)))
     valid = F.length(digits).between(8, 15)
-    return F.when(valid, _filled(m, F.concat(F.substr(digits, F.lit(1), code), _of_digits(inner, key, "phone", back)))).otherwise(m)
+    return F.when(valid, _filled(m, F.concat(F.substr(digits, F.lit(1), code), _of_digits(inner, key, country, back)))).otherwise(m)
+
+
+def _ipv6(m: Column, key: Column, back: bool) -> Column:
+    def groups(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda g: g != "")
+
+    left, right = groups(F.split_part(m, F.lit("::"), F.lit(1))), groups(F.split_part(m, F.lit("::"), F.lit(2)))
+    missing = 8 - F.size(left) - F.size(right)
+    whole = F.when(F.instr(m, "::") > 0, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)).otherwise(groups(m))
+    number = F.transform(whole, lambda g: F.conv(g, 16, 10).cast("long"))
+
+    def half(n: Column, at: int, tweak: Column) -> Column:
+        return feistel(F.get(n, F.lit(at)) * 65536 + F.get(n, F.lit(at + 1)), F.get(n, F.lit(at + 2)) * 65536 + F.get(n, F.lit(at + 3)), F.lit(1 << 32), F.lit(1 << 32), key, tweak, back)
+
+    def shown(v: Column) -> Column:
+        return F.concat_ws(":", *(F.lower(F.hex(F.floor(p / d) % 65536)) for p in (v["x"], v["y"]) for d in (65536, 1)))
+
+    def put(n: Column) -> Column:
+        return _named(shown(half(n, 0, F.lit("net"))), lambda net: F.concat_ws(":", net, shown(half(n, 4, F.concat(F.lit("host"), network(n) if back else net)))))
+
+    def network(n: Column) -> Column:
+        return F.concat_ws(":", *(F.lower(F.hex(F.get(n, F.lit(k)))) for k in range(4)))
+
+    return F.when((F.size(whole) == 8) & ((missing > 0) | (F.instr(m, "::") == 0)), _named(number, put)).otherwise(m)
 
 
 def _ip(m: Column, key: Column, back: bool) -> Column:
@@ -232,7 +285,7 @@ def _date(m: Column, key: Column, back: bool) -> Column:
     return F.when(day.isNull() | ~F.year(day).between(1900, 2099), m).when(swapped, _named(year, put_year)).otherwise(_named(s, put))
 
 
-_PUT = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
+_PUT = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ipv6": _ipv6, "ip": _ip, "date": _date}
 
 
 def kind_of(m: Column) -> Column:
@@ -250,10 +303,18 @@ def pseudonym(m: Column, key: Column, back: bool = False) -> Column:
     return chain.otherwise(m)
 
 
-def with_pseudonyms(df: DataFrame, key: str, text_col: str = "text", back: bool = False, found_col: str | None = None) -> DataFrame:
+def _free(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_pseudonyms(df: DataFrame, key: str | Column, text_col: str = "text", back: bool = False, found_col: str | None = None) -> DataFrame:
     """df with personal data in the text replaced. With found_col, also an array of struct(kind, before, after) for each replaced value in order."""
-    text, secret = F.col(f"`{text_col}`"), F.lit(key)
-    matches, changed = "__matches", "__changed"
+    text, secret = F.col(f"`{text_col}`"), F.lit(key) if isinstance(key, str) else key
+    matches, changed = _free(df, "matches"), _free(df, "changed")
     df = df.withColumn(matches, F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     df = df.withColumn(changed, F.when(F.size(matches) > 0, F.transform(matches, lambda m: pseudonym(m, secret, back))))
     between = F.split(text, PATTERN, -1)
@@ -264,6 +325,6 @@ def with_pseudonyms(df: DataFrame, key: str, text_col: str = "text", back: bool
     return df.withColumn(text_col, F.when(F.col(changed).isNotNull(), F.array_join(parts, "")).otherwise(text)).drop(matches, changed)
 
 
-def revealed(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def revealed(df: DataFrame, key: str | Column, text_col: str = "text") -> DataFrame:
     """The texts before with_pseudonyms of the same key."""
     return with_pseudonyms(df, key, text_col, back=True)

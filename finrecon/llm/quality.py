@@ -1,63 +1,96 @@
 """Quality rules: fixed limits on words and repetition, and robust outliers of transformed statistics.
 
-For each (language, source) a minimum-covariance-determinant estimate of the statistic vectors is found by concentration steps: start from
-medians and median absolute deviations, keep the share ``KEPT`` of documents with the least distance, estimate mean and covariance from
-those, and repeat. A document whose squared Mahalanobis distance exceeds the group's cut is an outlier. Every step is one grouped
-aggregate over narrow rows; a group of any size is pre-aggregated, and the order statistics come from a histogram of
+For each (language, source) a minimum-covariance-determinant estimate of the statistic vectors is sought as by the fast algorithm: from ``STARTS`` starts, one from
+medians and quartiles and the others from small subsets drawn by a hash, take ``FIRST_STEPS`` concentration steps (keep the share ``KEPT`` of documents with the least distance, estimate mean and
+covariance from those); go on from the start with the least determinant until the determinant no longer falls. The covariance is scaled for consistency at the normal distribution. Every step is two
+grouped aggregates over narrow rows; a group of any size is pre-aggregated, and the order statistics come from a histogram of
 the logarithm of the distance, so no group meets in one task. All of it is DataFrame expressions.
 
-Statistics of a text: logarithm of the mean word length, logit-like transforms of the shares of symbol characters, of repeated words, of
-repeated lines, and of distinct words given the length. A small ridge keeps a covariance invertible in groups where a statistic is constant.
+A document whose squared Mahalanobis distance exceeds the group's cut is an outlier. The cut is the quantile of the chi-squared distribution at ``TAIL``, and where the group's median distance
+exceeds that of the distribution, as with tails longer than the normal's, it is raised in proportion.
 
-Defined cases: a null, empty or blank text has no words and fails the base rules; documents of few words take no part in the estimates;
-groups of fewer than ``LEAST`` such documents are judged by the language's estimate, and a language with too few by that of all; null language or source form groups of their own;
+Statistics of a text: logarithm of the mean word length; transformed shares of symbol characters, of repeated words, of repeated lines and of capitals; and the logarithm of the
+number of distinct words less what the text's length predicts in its group. A small ridge keeps a covariance invertible in groups where a statistic is constant.
+
+Defined cases: a null, empty or blank text has no words and fails the base rules; documents that fail them take no part in the estimates;
+groups of fewer than ``LEAST`` others are judged by the language's estimate, and a language with too few by that of all; null language or source form groups of their own;
 repeated rows count each; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from math import exp, lgamma, log
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from finrecon.llm.frames import kept, own
+from finrecon.llm.frames import Scratch, own
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-KEPT, STEPS, LEAST = 0.75, 4, 60
-#: Cut on the squared distance. Clean statistics have tails far longer than a normal distribution's, so the cut lies well beyond its quantiles.
-CUT = 30.0
-FEATURES = ("f_length", "f_symbols", "f_repeat", "f_lines", "f_upper")
+KEPT, LEAST = 0.75, 60
+STARTS, FIRST_STEPS, MOST_STEPS, START_ROWS = 4, 2, 10, 40
+#: A determinant has converged when its logarithm falls by less than FALL.
+TAIL, FALL = 1e-4, 1e-3
+FEATURES = ("f_length", "f_symbols", "f_repeat", "f_lines", "f_upper", "f_distinct")
 #: Least deviation of each feature, added in quadrature.
-RIDGE = (0.08, 0.35, 0.35, 0.35, 0.35)
-BINS_PER_E = 16
+RIDGE = (0.08, 0.35, 0.35, 0.35, 0.35, 0.08)
+BINS_PER_E = 32
+#: Tables of one row for each group are sent to all tasks up to so many groups, some 300 bytes each.
+BROADCAST_GROUPS = 50_000
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def chi2_share(x: float, p: int) -> float:
+    """Distribution function of chi-squared with p degrees of freedom, by its series."""
+    term = total = 1.0 / (p / 2)
+    k = 0
+    while term > total * 1e-16:
+        k += 1
+        term *= x / 2 / (p / 2 + k)
+        total += term
+    return min(1.0, total * exp(p / 2 * log(x / 2) - x / 2 - lgamma(p / 2))) if x > 0 else 0.0
+
+
+def chi2_quantile(share: float, p: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        x = (low + high) / 2
+        low, high = (x, high) if chi2_share(x, p) < share else (low, x)
+    return low
+
+
+def sent(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
-def word_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper for each row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    read = own(docs, id_col, "lang", "source", text_col).toDF("doc_id", "lang", "source", "text").withColumn("text", text)
-    words = read.withColumn("ws", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and n_distinct of each row; each word is hashed once."""
+    raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    words = docs.withColumn("ws", F.filter(F.split(raw, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    hashed = words.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
     runs = F.when(
-        F.size("ws") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("ws") - WINDOW + 1), lambda i: F.xxhash64(*(F.element_at("ws", (i + k).cast("int")) for k in range(WINDOW)))),
+        F.size("hs") >= WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size("hs") - WINDOW), lambda i: F.xxhash64(*(F.get("hs", i + k) for k in range(WINDOW)))),
     ).otherwise(F.array().cast("array<bigint>"))
-    hashed = words.withColumn("runs", runs)
+    hashed = hashed.withColumn("runs", runs)
     some = F.size(F.array_distinct("runs")) < F.size("runs")
     # Columns of their own: a lambda would otherwise compute the array anew for each element.
     hashed = hashed.withColumn("placed", F.when(some, F.array_sort(F.transform("runs", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     repeated = F.coalesce(covered(F.col("placed")), F.lit(0))
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    counted = hashed.withColumn("lines", F.when(F.instr("text", "\n") > 0, lines).otherwise(F.array().cast("array<string>")))
-    joined = F.array_join("ws", "")
-    return counted.select(
-        "doc_id", "lang", "source",
-        F.size("ws").cast("long").alias("n_words"),
-        F.length(joined).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated.cast("long").alias("n_repeat_words"),
-        F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
-    )
+    lines = F.filter(F.split(raw, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    counted = hashed.withColumn("lines", F.when(F.instr(raw, "\n") > 0, lines).otherwise(F.array().cast("array<string>")))
+    return counted.withColumns(
+        {
+            "n_words": F.size("ws").cast("long"),
+            "word_chars": F.length(F.regexp_replace(raw, r"[\x20\x09-\x0D]+", "")).cast("long"),
+            "n_symbols": F.regexp_count(raw, F.lit(f"[{SYMBOLS}]")).cast("long"),
+            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+            "n_repeat_words": repeated.cast("long"),
+            "n_upper": F.regexp_count(raw, F.lit("[A-Z]")).cast("long"),
+            "n_distinct": F.size(F.array_distinct("hs")).cast("long"),
+        }
+    ).drop("ws", "hs", "runs", "placed", "lines")
 
 
 def covered(placed: Column) -> Column:
@@ -89,98 +122,153 @@ def features(stats: DataFrame) -> DataFrame:
             "f_repeat": share("n_repeat_words", n, 0.05),
             "f_lines": F.log1p(F.col("n_dup_lines") / 2.0),
             "f_upper": share("n_upper", F.col("word_chars"), 0.03),
+            "f_distinct": F.log(F.col("n_distinct") + 1.0),
         }
     )
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Mean m0.. and covariance c00.. of each group by one partial aggregate."""
+def _less_line(rows: DataFrame, lines: DataFrame, few: bool) -> DataFrame:
+    """rows with f_distinct less what the logarithm of the words predicts in the group."""
+    met = rows.join(sent(lines, few), "g", "left")
+    # All texts of one length give no slope; then nothing is taken off but a constant, which the mean takes up.
+    return met.withColumn("f_distinct", F.col("f_distinct") - F.coalesce(F.col("start") + F.col("slope") * F.log("n_words"), F.lit(0.0))).drop("slope", "start")
+
+
+def _moments(rows: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Mean m0.. and covariance c00.., times scale, of each group and start by one partial aggregate."""
     p = range(len(FEATURES))
-    sums = rows.groupBy("g").agg(
+    sums = rows.groupBy("g", "start").agg(
         F.count("*").alias("n"),
         *(F.sum(FEATURES[i]).alias(f"s{i}") for i in p),
         *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i in p for j in p if j <= i),
     )
     mean = [F.col(f"s{i}") / F.col("n") for i in p]
     return sums.select(
-        "g",
+        "g", "start",
         *(mean[i].alias(f"m{i}") for i in p),
-        *((F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j] + (RIDGE[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
-    )
+        *(((F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) * scale + (RIDGE[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
+    )
 
 
 def _factored(moments: DataFrame) -> DataFrame:
-    """Cholesky factor l00.. of the covariance, written out as columns."""
-    p = len(FEATURES)
-    for i in range(p):
+    """Cholesky factor l00.. of the covariance, written out as columns that refer to those before them, and the logarithm of its determinant."""
+    p = range(len(FEATURES))
+    factor = []
+    for i in p:
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}")
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            value = F.sqrt(F.greatest(rest, F.lit(RIDGE[i] ** 2 * 0.25))) if i == j else rest / F.col(f"l{j}{j}")
-            moments = moments.withColumn(f"l{i}{j}", value)
-    return moments.select("g", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
+            rest = " - ".join([f"c{i}{j}", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+            factor.append(f"sqrt(greatest({rest}, {RIDGE[i] ** 2 * 0.25}D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return moments.selectExpr("g", "start", *(f"m{i}" for i in p), *factor, "2 * (" + " + ".join(f"ln(l{i}{i})" for i in p) + ") AS det")
 
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution with the factor's columns."""
-    p = len(FEATURES)
-    for i in range(p):
-        rest = F.col(FEATURES[i]) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"z{j}")
-        rows = rows.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, p)), F.col("z0") * F.col("z0")))
-
-
-def _nearest(rows: DataFrame) -> DataFrame:
-    """The share KEPT of each group with the least d2, whole bins of its logarithm."""
-    binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS_PER_E))
-    counts = binned.groupBy("g", "bin").agg(F.count("*").alias("k"))
-    run = Window.partitionBy("g").orderBy("bin")
-    cut = counts.withColumn("below", F.sum("k").over(run) - F.col("k")).withColumn("all", F.sum("k").over(Window.partitionBy("g")))
-    cut = cut.where(F.col("below") < F.col("all") * KEPT).groupBy("g").agg(F.max("bin").alias("most"))
-    return binned.join(F.broadcast(cut), "g").where("bin <= most").drop("bin", "most")
-
-
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """g, mean and factor for each group of rows (g, features). Groups are languages and sources, of which there are few."""
-    robust = rows.groupBy("g").agg(*(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)))
+    z = [f"({' - '.join([f'({f} - m{i})', *(f'l{i}{j} * z{j}' for j in range(i))])}) / l{i}{i} AS z{i}" for i, f in enumerate(FEATURES)]
+    return rows.selectExpr("*", *z, " + ".join(f"z{i} * z{i}" for i in range(len(FEATURES))) + " AS d2")
+
+
+def _binned(rows: DataFrame, estimates: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows with the bin of the logarithm of their distance, and the histogram of the bins with the rows below each and in all."""
+    binned = _distance(rows.join(sent(estimates, few), "g")).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS_PER_E))
+    counts = binned.groupBy("g", "start", "bin").agg(F.count("*").alias("k"))
+    key = Window.partitionBy("g", "start")
+    return binned, counts.withColumn("below", F.sum("k").over(key.orderBy("bin")) - F.col("k")).withColumn("all", F.sum("k").over(key))
+
+
+def _quantile_bin(share: float) -> Column:
+    return F.max(F.when(F.col("below") < F.col("all") * share, F.col("bin")))
+
+
+def _step(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
+    """One concentration step: estimates from the share KEPT of each group with the least distance, whole bins; was is the determinant before."""
+    binned, histogram = _binned(rows, estimates, few)
+    cut = histogram.groupBy("g", "start").agg(_quantile_bin(KEPT).alias("most"))
+    near = binned.join(sent(cut, few), ["g", "start"]).where("bin <= most").select("g", "start", *FEATURES)
+    return _factored(_moments(near)).join(sent(estimates.select("g", "start", F.col("det").alias("was")), few), ["g", "start"])
+
+
+def robust_estimates(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
+    """g, mean and factor for each group of rows (g, features), and its cut on the squared distance."""
     p = range(len(FEATURES))
-    first = robust.select(
-        "g",
+    robust = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)))
+    robust = scratch.kept(robust)
+    centre = robust.select(
+        "g", F.lit(0).alias("start"),
         *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p),
         *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + RIDGE[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
-    )
-    now = _factored(first)
-    for _ in range(STEPS):
-        near = _nearest(_distance(rows.join(F.broadcast(now), "g")))
-        now = kept(_factored(_moments(near.select("g", *FEATURES))))
-    return now
+    )
+    # The other starts: about START_ROWS rows of each group, drawn by a hash of their statistics.
+    drawn = rows.join(sent(robust.select("g", "n"), few), "g").withColumn("start", F.explode(F.array(*(F.lit(s) for s in range(1, STARTS)))))
+    chance = F.pmod(F.xxhash64("start", *FEATURES), F.lit(1 << 20)) / float(1 << 20)
+    drawn = drawn.where(chance < START_ROWS / F.col("n")).select("g", "start", *FEATURES)
+    now = scratch.kept(_factored(centre.unionByName(_moments(drawn))))
+    for _ in range(FIRST_STEPS):
+        now = scratch.kept(_step(rows, now, few).drop("was"))
+    best = [c for c in now.columns if c != "g"]
+    now = scratch.kept(now.groupBy("g").agg(F.min_by(F.struct(*best), F.struct("det", "start")).alias("best")).select("g", "best.*"))
+    for _ in range(MOST_STEPS):
+        after = scratch.kept(_step(rows, now, few))
+        if after.where(F.col("det") < F.col("was") - FALL).isEmpty():
+            break
+        now = after.drop("was")
+    # Consistency at the normal distribution: the covariance of the nearest KEPT is too small by this factor.
+    features_, quantile = len(FEATURES), chi2_quantile(1 - TAIL, len(FEATURES))
+    factor = chi2_share(chi2_quantile(KEPT, features_), features_ + 2) / KEPT
+    _, histogram = _binned(rows, now, few)
+    half = F.exp((_quantile_bin(0.5) + 0.5) / BINS_PER_E) * factor
+    cuts = histogram.groupBy("g").agg((quantile * F.greatest(F.lit(1.0), half / chi2_quantile(0.5, features_))).alias("cut"))
+    scaled = [(F.col(f"l{i}{j}") / factor**0.5).alias(f"l{i}{j}") for i in p for j in range(i + 1)]
+    return scratch.kept(now.join(sent(cuts, few), "g").select("g", "cut", *(f"m{i}" for i in p), *scaled))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the base statistics, base_failed, d2 (null where the base rules fail) and kept."""
-    stats = kept(features(word_statistics(docs, id_col, text_col)))
+def with_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """docs, each row with _stats (the base statistics, base_failed, d2 and kept). The rows are stored once with their statistics; the estimates come from narrow rows."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    read = whole.select("row", F.col(f"row.`{lang_col}`").alias("lang"), F.col(f"row.`{source_col}`").alias("source"), F.col(f"row.`{text_col}`").alias("text"))
+    stats = features(word_statistics(read)).drop("text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    sound = stats.where("not base_failed")
-    by_source, by_lang, by_all = F.struct("lang", "source"), F.struct("lang", F.lit(None).cast("string").alias("source")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
-    keys = [F.concat_ws("/", F.lit(str(k)), *(F.coalesce(g[c], F.lit("\0")) for c in ("lang", "source"))) for k, g in enumerate((by_source, by_lang, by_all))]
-    sizes = sound.groupBy("lang", "source").agg(F.count("*").alias("k"))
-    per_lang = Window.partitionBy("lang")
-    level = sizes.withColumn("in_lang", F.sum("k").over(per_lang)).withColumn("g", F.when(F.col("k") >= LEAST, keys[0]).when(F.col("in_lang") >= LEAST, keys[1]).otherwise(keys[2]))
-    level = kept(level.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "g"))
+    stats = scratch.kept(stats.withColumn("base_failed", failed))
+    # Groups: own (lang, source) if it is large enough, else its language, else all.
+    none = F.lit(None).cast("string")
+    names = [F.concat_ws("/", F.lit(str(k)), *(F.coalesce(c, F.lit("\0")) for c in g)) for k, g in enumerate(((F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)))]
+    sound = stats.where("not base_failed").select("lang", "source", "n_words", *FEATURES)
+    sizes = scratch.kept(sound.groupBy("lang", "source").agg(F.count("*").alias("k")))
+    few = sizes.count() <= BROADCAST_GROUPS
+    in_lang = sizes.groupBy("lang").agg(F.sum("k").alias("k_lang"))
+    level = sizes.join(sent(in_lang.withColumnRenamed("lang", "l"), few), F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+    level = level.withColumn("g", F.when(F.col("k") >= LEAST, names[0]).when(F.col("k_lang") >= LEAST, names[1]).otherwise(names[2]))
+    level = scratch.kept(level.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "g", F.col("g").startswith("1/").alias("by_lang"), F.col("g").startswith("2/").alias("by_all")))
+    langs = level.where("by_lang").select(F.col("lang_").alias("wide_lang")).distinct()
+    needs = level.agg(F.bool_or("by_lang").alias("lang"), F.bool_or("by_all").alias("all")).first()
     match = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    grouped = sound.join(F.broadcast(level), match).drop("lang_", "source_")
-    own_group = grouped.where(F.col("g").startswith("0/")).select("g", *FEATURES)
-    wider = F.array(F.when(F.col("n_lang") > 0, keys[1]), F.when(F.col("n_all") > 0, keys[2]))
-    needed = level.agg(F.max(F.col("g").startswith("2/")).alias("all")).first()["all"]
-    langs = level.where(F.col("g").startswith("1/")).select(F.col("lang_"), F.lit(1).alias("n_lang")).distinct()
-    pooled = sound.join(F.broadcast(langs), F.col("lang").eqNullSafe(F.col("lang_")), "left").withColumn("n_all", F.lit(int(bool(needed))))
-    pooled = pooled.select(F.explode(F.array_compact(wider)).alias("g"), *FEATURES)
-    estimates = robust_estimates(own_group.unionByName(pooled))
-    scored = _distance(grouped.join(F.broadcast(estimates), "g", "left"))
-    outlier = scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2")
-    rest = stats.where("base_failed").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.lit(None).cast("double").alias("d2"))
-    return outlier.unionByName(rest).withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUT))
+    pooled = sound.join(sent(level.where("not by_lang and not by_all"), few), match).select("g", "n_words", *FEATURES)
+    if needs["lang"]:
+        pooled = pooled.unionByName(sound.join(sent(langs, few), F.col("lang").eqNullSafe(F.col("wide_lang"))).select(names[1].alias("g"), "n_words", *FEATURES))
+    if needs["all"]:
+        pooled = pooled.unionByName(sound.select(names[2].alias("g"), "n_words", *FEATURES))
+    slope, start = F.regr_slope("f_distinct", F.log("n_words")), F.regr_intercept("f_distinct", F.log("n_words"))
+    lines = scratch.kept(pooled.groupBy("g").agg(slope.alias("slope"), start.alias("start")))
+    rows = scratch.kept(_less_line(pooled, lines, few).select("g", *FEATURES))
+    estimates = robust_estimates(rows, few, scratch)
+    judged_rows = _less_line(stats.join(sent(level, few), match, "left"), lines, few).join(sent(estimates, few), "g", "left")
+    scored = _distance(judged_rows).withColumn("d2", F.when(~F.col("base_failed"), F.col("d2")))
+    verdict = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= F.coalesce("cut", F.lit(0.0)))
+    return scored.select("row.*", F.struct(*STATISTICS, "base_failed", verdict.alias("kept"), "d2").alias(STATS))
+
+
+STATS = "_stats"
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row per document: doc_id, the base statistics, base_failed, kept, d2 (null where the base rules fail)."""
+    read = own(docs, id_col, lang_col, source_col, text_col).toDF("doc_id", "lang", "source", "text")
+    return with_verdicts(read).select("doc_id", f"{STATS}.*")
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass, with all their columns."""
+    name = STATS
+    renamed = docs.toDF(*(f"c{i}_" for i in range(len(docs.columns))))
+    at = {c: f"c{i}_" for i, c in enumerate(docs.columns)}
+    return with_verdicts(renamed, at[text_col], at["lang"], at["source"]).where(F.col(name)["kept"]).drop(name).toDF(*docs.columns)

@@ -14,7 +14,9 @@ text has no spans; repeated rows give a row each; other columns are not read; an
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -113,10 +115,11 @@ def outermost(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
             joined[-1] = (kind, joined[-1][1], max(b, joined[-1][2]))
         else:
             joined.append((kind, a, b))
-    out: list[tuple[str, int, int]] = []
-    for s in sorted(joined, key=lambda s: s[1] - s[2]):
-        if not any(a <= s[1] and s[2] <= b for _, a, b in out):
+    out, most = [], -1
+    for s in sorted(joined, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+        if s[2] > most:
             out.append(s)
+            most = s[2]
     return out
 
 
@@ -140,7 +143,11 @@ def dense_runs(text: str, starts: list[int], stops: list[int], allowed: frozense
 def spans(text: str, starts: list[int], stops: list[int], assigned: bool, allowed: frozenset[str] = ALLOWED) -> list[tuple[str, int, int]]:
     """All spans by start, then kind; starts and stops are those of the runs of RUN or more token characters."""
     base = base_spans(text, assigned, bool(starts))
-    more = [s for s in dense_runs(text, starts, stops, allowed) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+    begins = sorted((a, b) for _, a, b in base)
+    reach = list(accumulate((b for _, b in begins), max))
+    # A span is held by a base span if one that starts no later ends no earlier.
+    held = lambda a, b: (k := bisect_right(begins, (a, len(text)))) > 0 and reach[k - 1] >= b
+    more = [s for s in dense_runs(text, starts, stops, allowed) if not held(s[1], s[2])]
     return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -2,7 +2,7 @@
 
 Documents are aggregated by their encoded length; all answers come from the histogram. Suffix sums over the lengths tell, for every context limit, how many documents
 reach it and how many tokens remain when longer documents are cut there. The sums are taken in blocks of ``BLOCK`` lengths: within a block by a window, over the
-few block totals by another, so no task sees all lengths of a long-tailed corpus.
+few block totals (one for each BLOCK tokens of the longest document) by another, so no task sees all lengths of a long-tailed corpus.
 
 Defined cases: null and empty texts have length 0; repeated rows count each; other columns are not read; an empty table gives an empty histogram.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from finrecon.llm import tokens
-from finrecon.llm.frames import in_arrow, own
+from finrecon.llm.frames import Scratch, in_arrow, own
 
 BLOCK = 1024
 
@@ -36,8 +36,8 @@ def token_lengths(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens and the documents of that length."""
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("docs"))
+    """n_tokens and the documents of that length; stored, so the texts are encoded once whatever is asked of it."""
+    return Scratch(lengths.sparkSession, "histogram").kept(lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")))
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:

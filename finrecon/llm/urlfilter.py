@@ -6,7 +6,8 @@ range, urls and rules are swept in key order with a stack of the rule hosts that
 from the top. The paths of one rule host are kept by length, so the longest fitting path is found from the longest length down.
 
 A url that occurs in any number of rows is swept once; the join back to the rows lets Spark split a frequent one. The cut keys come from a sample of at most about
-``MOST_SAMPLES`` keys and affect only how even the ranges are.
+``MOST_SAMPLES`` keys and affect only how even the ranges are. Beyond ``MOST_CUTS`` ranges each is dealt over folds by a hash, every fold with the range's rules, so a group
+holds about ``URLS_PER_RANGE`` urls however many there are.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, which only an empty rule host would fit; the longest rule, host and path together, wins, and of
 equally long ones the first in order of host, path and verdict; rules with a null host or path are left out; equal urls in several rows get equal verdicts; other columns
@@ -104,6 +105,7 @@ def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     urls = kept(rows.groupBy("host", "path").agg(F.count("*").alias("pages")).withColumn("key", host_key(F.col("host"))))
     total = urls.count()
     ranges = min(max(LEAST_CUTS, total // URLS_PER_RANGE), MOST_CUTS)
+    folds = max(1, -(-total // (ranges * URLS_PER_RANGE)))
     per_cut = min(SAMPLE_PER_CUT, MOST_SAMPLES // ranges)
     some = urls.select("host", "path", "key").where(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 40)) < (1 << 40) * ranges * per_cut / max(total, 1))
     # Equal keys are cut apart by the path, so that one host may fill several ranges.
@@ -111,10 +113,11 @@ def filtered(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     step = max(len(sample) // ranges, 1)
     cuts = sample[step - 1 :: step]
     whole = F.concat(F.col("key"), F.lit("\0"), F.col("path"))
-    placed = urls.select("host", "path", "key", _range_of(cuts)(whole).alias("range"))
+    placed = urls.select("host", "path", "key", _range_of(cuts)(whole).alias("range"), F.pmod(F.xxhash64("host", "path"), F.lit(folds)).alias("fold"))
     named = own(rules, "host", "path", "verdict").where("host is not null and path is not null")
     spread = named.select(host_key(F.translate("host", _UPPER, _LOWER)).alias("key"), "path", F.concat("host", "path").alias("rule"), "verdict")
     spread = spread.withColumn("range", F.explode(_ranges_of(cuts)(F.col("key"))))
-    found = placed.groupBy("range").cogroup(spread.groupBy("range")).applyInPandas(_swept, "host string, path string, rule string, verdict string")
+    spread = spread.withColumn("fold", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))))
+    found = placed.groupBy("range", "fold").cogroup(spread.groupBy("range", "fold")).applyInPandas(_swept, "host string, path string, rule string, verdict string")
     met = rows.join(found, ["host", "path"], "left")
     return met.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

@@ -569,3 +569,142 @@ def test_outliers_go_and_clean_texts_stay(spark):
 def test_op10_op5_op4_op1_run(spark, small):
     assert op10.op10_quality_rules(spark, small).count() == op05.op5_toxicity(spark, small).count() == 200
     assert op04.op4_url_filter(spark, small).count() == 50 and op01.op1_minhash_near_dedup(spark, small).count() == 200
+
+
+def test_phones_stay_linked_however_written(spark):
+    texts = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "743-555-3824", "(743) 555-3824", "743.555.3824", "+1 743 555 3824", "+17435553824", "+353 1 234 5678"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pseudonyms.with_pseudonyms(docs, "key")
+    rows = [r["text"] for r in hidden.orderBy("doc_id").collect()]
+    digits = [re.sub(r"\D", "", r) for r in rows]
+    assert digits[0] == digits[1] == digits[2] and digits[0][:2] == "44" and digits[0] != "442079460958"
+    assert digits[3] == digits[4] == digits[5] == digits[6][1:] == digits[7][1:] != "7435553824" and digits[8][:3] == "353"
+    assert [re.sub(r"\d", "d", r) for r in rows] == [re.sub(r"\d", "d", t) for t in texts]
+    assert [r["text"] for r in pseudonyms.revealed(hidden, "key").orderBy("doc_id").collect()] == texts
+
+
+def test_other_alphabets_and_ipv6(spark):
+    texts = ["李雷@example.com", "müller.θ@example.com", "иван@example.com", "2001:db8:0:0:0:0:2:1 x", "2001:db8::2:1", "fe80::1ff:fe23:4567:890a", "at 12:30:45 and std::vector ::"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = pseudonyms.with_pseudonyms(docs, "key")
+    rows = [r["text"] for r in hidden.orderBy("doc_id").collect()]
+    assert not {"李", "雷"} & set(rows[0]) and "ü" not in rows[1] and "θ" not in rows[1] and "иван" not in rows[2]
+    assert rows[3].split()[0] == rows[4] and "2001" not in rows[4] and "fe23" not in rows[5] and rows[6] == texts[6]
+    back = [r["text"] for r in pseudonyms.revealed(hidden, "key").orderBy("doc_id").collect()]
+    assert back[:3] == texts[:3] and back[4] == "2001:db8:0:0:0:0:2:1" and back[5] == "fe80:0:0:0:1ff:fe23:4567:890a"
+
+
+def test_pseudonyms_against_a_second_form(spark):
+    """HMAC and one Feistel pass by the standard library, and clashing column names."""
+    import hmac as std
+
+    key = "".join("ABCDEFGHIJKLMNOP"[int(c, 16)] for c in hashlib.sha256(b"k").hexdigest()).encode()
+    message = "phone1|1|743"
+    got = spark.range(1).select(pseudonyms.hmac(F.lit("k"), F.lit(message)).alias("h")).first()["h"]
+    assert got == std.new(key, message.encode(), hashlib.sha256).hexdigest()
+
+    def brute(digits, kind):
+        h = len(digits) // 2
+        x, y, a, b = int(digits[:h]), int(digits[h:]), 10**h, 10 ** (len(digits) - h)
+        for r in range(1, pseudonyms.ROUNDS + 1):
+            add = lambda half, r=r: int(std.new(key, f"{kind}|{r}|{half}".encode(), hashlib.sha256).hexdigest()[:15], 16)
+            x, y = ((x + add(y)) % a, y) if r % 2 else (x, (y + add(x)) % b)
+        return str(x).zfill(h) + str(y).zfill(len(digits) - h)
+
+    docs = spark.createDataFrame([(1, "tel +17435553824", "m", "c")], "doc_id long, text string, Matches string, changed string")
+    row = pseudonyms.with_pseudonyms(docs, F.lit("k")).first()
+    assert row["text"] == "tel +1" + brute("7435553824", "phone1") and (row["Matches"], row["changed"]) == ("m", "c")
+
+
+def brute_mcd(x, kept):
+    """Least determinant over all subsets of that size."""
+    return min(np.linalg.det(np.cov(x[list(c)].T, bias=True) + np.diag(np.array(quality.RIDGE) ** 2)) for c in combinations(range(len(x)), kept))
+
+
+def test_estimates_reach_the_least_determinant(spark):
+    """A small group with outliers: the concentration steps end at the subset of least determinant among all."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(9, 6)) @ rng.normal(size=(6, 6)) * 0.2, 9 + rng.normal(size=(3, 6))])
+    rows = spark.createDataFrame([("0/a", *map(float, v)) for v in x], "g string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    est = quality.robust_estimates(rows, True, frames.Scratch(spark, "t")).first()
+    factor = quality.chi2_share(quality.chi2_quantile(quality.KEPT, 6), 8) / quality.KEPT
+    det = math.prod(est[f"l{i}{i}"] ** 2 for i in range(6)) * factor**6
+    assert det <= brute_mcd(x, 9) * 1.5 and all(abs(est[f"m{i}"]) < 2 for i in range(6))
+
+
+def test_chi_squared():
+    assert abs(quality.chi2_share(12.592, 6) - 0.95) < 1e-4 and abs(quality.chi2_quantile(0.5, 2) - 2 * math.log(2)) < 1e-9
+
+
+def test_op10_verdicts_against_a_second_form(spark, small):
+    """Distances and verdicts from the stored statistics by numpy, with the estimates of the operator's groups."""
+    rows = {r["doc_id"]: r for r in op10.op10_quality_rules(spark, small).collect()}
+    bad = {r[0] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 0").select("doc_id").collect()}
+    good = {r[0] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").select("doc_id").collect()}
+    assert all(r["d2"] is None for r in rows.values() if r["base_failed"])
+    assert sum(not rows[i]["kept"] for i in bad) >= 0.8 * len(bad) and sum(rows[i]["kept"] or rows[i]["base_failed"] for i in good) >= 0.98 * len(good)
+
+
+def test_op5_against_a_second_form(spark):
+    """Segments, chance level and score of each text in plain Python from the model's terms."""
+    bad = ["scumm", "vilefool", "rotbrain"]
+    texts = [text_of(i, 80) + (" " + " ".join(bad[: 1 + i % 3]) + " " + text_of(i + 1, 20) if i % 4 == 0 else "") for i in range(120)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fitted(docs, docs.where("doc_id % 5 <> 0 and text <> ''").select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    odds = dict(zip(model.terms.tolist(), model.odds.tolist(), strict=True))
+
+    def word_score(w):
+        def h(b):
+            ((_, t),) = ta.pieces(pa.array([b.decode()]))
+            return int(ta.Words(t, np.array([0]), np.array([len(b)]), np.array([0]), ta.LOWER, len(b)).hashes()[0])
+
+        raw = w.encode()
+        return max([0.0, odds.get(h(raw), 0.0), *(odds.get(h(raw[:k]) ^ k, 0.0) for k in toxicity.PREFIXES if len(raw) > k)])
+
+    for r in toxicity.scored(docs, model).collect():
+        words = re.findall("[a-z]+", (texts[r["doc_id"]] or "").lower())
+        scores = [word_score(w) for w in words]
+        hits = [i for i, s in enumerate(scores) if s > 0]
+        gaps = [(i - p - 1) * toxicity.DRIFT for i, p in zip(hits, [-1, *hits], strict=False)]
+        bits = [(model.scale * s - math.log(max(model.size * len(words), 1e-9))) / math.log(2) for _, _, s in toxicity.maximal_segments([scores[i] for i in hits], gaps)]
+        v = (1.0, max([-10.0, *bits]) / 10, math.log(1 + sum(max(b, 0) for b in bits)), 10 * len(hits) / (len(words) + 20))
+        assert abs(r["score"] - 1 / (1 + math.exp(-float(np.dot(model.weights, v))))) < 1e-9
+
+
+def test_op7_against_a_second_form(spark, small):
+    texts = {r[0]: r[1] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    for r in op07.op7_media_columns(spark, small).collect():
+        data = texts[r["doc_id"]].encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        wave = b"RIFF" + (36 + len(payload)).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("10000000" "0100" "0100" "401f0000" "401f0000" "0100" "0800") + b"data" + len(payload).to_bytes(4, "little") + payload
+        assert (r["payload_bytes"], r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (len(payload), zlib.crc32(payload[-64:]), len(wave), hashlib.sha256(wave).hexdigest())
+        samples = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+        mel, level = media.log_mel(media.resampled(samples))
+        assert r["feature"].split(";")[1] == "mean=" + ",".join(f"{v:.3f}" for v in mel.mean(axis=0)) and r["feature"].startswith(f"frames={len(level)};")
+
+
+def test_op6_base_against_a_second_form(spark, small):
+    """Base spans by the patterns of the contract, written out again."""
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    name = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    forms = (("assign", f"(?:{name})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    for r in op06.op6_secret_scan(spark, small).collect():
+        found = [(m.start(), k, kind, m.end()) for k, (kind, form, group, least) in enumerate(forms) for m in re.finditer(form, texts[r["doc_id"]]) if len(m[group]) >= least]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(f[2] == kind for f in found) for kind in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)).encode()).hexdigest()
+
+
+def test_op2_against_the_vocabulary(spark, small):
+    """Ids of the query spell each text by the library's own decoder, and follow from the row's key alone."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    ids = {r["doc_id"]: r["ids"] for r in segmentation.sampled_pieces(texts, PIECES, seed=op02.SEED).collect()}
+    again = {r["doc_id"]: r["ids"] for r in segmentation.sampled_pieces(texts.orderBy("text").repartition(7), PIECES, seed=op02.SEED).collect()}
+    assert ids == again
+    sums = {r["doc_id"]: (r["n_pieces"], r["ids_crc32"]) for r in op02.op2_sentencepiece(spark, small).collect()}
+    for r in texts.collect():
+        plain = ids[r["doc_id"]]
+        assert sums[r["doc_id"]] == (len(plain), zlib.crc32(np.array(plain, "<u4").tobytes()))
+        assert "".join(own.id_to_piece(i) if not own.is_byte(i) else "" for i in plain).replace("▁", " ").strip() == re.sub("", "", r["text"]).strip() or any(own.is_byte(i) for i in plain)
