@@ -137,17 +137,12 @@ def _less_line(rows: DataFrame, lines: DataFrame, few: bool) -> DataFrame:
 def _moments(rows: DataFrame, scale: float = 1.0) -> DataFrame:
     """Mean m0.. and covariance c00.., times scale, of each group and start by one partial aggregate."""
     p = range(len(FEATURES))
+    pairs = [(i, j) for i in p for j in range(i + 1)]
     sums = rows.groupBy("g", "start").agg(
-        F.count("*").alias("n"),
-        *(F.sum(FEATURES[i]).alias(f"s{i}") for i in p),
-        *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i in p for j in p if j <= i),
+        F.expr("count(1) AS n"), *(F.expr(f"sum({FEATURES[i]}) AS s{i}") for i in p), *(F.expr(f"sum({FEATURES[i]} * {FEATURES[j]}) AS s{i}{j}") for i, j in pairs)
     )
-    mean = [F.col(f"s{i}") / F.col("n") for i in p]
-    return sums.select(
-        "g", "start",
-        *(mean[i].alias(f"m{i}") for i in p),
-        *(((F.col(f"s{i}{j}") / F.col("n") - mean[i] * mean[j]) * scale + (RIDGE[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
-    )
+    mean = [f"s{i} / n AS m{i}" for i in p]
+    return sums.selectExpr("g", "start", *mean, *(f"(s{i}{j} / n - m{i} * m{j}) * {scale}D + {RIDGE[i] ** 2 if i == j else 0}D AS c{i}{j}" for i, j in pairs))
 
 
 def _factored(moments: DataFrame) -> DataFrame:
