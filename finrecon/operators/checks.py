@@ -6,8 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from finrecon.operators.joins import as_of
-from finrecon.operators.pools import CONCEPT_KEYS, WIDE_SQL, derived, summed, wide
+from finrecon.operators.pools import CONCEPT_KEYS, WIDE_SQL, wide
 from finrecon.plans.fixtures import fixture, oracle
 from finrecon.plans.registry import query
 
@@ -40,71 +39,6 @@ def d1(spark, sf_dir):
     return w.select(*CONCEPT_KEYS, *(compiled(f, w.columns).alias(n) for n, f in FORMULAS))
 
 
-#: Ordered identity rules (target, plus, minus); the first with all inputs gives the target.
-IDENTITIES = (
-    ("operating_profit", ("revenue_from_operations",), ("cost_of_goods_sold", "employee_benefits_expense", "other_expenses")),
-    ("operating_profit", ("revenue_from_operations",), ("cost_of_goods_sold", "other_expenses")),
-    ("operating_profit", ("revenue_from_operations",), ("cost_of_goods_sold",)),
-)
-
-
-@query("d2_ordered_identities", oracle(f"with {WIDE_SQL} select company_id, source, statement_type, fy, fq, cast(cast(revenue_from_operations as decimal(30,4)) - coalesce(cast(cost_of_goods_sold as decimal(30,4)) + cast(employee_benefits_expense as decimal(30,4)) + cast(other_expenses as decimal(30,4)), cast(cost_of_goods_sold as decimal(30,4)) + cast(other_expenses as decimal(30,4)), cast(cost_of_goods_sold as decimal(30,4))) as double) as operating_profit from wide", "fx_concepts"))
-def d2(spark, sf_dir):
-    w = wide(fixture(spark, sf_dir, "fx_concepts"))
-    found = [summed([F.col(c) for c in plus] + [-F.abs(c) for c in minus], len(plus) + len(minus)) for _, plus, minus in IDENTITIES]
-    return w.select(*CONCEPT_KEYS, F.coalesce(*found).alias("operating_profit"))
-
-
-@query("d3_signed_sums", oracle("with c(concept, sign) as (values ('revenue_from_operations', 1), ('cost_of_goods_sold', -1), ('finance_cost', -1)) select company_id, source, statement_type, fy, fq, round(cast(sum(sign * cast(value as decimal(30,4))) as double), 2) as net from fx_concepts join c using (concept) group by 1, 2, 3, 4, 5 having count(*) = 3", "fx_concepts"))
-def d3(spark, sf_dir):
-    parts = spark.createDataFrame([("revenue_from_operations", 1), ("cost_of_goods_sold", -1), ("finance_cost", -1)], "concept string, sign int")
-    met = fixture(spark, sf_dir, "fx_concepts").join(F.broadcast(parts), "concept")
-    total = F.sum(F.col("sign") * F.col("value").cast("decimal(30,4)")).cast("double")
-    return met.groupBy(*CONCEPT_KEYS).agg(F.count("*").alias("n"), F.round(total, 2).alias("net")).where("n = 3").drop("n")
-
-
-MARGINS = (("cost_of_goods_sold", "gross_cost_margin"), ("other_expenses", "other_cost_margin"), ("finance_cost", "finance_margin"))
-
-
-@query("d4_margins_ratios", oracle(f"with {WIDE_SQL} select company_id, source, statement_type, fy, fq, " + ", ".join(f"case when abs(revenue_from_operations) > 0.001 then round({c} / revenue_from_operations * 100, 2) end as {m}" for c, m in MARGINS) + ", case when abs(finance_cost) > 0.001 then round(revenue_from_operations / finance_cost, 4) end as coverage from wide", "fx_concepts"))
-def d4(spark, sf_dir):
-    w = wide(fixture(spark, sf_dir, "fx_concepts"))
-    revenue = F.col("revenue_from_operations")
-    margins = [F.when(F.abs(revenue) > 0.001, F.round(F.col(c) / revenue * 100, 2)).alias(m) for c, m in MARGINS]
-    return w.select(*CONCEPT_KEYS, *margins, F.when(F.abs("finance_cost") > 0.001, F.round(revenue / F.col("finance_cost"), 4)).alias("coverage"))
-
-
-@query("d5_inject_derived", oracle(f"with {WIDE_SQL}, d as (select company_id, source, statement_type, fy, fq, 'gross_profit' as concept, cast(cast(revenue_from_operations as decimal(30,4)) - cast(cost_of_goods_sold as decimal(30,4)) as double) as value, 'derived' as origin from wide where revenue_from_operations is not null and cost_of_goods_sold is not null) select company_id, source, statement_type, fy, fq, concept, value, 'reported' as origin from fx_concepts union all select * from d", "fx_concepts"))
-def d5(spark, sf_dir):
-    given = fixture(spark, sf_dir, "fx_concepts")
-    new = derived(wide(given), (("gross_profit", ("revenue_from_operations",), ("cost_of_goods_sold",)),))
-    new = new.unpivot(CONCEPT_KEYS, ["gross_profit"], "concept", "value").where("value is not null").join(given, [*CONCEPT_KEYS, "concept"], "left_anti")
-    columns = [*CONCEPT_KEYS, "concept", "value"]
-    return given.select(*columns, F.lit("reported").alias("origin")).union(new.select(*columns, F.lit("derived")))
-
-
-#: Sign and range by concept: sign '+' means never negative; lo and hi bound the value.
-LIMITS = (("revenue_from_operations", "+", 60000.0, 150000.0), ("cost_of_goods_sold", "+", 0.0, 90000.0), ("finance_cost", "-", -1.0, 120000.0))
-LIMITS_SQL = "l(concept, sign, lo, hi) as (values " + ", ".join(str(x) for x in LIMITS) + ")"
-
-
-def _limited(spark, sf_dir):
-    limits = spark.createDataFrame(list(LIMITS), "concept string, sign string, lo double, hi double")
-    return fixture(spark, sf_dir, "fx_concepts").join(F.broadcast(limits), "concept")
-
-
-@query("v01_sign_rule", oracle(f"with {LIMITS_SQL} select company_id, source, statement_type, fy, fq, concept, case when sign = '+' then 'medium' end as severity from (select *, value - 80000 as v from fx_concepts) join l using (concept) where v < -1 and sign = '+'", "fx_concepts"))
-def v01(spark, sf_dir):
-    rows = _limited(spark, sf_dir).withColumn("v", F.col("value") - 80000)
-    return rows.where("v < -1 and sign = '+'").select(*CONCEPT_KEYS, "concept", F.lit("medium").alias("severity"))
-
-
-@query("v02_range_rule", oracle(f"with {LIMITS_SQL} select company_id, source, statement_type, fy, fq, concept, case when value < lo - 5000 or value > hi + 20000 then 'high' else 'medium' end as severity from fx_concepts join l using (concept) where value < lo or value > hi", "fx_concepts"))
-def v02(spark, sf_dir):
-    severity = F.when((F.col("value") < F.col("lo") - 5000) | (F.col("value") > F.col("hi") + 20000), "high").otherwise("medium")
-    return _limited(spark, sf_dir).where("value < lo or value > hi").select(*CONCEPT_KEYS, "concept", severity.alias("severity"))
-
-
 SWING_SQL = "with y as (select company_id, source, concept, fy, cast(sum(cast(value as decimal(18,2))) as double) as value from fx_concepts where statement_type = 'consolidated' group by 1, 2, 3, 4), p as (select *, lag(value) over w as prev, lag(fy) over w as prev_fy from y window w as (partition by company_id, source, concept order by fy))"
 
 
@@ -138,82 +72,6 @@ def v03(spark, sf_dir):
     return swings(_years(spark, sf_dir), ["company_id", "source", "concept"], 5, 0.2).select("company_id", "source", "concept", "fy", F.lit("high").alias("severity"))
 
 
-@query("v04_history_swing", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and value > 60000 group by 1, 2, 3), p as (select a.company_id, a.raw_label, a.fy, a.value, arg_max(b.value, b.fy) as prior from h a join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4) select company_id, raw_label, fy from p where abs(prior) >= 1 and raw_label <> 'promo' and (abs(value) / abs(prior) > 2 or abs(value) / abs(prior) < 0.5)", "fx_obs"))
-def v04(spark, sf_dir):
-    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and value > 60000").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
-    rows = as_of(history, ["company_id", "raw_label"], "fy", "value").withColumn("r", F.abs("value") / F.abs("prior_value"))
-    return rows.where("abs(prior_value) >= 1 and raw_label <> 'promo' and (r > 2 or r < 0.5)").select("company_id", "raw_label", "fy")
-
-
-#: The statement lines of the identity checks, in the names of the test concepts.
-LINES = {
-    "revenue": "revenue_from_operations", "ebitda": "cost_of_goods_sold", "ebit": "employee_benefits_expense",
-    "pbt": "other_expenses", "pat": "depreciation_amortization", "assets": "finance_cost",
-}
-LINES_SQL = "n as (select company_id, source, statement_type, fy, fq, " + ", ".join(f"{c} as {n}" for n, c in LINES.items()) + " from wide)"
-
-
-def statement_lines(w: DataFrame) -> DataFrame:
-    return w.select(*CONCEPT_KEYS, *(F.col(c).alias(n) for n, c in LINES.items()))
-
-
-#: Rules (id, condition, severity) over the statement lines; SQL that both engines read.
-RULES = (
-    ("v05_ebitda_over_revenue", "ebitda > revenue", "high"),
-    ("v06_ebit_over_ebitda", "ebit > ebitda + 1", "high"),
-    ("v07_pat_over_pbt", "pbt > 0 and pat > pbt + 1", "medium"),
-    ("v08_balance", "pbt + pat > 0 and abs(assets - (pbt + pat)) > 0.02 * greatest(abs(assets), abs(pbt + pat))", "high"),
-    ("v09_bank_interest", "abs(ebit - (revenue - ebitda)) > 0.05 * greatest(abs(ebit), abs(revenue - ebitda))", "high"),
-    ("v10_bank_income", "abs(revenue - (ebit + pbt)) > 0.05 * greatest(abs(revenue), abs(ebit + pbt))", "medium"),
-    ("v11_bank_operating", "abs(ebitda - (revenue - pat)) > 0.05 * greatest(abs(ebitda), abs(revenue - pat))", "medium"),
-    ("v12_bank_pbt", "abs(pbt - (ebitda - assets)) > 0.05 * greatest(abs(pbt), abs(ebitda - assets))", "medium"),
-    ("v13_casa", "pat > assets + 1", "high"),
-    ("v14_npa", "pbt > ebit + 0.5", "high"),
-    ("v15_stage3", "ebit > assets + 0.5", "high"),
-    ("v16_premium", "pat > revenue + 1", "high"),
-)
-BODY_SQL = "select company_id, source, statement_type, fy, fq, '{s}' as severity from n where {c}"
-
-
-def _register(name: str, condition: str, severity: str) -> None:
-    @query(name, oracle(f"with {WIDE_SQL}, {LINES_SQL} " + BODY_SQL.format(s=severity, c=condition), "fx_concepts"))
-    def rule(spark, sf_dir):
-        lines = statement_lines(wide(fixture(spark, sf_dir, "fx_concepts")))
-        return lines.where(condition).select(*CONCEPT_KEYS, F.lit(severity).alias("severity"))
-
-
-for _rule in RULES:
-    _register(*_rule)
-
-
-def issues(lines: DataFrame, rules=RULES) -> DataFrame:
-    """All rules in one pass over the lines: one struct per broken rule, exploded."""
-    broken = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, c, s in rules)))
-    return lines.select(*CONCEPT_KEYS, F.inline(broken))
-
-
-WATERFALL = ("revenue", "ebitda", "ebit", "pbt", "pat")
-
-
-@query("v17_waterfall", oracle(f"with {WIDE_SQL}, {LINES_SQL} " + " union all ".join(f"select company_id, source, statement_type, fy, fq, '{b} over {a}' as issue from n where {a} > 0 and {b} > 0 and {b} > 1.15 * {a}" for a, b in zip(WATERFALL, WATERFALL[1:])) + " union all select company_id, source, statement_type, fy, fq, 'margin' from n where revenue > 0 and (ebitda / revenue > 0.7 or ebitda / revenue < -0.3)", "fx_concepts"))
-def v17(spark, sf_dir):
-    rules = [(f"{b} over {a}", f"{a} > 0 and {b} > 0 and {b} > 1.15 * {a}", "") for a, b in zip(WATERFALL, WATERFALL[1:], strict=False)]
-    rules.append(("margin", "revenue > 0 and (ebitda / nullif(revenue, 0) > 0.7 or ebitda / nullif(revenue, 0) < -0.3)", ""))
-    return issues(statement_lines(wide(fixture(spark, sf_dir, "fx_concepts"))), rules).withColumnRenamed("rule", "issue").drop("severity")
-
-
-@query("v18_tool_checks", oracle(f"with {WIDE_SQL}, {LINES_SQL} select fy, count(*) filter (where ebitda > revenue) as a, count(*) filter (where abs(pbt) > 2 * abs(ebit)) as b, count(*) filter (where pat > pbt) as c, count(*) filter (where abs(assets - pbt) > 0.02 * abs(assets)) as d from n group by 1", "fx_concepts"))
-def v18(spark, sf_dir):
-    lines = statement_lines(wide(fixture(spark, sf_dir, "fx_concepts")))
-    tests = {"a": "ebitda > revenue", "b": "abs(pbt) > 2 * abs(ebit)", "c": "pat > pbt", "d": "abs(assets - pbt) > 0.02 * abs(assets)"}
-    return lines.groupBy("fy").agg(*(F.count_if(F.expr(c)).alias(n) for n, c in tests.items()))
-
-
-@query("v19_all_rules", oracle(f"with {WIDE_SQL}, {LINES_SQL} " + " union all ".join(f"select company_id, source, statement_type, fy, fq, '{n}' as rule, '{s}' as severity from n where {c}" for n, c, s in RULES), "fx_concepts"))
-def v19(spark, sf_dir):
-    return issues(statement_lines(wide(fixture(spark, sf_dir, "fx_concepts"))))
-
-
 @query("v20_match_guard", oracle("with t as (select company_id, fy, max(value) as total from fx_obs where raw_label = 'standard' and source = 'xbrl' group by 1, 2) select o.company_id, o.fy, o.fq, o.source, o.statement_type, o.raw_label, o.value > 1.05 * t.total as refused from fx_obs o join t using (company_id, fy) where raw_label <> 'standard'", "fx_obs"))
 def v20(spark, sf_dir):
     obs = fixture(spark, sf_dir, "fx_obs")
@@ -222,13 +80,6 @@ def v20(spark, sf_dir):
     return met.select("company_id", "fy", "fq", "source", "statement_type", "raw_label", (F.col("value") > 1.05 * F.col("total")).alias("refused"))
 
 
-@query("v21_auto_fix", oracle(f"with {WIDE_SQL} select company_id, source, statement_type, fy, fq, coalesce(finance_cost, cast(cast(revenue_from_operations as decimal(30,4)) - cast(cost_of_goods_sold as decimal(30,4)) as double)) as finance_cost, finance_cost is null and revenue_from_operations is not null and cost_of_goods_sold is not null as fixed from wide", "fx_concepts"))
-def v21(spark, sf_dir):
-    w = wide(fixture(spark, sf_dir, "fx_concepts"))
-    suggested = summed([F.col("revenue_from_operations"), -F.col("cost_of_goods_sold")], 2)
-    return w.select(*CONCEPT_KEYS, F.coalesce("finance_cost", suggested).alias("finance_cost"), (F.col("finance_cost").isNull() & suggested.isNotNull()).alias("fixed"))
-
-
 @query("v22_retry", oracle("with c as (select company_id, fy, fq, concept, value, row_number() over (partition by company_id, fy, fq, concept order by case source when 'xbrl' then 0 when 'screener' then 1 else 2 end, statement_type) as k from fx_concepts), e as (select * from c where concept = 'cost_of_goods_sold' and k <= 6), r as (select company_id, fy, fq, value as revenue from c where concept = 'revenue_from_operations' and k = 1), p as (select e.company_id, e.fy, e.fq, e.k, e.value, e.value <= r.revenue as passes from e join r using (company_id, fy, fq)) select company_id, fy, fq, coalesce(arg_min(value, k) filter (where passes), arg_min(value, k)) as value, not bool_or(passes) as flagged from p group by 1, 2, 3", "fx_concepts"))
 def v22(spark, sf_dir):
     order = [F.when(F.col("source") == "xbrl", 0).when(F.col("source") == "screener", 1).otherwise(2), F.col("statement_type")]
@@ -249,8 +100,3 @@ def v23(spark, sf_dir):
     return kept.join(other, keys, "left").select(*keys, "statement_type", F.when(~equal, F.col("value")).alias("value"))
 
 
-@query("flt5_noise_and_sign", oracle("select company_id, raw_label, fy, fq, statement_type, case when raw_label in ('medium', 'promo') and value - 80000 < 0 then -(value - 80000) else value - 80000 end as value from fx_obs where source = 'yfinance' and raw_label <> 'small'", "fx_obs"))
-def flt5(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_obs").where("source = 'yfinance'").where(~F.col("raw_label").rlike("^small$")).withColumn("value", F.col("value") - 80000)
-    cost = F.col("raw_label").rlike("medium|promo") & (F.col("value") < 0)
-    return rows.select("company_id", "raw_label", "fy", "fq", "statement_type", F.when(cost, -F.col("value")).otherwise(F.col("value")).alias("value"))

@@ -23,46 +23,6 @@ def flt1(spark, sf_dir):
     return batch_reasons(fixture(spark, sf_dir, "fx_obs").where("raw_label in ('promo', 'small', 'medium')"), ["company_id", "source", "fy"])
 
 
-@query("flt2_fragment_label", r"with t as (select doc_id, string_split(text, chr(10))[1] as l from documents), w as (select *, list_filter(string_split_regex(trim(l), '\s+'), lambda x: x <> '') as ws from t) select doc_id, l as label, length(l) < 2 or length(l) > 200 or length(regexp_replace(l, '[^A-Za-z]', '', 'g')) < 3 or (len(ws) >= 4 and len(list_filter(ws, lambda x: length(x) = 1)) > 0.45 * len(ws)) as fragment from w")
-def flt2(spark, sf_dir):
-    label = F.split_part("text", F.lit("\n"), F.lit(1))
-    return fixture(spark, sf_dir, "documents").select("doc_id", label.alias("label"), lb.is_fragment(label).alias("fragment"))
-
-
-@query("flt3_ocr_label", r"select doc_id, length(l) < 3 or length(l) > 90 or regexp_matches(l, '^[ivx0-9. ]+$') or contains(lower(l), ' thing ') as artefact from (select doc_id, string_split(text, chr(10))[1] as l from documents)")
-def flt3(spark, sf_dir):
-    label = F.split_part("text", F.lit("\n"), F.lit(1))
-    phrases = F.array(F.lit(" thing "))
-    artefact = (F.length(label) < 3) | (F.length(label) > 90) | label.rlike("^[ivx0-9. ]+$") | F.exists(phrases, lambda p: F.lower(label).contains(p))
-    return fixture(spark, sf_dir, "documents").select("doc_id", artefact.alias("artefact"))
-
-
-@query("flt4_junk_label", "select p_partkey as id, l as label, (regexp_matches(l, '(?i)^(schedule|annexure|votes? |particulars)') or regexp_matches(l, '^[A-Z][A-Z ]{6,}$')) as junk from (select p_partkey, case p_partkey % 3 when 0 then upper(p_name) when 1 then concat('Schedule ', p_name) else p_name end as l from part)")
-def flt4(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    label = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("Schedule "), F.col("p_name"))).otherwise(F.col("p_name"))
-    return fixture(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"), lb.is_junk(label).alias("junk"))
-
-
-@query("flt6_negative_repair", oracle("select company_id, raw_label, source, statement_type, fy, fq, case when value - 50000 < -0.5 and raw_label not in ('promo', 'small') then abs(value - 50000) else value - 50000 end as value from fx_obs", "fx_obs"))
-def flt6(spark, sf_dir):
-    v = F.col("value") - 50000
-    may_lose = F.col("raw_label").rlike("promo|small")
-    return fixture(spark, sf_dir, "fx_obs").select("company_id", "raw_label", "source", "statement_type", "fy", "fq", F.when((v < -0.5) & ~may_lose, F.abs(v)).otherwise(v).alias("value"))
-
-
-@query("flt7_notes_page", oracle("select filing, page_no, regexp_matches(lower(left(text, 600)), 'idiot|scum|@') as excluded from fx_pages", "fx_pages"))
-def flt7(spark, sf_dir):
-    return fixture(spark, sf_dir, "fx_pages").select("filing", "page_no", F.lower(F.substring("text", 1, 600)).rlike("idiot|scum|@").alias("excluded"))
-
-
-@query("flt8_page_cascade", oracle("select filing, page_no, case when regexp_matches(left(text, 250), '^The') then false when regexp_matches(left(text, 350), '[*][*][*]') then true when regexp_matches(left(text, 1500), '@') then true when len(regexp_extract_all(left(text, 3000), '[|]')) > 20 then true else false end as dropped from fx_pages", "fx_pages"))
-def flt8(spark, sf_dir):
-    head = lambda n: F.substring("text", 1, n)
-    dropped = F.when(head(250).rlike("^The"), False).when(head(350).rlike("[*][*][*]") | head(1500).rlike("@"), True).otherwise(F.regexp_count(head(3000), F.lit("[|]")) > 20)
-    return fixture(spark, sf_dir, "fx_pages").select("filing", "page_no", dropped.alias("dropped"))
-
-
 @query("flt9_block_quality", "with b as (select l_orderkey as block, count(*) as n, count(*) filter (where l_quantity > 30) as long_ones from lineitem group by 1) select l_orderkey as block, l_linenumber as line from lineitem semi join (select block from b where n >= 5 and long_ones <= 0.6 * n) on block = l_orderkey")
 def flt9(spark, sf_dir):
     rows = fixture(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("line"), "l_quantity")

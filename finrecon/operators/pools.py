@@ -152,49 +152,6 @@ def a06(spark, sf_dir):
     return w.select(*CONCEPT_KEYS, summed(parts, 3).alias("total_expenses"), summed(parts, 5).alias("complete_expenses"))
 
 
-#: Ordered rules of derived totals: (concept, plus, minus); a rule reads those before it.
-TOTALS = (
-    ("gross_profit", ("revenue_from_operations",), ("cost_of_goods_sold",)),
-    ("ebitda", ("gross_profit",), ("employee_benefits_expense", "other_expenses")),
-    ("ebit", ("ebitda",), ("depreciation_amortization",)),
-    ("profit_before_tax", ("ebit",), ("finance_cost",)),
-)
-
-
-def derived(w: DataFrame, rules=TOTALS) -> DataFrame:
-    """The wide frame with each rule's concept filled where all inputs are there; a given value stays. The rules are in order of dependence, so one pass is enough."""
-    for name, plus, minus in rules:
-        if name not in w.columns:
-            w = w.withColumn(name, F.lit(None).cast("double"))
-        parts = [F.col(c) for c in plus] + [-F.col(c) for c in minus]
-        w = w.withColumn(name, F.coalesce(F.col(name), F.round(summed(parts, len(parts)), 4)))
-    return w
-
-
-@query(
-    "a07_derived_totals",
-    oracle(
-        f"""with {WIDE_SQL}, g as (select *, cast(cast(revenue_from_operations as decimal(30,4)) - cast(cost_of_goods_sold as decimal(30,4)) as double) as gross_profit from wide),
-        e as (select *, cast(cast(gross_profit as decimal(30,4)) - cast(employee_benefits_expense as decimal(30,4)) - cast(other_expenses as decimal(30,4)) as double) as ebitda from g),
-        b as (select *, cast(cast(ebitda as decimal(30,4)) - cast(depreciation_amortization as decimal(30,4)) as double) as ebit from e),
-        p as (select *, cast(cast(ebit as decimal(30,4)) - cast(finance_cost as decimal(30,4)) as double) as profit_before_tax from b),
-        u as (unpivot (select company_id, source, statement_type, fy, fq, gross_profit, ebitda, ebit, profit_before_tax from p) on gross_profit, ebitda, ebit, profit_before_tax into name concept value value)
-        select * from u where value is not null""",
-        "fx_concepts",
-    ),
-)
-def a07(spark, sf_dir):
-    out = derived(wide(fixture(spark, sf_dir, "fx_concepts")))
-    names = [r[0] for r in TOTALS]
-    return out.unpivot(CONCEPT_KEYS, names, "concept", "value").where("value is not null")
-
-
-@query("a08_component_sums", oracle(f"with {WIDE_SQL} select company_id, source, statement_type, fy, fq, case when (cost_of_goods_sold is not null)::int + (employee_benefits_expense is not null)::int + (other_expenses is not null)::int >= 2 then cast({dec('cost_of_goods_sold')} + {dec('employee_benefits_expense')} + {dec('other_expenses')} as double) end as operating_cost from wide", "fx_concepts"))
-def a08(spark, sf_dir):
-    w = wide(fixture(spark, sf_dir, "fx_concepts"))
-    return w.select(*CONCEPT_KEYS, summed([F.col(c) for c in EXPENSES[:3]], 2).alias("operating_cost"))
-
-
 @query("a09_tallies", oracle("select company_id, source, statement_type, count(*) as n, count(*) filter (where value > 100000) as large from fx_obs group by rollup(company_id, source, statement_type)", "fx_obs"))
 def a09(spark, sf_dir):
     obs = fixture(spark, sf_dir, "fx_obs")

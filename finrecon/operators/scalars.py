@@ -144,13 +144,6 @@ def n2(spark, sf_dir):
     return fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), nb.site_number(raw).alias("value"))
 
 
-@query("n3_unit_divisor", "select o_orderkey as id, case o_orderkey % 4 when 0 then 10000.0::double when 1 then 100.0::double else 1.0::double end as divisor from orders")
-def n3(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, "(₹ in Thousands)").when(k == 1, "Amounts Rs. in Lakhs unless stated").when(k == 2, "All figures ₹ in Crores").otherwise("no unit is named")
-    return fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), nb.unit_divisor(text).alias("divisor"))
-
-
 @query(
     "n4_to_crore",
     """select o_orderkey as id, round(o_totalprice * case o_orderkey % 4 when 0 then 0.01::double when 1 then 0.1::double when 2 then 0.0001::double else 1.0::double end, 4) as value from orders""",
@@ -214,14 +207,6 @@ def l2(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_pool_label").select("raw_label", lb.normal(F.col("raw_label")).alias("label"))
 
 
-@query(
-    "l3_first_phrase",
-    """select p_partkey as id, case when contains(p_name, 'ed') then 'a' when contains(p_name, 'an') then 'b' when contains(p_name, 'o') then 'c' end as concept from part""",
-)
-def l3(spark, sf_dir):
-    return fixture(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), lb.first_phrase(F.col("p_name"), (("a", "ed"), ("b", "an"), ("c", "o"))).alias("concept"))
-
-
 @query(
     "l4_first_pattern",
     """select p_partkey as id, case when regexp_matches(lower(p_name), '^[a-e].*e') then 'early' when regexp_matches(lower(p_name), '[aeiou]{2}') then 'vowels' when regexp_matches(lower(p_name), 'r.*r') then 'double r' end as concept from part""",
@@ -278,56 +263,6 @@ def l8(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", F.round(lb.trigram_cosine(F.col("a"), F.col("b")), 6).alias("cosine"), F.levenshtein("a", "b").cast("long").alias("distance"))
 
 
-@query(
-    "l10_text_class",
-    """select doc_id, case when contains(lower(text), ' the ') and contains(lower(text), ' and ') then 'english' when contains(lower(text), ' der ') or contains(lower(text), ' und ') then 'german'
-    when contains(lower(text), ' les ') then 'french' when contains(lower(text), ' el ') then 'spanish' else 'other' end as section from documents""",
-)
-def l10(spark, sf_dir):
-    t = F.lower("text")
-    section = F.when(t.contains(" the ") & t.contains(" and "), "english").when(t.contains(" der ") | t.contains(" und "), "german").when(t.contains(" les "), "french").when(t.contains(" el "), "spanish").otherwise("other")
-    return fixture(spark, sf_dir, "documents").select("doc_id", section.alias("section"))
-
-
-@query(
-    "l11_scope_of_text",
-    """select doc_id, case when strpos(lower(text), 'the') > 0 and (strpos(lower(text), 'and') = 0 or strpos(lower(text), 'the') < strpos(lower(text), 'and')) then 'consolidated'
-    when strpos(lower(text), 'and') > 0 then 'standalone' else 'unknown' end as scope from documents""",
-)
-def l11(spark, sf_dir):
-    c, s = F.instr(F.lower("text"), "the"), F.instr(F.lower("text"), "and")
-    scope = F.when((c > 0) & ((s == 0) | (c < s)), "consolidated").when(s > 0, "standalone").otherwise("unknown")
-    return fixture(spark, sf_dir, "documents").select("doc_id", scope.alias("scope"))
-
-
-@query(
-    "l12_page_titles",
-    """select source as filing, doc_id as page_no, split_part(text, chr(10), 1) as head, case when regexp_matches(lower(split_part(text, chr(10), 1)), '^the') then 'balance sheet'
-    when regexp_matches(lower(split_part(text, chr(10), 1)), '^[a-f]') then 'profit and loss' when regexp_matches(lower(split_part(text, chr(10), 1)), '^[g-m]') then 'cash flow' end as section from documents""",
-)
-def l12(spark, sf_dir):
-    head = F.split_part("text", F.lit("\n"), F.lit(1))
-    rules = (("balance sheet", "^the"), ("profit and loss", "^[a-f]"), ("cash flow", "^[g-m]"))
-    return fixture(spark, sf_dir, "fx_pages").select("filing", "page_no", head.alias("head"), lb.first_pattern(F.lower(head), rules).alias("section"))
-
-
-@query(
-    "l13_company_sector",
-    """with listed(symbol, sector) as (values (1, 'banking'), (2, 'it'), (3, 'insurance'))
-    select s_suppkey as company_id, coalesce(sector, case when regexp_matches(lower(s_name), '[05]$') then 'banking' when regexp_matches(lower(s_name), '7') then 'nbfc' else 'general' end) as sector,
-    case when sector is not null then 1.0::double when regexp_matches(lower(s_name), '[05]$|7') then 0.75::double else 0.5::double end as confidence from supplier left join listed on symbol = s_suppkey""",
-)
-def l13(spark, sf_dir):
-    listed = spark.createDataFrame([(1, "banking"), (2, "it"), (3, "insurance")], "symbol long, sector string")
-    found = lb.first_pattern(F.lower("s_name"), (("banking", "[05]$"), ("nbfc", "7")))
-    joined = fixture(spark, sf_dir, "supplier").join(F.broadcast(listed), F.col("symbol") == F.col("s_suppkey"), "left")
-    return joined.select(
-        F.col("s_suppkey").alias("company_id"),
-        F.coalesce("sector", found, F.lit("general")).alias("sector"),
-        F.when(F.col("sector").isNotNull(), 1.0).when(found.isNotNull(), 0.75).otherwise(0.5).alias("confidence"),
-    )
-
-
 @query(
     "l14_statement_plan",
     oracle(

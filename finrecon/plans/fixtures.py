@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from finrecon.functions import rules
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 OBS = """select l_suppkey as company_id, lower(p_type) as raw_label,
@@ -44,7 +46,44 @@ TEMPLATE = "select distinct concat(upper(substring(p_name,1,1)), substring(p_nam
 POOL_LABEL = "select distinct concat('Less: ', upper(p_name), ' (net)') as raw_label from part where p_partkey % 3 <> 0"
 FILING_PAGES = "select source as filing, doc_id as page_no, text, lang, n_chars from documents"
 
+_NAMED = ", ".join(f"({i}, '{c}')" for i, c in enumerate(rules.CONCEPTS))
+#: Values of all concepts by company and year, scattered over the companies by the keys of the rows; a few are negative.
+LINES = f"""select l_suppkey as company_id, case l_suppkey % 4 when 1 then 'bank' when 2 then 'nbfc' when 3 then 'insurance' else 'general' end as sector,
+ cast(year(l_shipdate) as int) as fy, concept,
+ cast(sum(cast(case when l_returnflag = 'R' and l_tax > 0.06 then -l_extendedprice else l_extendedprice end as decimal(18,2))) as double) as value
+from lineitem join (select * from (values {_NAMED}) as c(i, concept)) c on c.i = (l_orderkey + 7 * l_partkey + 13 * l_linenumber) % {len(rules.CONCEPTS)}
+group by 1,2,3,4"""
+
+#: Labels, headings and company names as filings have them; rows of a table pick one by their key.
+WORDING = {
+    "label": ("Revenue from Operations", "Net Sales (gross of excise)", "Cost of materials consumed", "Gross profit", "Employee benefits expense", "EBITDA margin", "Depreciation and amortisation expense", "EBIT",
+              "Finance costs", "Profit before tax", "Total tax expense", "Profit for the year", "Intangible assets under development", "Other non-current assets", "Trade receivables", "Non-current borrowings",
+              "For Sharp & Tannan LLP", "DIN: 00012345", "Place: Mumbai", "In terms of our report attached", "Company Secretary", "a b c d profit", "12", "Total - (A)", "otal income", "March March", "SCHEDULE",
+              "a) Opening balance", "(b) Additions", "iv) Closing stock", "In favour", "the bank had", "12,000 Equity Shares of ₹ 10 each", "options were granted in the y ear", "weighted average exercise price",
+              "(ii)", "Tax effect of unusual items", "Interest expense", "Repurchase of capital stock", "Exceptional items", "Loss on sale of assets", "Inventories"),
+    "heading": ("Standalone Balance Sheet as at March 31, 2024", "Consolidated Statement of Profit and Loss", "Cash Flow Statement for the year", "Notes to the standalone financial statements", "Schedule 12 Deposits",
+                "Significant accounting policies", "Independent Auditor's Report", "Key performance indicators and CRAR", "Sustainability report: GHG emissions", "No. of beneficiaries reached", "Corporate Governance Report",
+                "Revenue from operations (Rs. in lakhs)", "Segment reporting (₹ in crore)", "Related party transactions in 000's", "Unaudited results for the quarter ended June 30", "Chairman's message", "Property, plant and equipment (₹ 000)",
+                "Contingent liabilities", "Other expenses, amount in thousand", "Notice of the Annual General Meeting", "(₹ lakhs) Borrowings", "Rs. million unless stated", "Maturity pattern of deposits", "Interest earned, all figures '000", "plain words only"),
+    "company": ("Harbour Bank Ltd", "Northern Life Insurance", "Alpha Asset Management", "Delta Broking", "Sunrise Housing Fin", "Blue Infotech", "Green Pharma", "Daily Foods", "Swift Motors", "Iron Steel Works", "Coast Petroleum",
+                "Hill Power", "Urban Developers", "Sky Telecom", "Lens Media", "Agro Chem", "Rock Cement", "Shaft Engineers", "Ocean Shipping", "Plain Trading"),
+}
+
+
+def _pick(kind: str, key: str) -> str:
+    words = WORDING[kind]
+    return f"case {key} % {len(words)} " + " ".join("when {} then '{}'".format(i, w.replace("'", "''")) for i, w in enumerate(words)) + " end"
+
+
+RAW_LABEL = f"select l_orderkey as id, l_linenumber as line, l_suppkey as company_id, {_pick('label', '(l_orderkey + 5 * l_linenumber + l_partkey)')} as label, cast(case when l_returnflag = 'R' then -l_extendedprice else l_extendedprice end as double) as value from lineitem"
+FILED_PAGE = f"select o_custkey as filing, o_orderkey as page_no, concat({_pick('heading', '(o_orderkey + o_custkey)')}, chr(10), 'Particulars | 2024 | 2023', chr(10), o_orderpriority, ' | ', cast(o_orderkey as varchar(20))) as text from orders"
+COMPANY = f"select s_suppkey as company_id, {_pick('company', 's_suppkey')} as name from supplier"
+
 FIXTURES = {
+    "fx_raw_label": RAW_LABEL,
+    "fx_filed_page": FILED_PAGE,
+    "fx_company": COMPANY,
+    "fx_lines": LINES,
     "fx_obs": OBS,
     "fx_concepts": CONCEPTS,
     "fx_period_text": PERIOD_TEXT,
