@@ -71,25 +71,6 @@ def _scored(spark, sf_dir):
     return candidates(a, b).withColumns({"jaccard": lb.jaccard(x, y), "overlap": lb.overlap_score(x, y)})
 
 
-@query(
-    "j03_tiered_cascade",
-    oracle(
-        f"""with {TOKENS_SQL}, e as (select template_label, raw_label, 1 as tier, 1.0::double as score from fx_template join fx_pool_label on lower(template_label) = {NORMAL_POOL}),
-        f as (select template_label, raw_label, 2 as tier, round(jac, 6) as score from s where jac >= 0.2 and template_label not in (select template_label from e)),
-        u as (select * from e union all select * from f)
-        select template_label, raw_label, tier, score from (select *, row_number() over (partition by template_label order by tier, score desc, raw_label) as k from u) where k = 1""",
-        "fx_template",
-        "fx_pool_label",
-    ),
-)
-def j03(spark, sf_dir):
-    pool, template = _labels(spark, sf_dir)
-    exact = template.join(pool, "norm").select("template_label", "raw_label", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
-    rest = _scored(spark, sf_dir).where("jaccard >= 0.2").join(exact, "template_label", "left_anti")
-    both = exact.union(rest.select("template_label", "raw_label", F.lit(2), F.round("jaccard", 6)))
-    return top(both, ["template_label"], [F.col("tier"), F.desc("score"), F.col("raw_label")])
-
-
 def resolved(labels: DataFrame, aliases: DataFrame, least: float = 0.75) -> DataFrame:
     """(label, concept, tier) for distinct labels: alias, then a variant of one, then the share of common tokens in the longer; the first alias among equals.
 
@@ -156,22 +137,6 @@ def j08(spark, sf_dir):
     return _scored(spark, sf_dir).withColumns({"k": k, "q": q}).where("k = 1 and q = 1").select("template_label", "raw_label", F.round("jaccard", 6).alias("score"))
 
 
-@query("j09_similarity_join", oracle(f"with {TOKENS_SQL}, g as (select *, {NORMAL_POOL} as n from s) select template_label, raw_label, round(case when lower(template_label) = n then 1.0::double when contains(lower(template_label), n) or contains(n, lower(template_label)) then 0.88 else jac end, 6) as score from g where case when lower(template_label) = n then 1.0 else jac end >= 0.2", "fx_template", "fx_pool_label"))
-def j09(spark, sf_dir):
-    a, b = lb.normal(F.col("template_label")), lb.normal(F.col("raw_label"))
-    score = F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.88).otherwise(F.col("jaccard"))
-    return _scored(spark, sf_dir).where((F.col("jaccard") >= 0.2) | (a == b)).select("template_label", "raw_label", F.round(score, 6).alias("score"))
-
-
-@query("j10_pool_lookup", oracle("with l as (select distinct raw_label as label from fx_obs union all select 'missing'), p as (select distinct raw_label, fy from fx_obs) select label, 1997 as fy, case when not exists (select 1 from p where p.raw_label = label) then 'not found' when exists (select 1 from p where p.raw_label = label and p.fy = 1997) then 'found' else 'found without period' end as status from l", "fx_obs"))
-def j10(spark, sf_dir):
-    held = fixture(spark, sf_dir, "fx_obs").select("raw_label", "fy").distinct()
-    asked = held.select(F.col("raw_label").alias("label")).distinct().union(spark.createDataFrame([("missing",)], "label string"))
-    known = held.groupBy(F.col("raw_label").alias("label")).agg(F.bool_or(F.col("fy") == 1997).alias("in_year"))
-    status = F.when(F.col("in_year").isNull(), "not found").when(F.col("in_year"), "found").otherwise("found without period")
-    return asked.join(known, "label", "left").select("label", F.lit(1997).alias("fy"), status.alias("status"))
-
-
 @query(
     "j11_cross_check",
     oracle(
@@ -214,9 +179,9 @@ def as_of(rows: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
     return rows.withColumns({"prior_year": F.max(year).over(before), "prior_value": F.last(value, ignorenulls=True).over(before)})
 
 
-@query("j14_prior_year", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' and value > 60000 group by 1, 2, 3) select a.company_id, a.raw_label, a.fy, a.value, max(b.fy) as prior_year, arg_max(b.value, b.fy) as prior_value from h a left join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4", "fx_obs"))
+@query("j14_prior_year", oracle("with h as (select company_id, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' group by 1, 2, 3) select a.company_id, a.raw_label, a.fy, a.value, max(b.fy) as prior_year, arg_max(b.value, b.fy) as prior_value from h a left join h b on a.company_id = b.company_id and a.raw_label = b.raw_label and b.fy < a.fy group by 1, 2, 3, 4", "fx_obs"))
 def j14(spark, sf_dir):
-    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl' and value > 60000").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
+    history = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl'").groupBy("company_id", "raw_label", "fy").agg(F.max("value").alias("value"))
     return as_of(history, ["company_id", "raw_label"], "fy", "value")
 
 

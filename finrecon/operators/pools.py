@@ -81,10 +81,10 @@ def a02(spark, sf_dir):
     return consensus(fixture(spark, sf_dir, "fx_obs").where("statement_type = 'consolidated'"), KEYS)
 
 
-@query("a03_first_value", oracle("select company_id, statement_type, raw_label, arg_min(value, fy * 10 + fq) as value from fx_obs where source = 'xbrl' group by 1, 2, 3", "fx_obs"))
+@query("a03_first_value", oracle("select company_id, statement_type, raw_label, arg_min(value, fy * 100 + fq * 10 + case source when 'screener' then 0 when 'xbrl' then 1 else 2 end) as value from fx_obs group by 1, 2, 3", "fx_obs"))
 def a03(spark, sf_dir):
-    obs = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl'")
-    return obs.groupBy("company_id", "statement_type", "raw_label").agg(F.min_by("value", F.struct("fy", "fq")).alias("value"))
+    obs = fixture(spark, sf_dir, "fx_obs")
+    return obs.groupBy("company_id", "statement_type", "raw_label").agg(F.min_by("value", F.struct("fy", "fq", "source")).alias("value"))
 
 
 @query("a04_concept_dedup", oracle("select company_id, fy, fq, concept, upper(substr(concept, 1, 1)) || replace(substr(concept, 2), '_', ' ') as title, arg_max(value, abs(value)) as value from fx_concepts group by 1, 2, 3, 4", "fx_concepts"))
@@ -225,9 +225,9 @@ def a13(spark, sf_dir):
     return obs.groupBy("company_id", section.alias("section"), "raw_label", "fy").agg(F.max_by("value", order).alias("value"))
 
 
-@query("a14_ordered_merge", oracle("with o as (select company_id, raw_label, fy, fq, value, case source when 'screener' then 1 when 'xbrl' then 2 else 3 end as ord from fx_obs where statement_type = 'standalone' and fy between 1996 and 1999) select company_id, raw_label, fy, fq, arg_min(value, ord) as value, min(ord) as came_from from o group by 1, 2, 3, 4", "fx_obs"))
+@query("a14_ordered_merge", oracle("with o as (select company_id, raw_label, fy, fq, value, case source when 'screener' then 1 when 'xbrl' then 2 else 3 end as ord from fx_obs where statement_type = 'standalone') select company_id, raw_label, fy, fq, arg_min(value, ord) as value, min(ord) as came_from from o group by 1, 2, 3, 4", "fx_obs"))
 def a14(spark, sf_dir):
-    obs = fixture(spark, sf_dir, "fx_obs").where("statement_type = 'standalone' and fy between 1996 and 1999")
+    obs = fixture(spark, sf_dir, "fx_obs").where("statement_type = 'standalone'")
     parts = [obs.where(F.col("source") == s).select(*KEYS, "value").withColumn("ord", F.lit(i)) for i, s in enumerate(("screener", "xbrl", "yfinance"), 1)]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return merged.groupBy(*KEYS).agg(F.min_by("value", "ord").alias("value"), F.min("ord").alias("came_from"))
@@ -283,11 +283,11 @@ def u2(spark, sf_dir):
     return pages.union(again).groupBy("url").agg(F.min("page_id").alias("page_id"))
 
 
-@query("u3_still_empty", oracle("select distinct raw_label, fy from fx_obs where not exists (select 1 from fx_obs y where y.source = 'xbrl' and y.value > 300000 and y.raw_label = fx_obs.raw_label and y.fy = fx_obs.fy)", "fx_obs"))
+@query("u3_still_empty", oracle("select distinct company_id, raw_label, fy from fx_obs anti join (select company_id, raw_label, fy from fx_obs where source = 'xbrl') f using (company_id, raw_label, fy)", "fx_obs"))
 def u3(spark, sf_dir):
     obs = fixture(spark, sf_dir, "fx_obs")
-    filled = obs.where("source = 'xbrl' and value > 300000").select("raw_label", "fy").distinct()
-    return obs.select("raw_label", "fy").distinct().join(filled, ["raw_label", "fy"], "left_anti")
+    cell = ["company_id", "raw_label", "fy"]
+    return obs.select(*cell).distinct().join(obs.where("source = 'xbrl'").select(*cell), cell, "left_anti")
 
 
 @query("u4_ask_years", oracle("with d as (select company_id, list_sort(list(distinct fy)) as have from fx_obs where source = 'xbrl' group by 1) select company_id, array_to_string(case when len(list_intersect(have, [1996, 1997, 2050])) > 0 then list_sort(list_intersect(have, [1996, 1997, 2050])) else have end, ',') as years from d", "fx_obs"))

@@ -315,31 +315,6 @@ def l18(spark, sf_dir):
     return fixture(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |")).alias("row_text"))
 
 
-#: Clusters of words that mean the same in labels.
-CLUSTERS = {"temperature": ("cold", "hot"), "age": ("old", "new"), "size": ("small", "large")}
-CLUSTER_SQL = "case when x in ('cold', 'hot') then 'temperature' when x in ('old', 'new') then 'age' when x in ('small', 'large') then 'size' else x end"
-
-
-@query(
-    "l9_cluster_similarity",
-    f"""with t as (select distinct lower(p_name) as n from part), c as (select n, split_part(n, ' ', 2) as second, (select {CLUSTER_SQL} from (select split_part(n, ' ', 1) as x)) as cluster from t)
-    select a.n as a, b.n as b, case when a.cluster = b.cluster and a.second = b.second then 0.95::double when a.cluster = b.cluster then 0.88::double else round(len(list_intersect(string_split(a.n, ' '), string_split(b.n, ' '))) / len(list_distinct(list_concat(string_split(a.n, ' '), string_split(b.n, ' ')))), 6) end as score
-    from c a join c b on a.n < b.n and (a.cluster = b.cluster or a.second = b.second)""",
-)
-def l9(spark, sf_dir):
-    word = F.split_part("n", F.lit(" "), F.lit(1))
-    cluster = F
-    for name, words in CLUSTERS.items():
-        cluster = cluster.when(word.isin(*words), name)
-    names = fixture(spark, sf_dir, "part").select(lb.normal(F.col("p_name")).alias("n")).distinct().withColumns({"cluster": cluster.otherwise(word), "second": F.split_part("n", F.lit(" "), F.lit(2))})
-    sides = names.withColumn("block", F.explode(F.array(F.concat(F.lit("c:"), F.col("cluster")), F.concat(F.lit("s:"), F.col("second")))))
-    a, b = (sides.select("block", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "cluster", "second"))) for s in "ab")
-    pairs = a.join(b, "block").where("n_a < n_b").drop("block").distinct()
-    same, both = F.col("cluster_a") == F.col("cluster_b"), F.col("second_a") == F.col("second_b")
-    score = F.when(same & both, 0.95).when(same, 0.88).otherwise(F.round(lb.jaccard(lb.tokens(F.col("n_a")), lb.tokens(F.col("n_b"))), 6))
-    return pairs.select(F.col("n_a").alias("a"), F.col("n_b").alias("b"), score.alias("score"))
-
-
 def line_chunks(text, most: int, overlap: int):
     """Lines joined into chunks of at most most characters; a chunk starts with the last overlap lines of the one before. A longer line is a chunk of its own."""
     lines = F.split(text, "\n")

@@ -12,24 +12,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from finrecon.functions import periods as pr
-from finrecon.operators.filters import batch_reasons
+from finrecon.operators.filters import added_facts, batch_facts, reason_of
 from finrecon.operators.pools import rank_of
 from finrecon.plans.registry import query
 from finrecon.sources.sinks import history_additions
 
 TTL = "7 days"
+#: Files of a micro-batch.
+FILES = 100
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names; in a folder of our own only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder in the one that spark.checkpoint.dir names; on one machine, as in tests, in a folder of our own if that is unset. A cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of observations."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/event[s].parquet")
     return raw.select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("company_id"), F.col("event_type").alias("raw_label"), F.col("ts").cast("timestamp").alias("observed_at"), "value",
         F.when(F.col("event_id") % 3 == 0, "xbrl").when(F.col("event_id") % 3 == 1, "screener").otherwise("yfinance").alias("source"),
@@ -41,7 +46,7 @@ def drained(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None]
     spark = stream.sparkSession
     out = shared_path(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True)
-    writer = writer.foreachBatch(each(out) if each else (lambda df, _: df.write.mode("overwrite").parquet(out)))
+    writer = writer.foreachBatch(each(out) if each else (lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")))
     run = writer.start()
     try:
         run.awaitTermination()
@@ -56,25 +61,25 @@ def fresh_batches(feed: DataFrame, ttl: str = TTL) -> DataFrame:
 
 
 S1_SQL = """with e as (select event_id as seq, user_id as company_id, event_type as raw_label, ts, value, case event_id % 3 when 0 then 'xbrl' when 1 then 'screener' else 'yfinance' end as source from events),
- d as (select source, company_id, raw_label, ts from e group by 1, 2, 3, 4), b as (select source, company_id, cast(ts as date) as day, count(*) as n from d group by 1, 2, 3), g as (select *, max(day) over (partition by source, company_id) as newest from b)
- select source, company_id, cast(max(day) as varchar) as day, arg_max(n, day) as items from g where n >= 1 group by 1, 2"""
+ d as (select source, company_id, raw_label, ts, arg_min(value, seq) as value from e group by 1, 2, 3, 4),
+ b as (select source, company_id, cast(ts as date) as day, count(*) as n, sum(abs(value)) as total, bool_or(abs(value) > 1) as big, bool_or(length(regexp_replace(raw_label, '[^A-Za-z]', '', 'g')) > 4) as named from d group by 1, 2, 3)
+ select source, company_id, cast(max(day) as varchar) as day, arg_max(n, day) as items from b where n >= 3 and total > 0 and big and named group by 1, 2"""
 
 
 @query("s1_fresh_batches", S1_SQL)
 def s1(spark, sf_dir):
-    """The newest sound batch, a day's observations, of each source and company."""
+    """The newest sound batch, a day's observations, of each source and company. A micro-batch stores the facts of its part of a day; parts add up, so a day may come in several."""
+    keys = ["source", "company_id", "day"]
 
     def each(out: str):
         def put(df: DataFrame, batch: int) -> None:
-            days = df.withColumn("day", F.to_date("observed_at"))
-            sound = batch_reasons(days, ["source", "company_id", "day"], 1).where("coalesce(reason, '') <> 'few items'")
-            sound.select("source", "company_id", "day", F.col("n").alias("items")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+            batch_facts(df.withColumn("day", F.to_date("observed_at")), keys).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
         return put
 
     out = drained(fresh_batches(events_stream(spark, sf_dir)), "append", each, "fresh")
-    kept = spark.read.parquet(out)
-    return kept.groupBy("source", "company_id").agg(F.max_by("items", "day").alias("items"), F.max("day").cast("string").alias("day"))
+    sound = added_facts(spark.read.parquet(out), keys).where(reason_of(3).isNull())
+    return sound.groupBy("source", "company_id").agg(F.max_by("n", "day").alias("items"), F.max("day").cast("string").alias("day"))
 
 
 @query("s2_history_upsert", "select user_id as company_id, event_type as concept, cast(year(ts) as integer) as fy, arg_min(value, event_id) as value from events where value > 50 group by 1, 2, 3")

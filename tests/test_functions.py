@@ -133,3 +133,30 @@ def test_word_rows(spark):
     words = [("p", "b", 20.0, 11.0), ("p", "a", 5.0, 10.0), ("p", "c", 5.0, 14.9), ("p", "d", 1.0, 15.5), ("q", "e", 1.0, 1.0)]
     found = windows.word_rows(spark.createDataFrame(words, "page string, text string, x0 double, top double"), ["page"]).collect()
     assert {(r["page"], r["row"]): r["line"] for r in found} == {("p", 0): "a c b", ("p", 1): "d", ("q", 0): "e"}
+
+
+def test_streams_give_the_same_in_several_micro_batches(spark, small, tmp_path, monkeypatch):
+    from finrecon.streaming import feeds
+
+    spark.read.parquet(f"{small}/events.parquet").repartitionByRange(4, "ts").write.parquet(f"{tmp_path}/events.parquet")
+    names = ("s1", "s3", "s4")
+    whole = {n: sorted(map(tuple, getattr(feeds, n)(spark, small).collect())) for n in names}
+    monkeypatch.setattr(feeds, "FILES", 1)
+    assert {n: sorted(map(tuple, getattr(feeds, n)(spark, str(tmp_path)).collect())) for n in names} == whole
+
+
+def test_assignment_is_greedy_by_tier(spark):
+    from finrecon.operators import matching
+
+    rows = [(1, "total assets", 0, "assets", 0.9, 100.0), (1, "assets", 1, "assets", 1.0, 100.0), (1, "assets", 1, "asset", 0.8, 90.0), (1, "current assets", 1, "big", 0.9, 500.0), (2, "sales", 1, "net sales", 0.9, 5.0), (2, "sales", 1, "a sales", 0.9, 5.0)]
+    found = {tuple(r) for r in matching.assigned(spark.createDataFrame(rows, "company_id long, template_label string, tier int, pool_label string, score double, value double")).collect()}
+    assert found == {(1, "total assets", "assets"), (1, "assets", "asset"), (2, "sales", "a sales")}
+
+
+def test_unit_phrases(spark):
+    from finrecon.operators.texts import unit_divisor
+    from pyspark.sql import functions as F
+
+    texts = {"(Lakhs)": 100.0, "(₹ lakhs)": 100.0, "Rs. in Crores": 1.0, "(₹ 000)": 10000.0, "'000": 10000.0, "INR in million": 10.0, "nothing": 1.0}
+    rows = spark.createDataFrame(list(texts.items()), "t string, d double").select("t", "d", unit_divisor(F.col("t")).alias("got")).collect()
+    assert all(r["d"] == r["got"] for r in rows)
