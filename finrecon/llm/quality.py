@@ -1,7 +1,7 @@
 """Quality rules: fixed limits on words and repetition, and robust outliers of transformed statistics.
 
 For each (language, source) a minimum-covariance-determinant estimate of the statistic vectors is sought as by the fast algorithm: from ``STARTS`` starts, one from
-medians and quartiles and the others from small subsets drawn by a hash, take ``FIRST_STEPS`` concentration steps (keep the share ``KEPT`` of documents with the least distance, estimate mean and
+all documents and the others from small subsets drawn by a hash, take ``FIRST_STEPS`` concentration steps (keep the share ``KEPT`` of documents with the least distance, estimate mean and
 covariance from those); go on from the start with the least determinant until the determinant no longer falls. The covariance is scaled for consistency at the normal distribution. Every step is two
 grouped aggregates over narrow rows; a group of any size is pre-aggregated, and the order statistics come from a histogram of
 the logarithm of the distance, so no group meets in one task. All of it is DataFrame expressions.
@@ -185,18 +185,11 @@ def _step(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
 def robust_estimates(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
     """g, mean and factor for each group of rows (g, features), and its cut on the squared distance."""
     p = range(len(FEATURES))
-    robust = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)))
-    robust = scratch.kept(robust)
-    centre = robust.select(
-        "g", F.lit(0).alias("start"),
-        *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p),
-        *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + RIDGE[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
-    )
-    # The other starts: about START_ROWS rows of each group, drawn by a hash of their statistics.
-    drawn = rows.join(sent(robust.select("g", "n"), few), "g").withColumn("start", F.explode(F.array(*(F.lit(s) for s in range(1, STARTS)))))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
+    # Start 0 takes all rows of a group, each other one about START_ROWS of them, half of a smaller group, drawn by a hash of their statistics.
+    drawn = rows.join(sent(sizes, few), "g").withColumn("start", F.explode(F.array(*(F.lit(s) for s in range(STARTS)))))
     chance = F.pmod(F.xxhash64("start", *FEATURES), F.lit(1 << 20)) / float(1 << 20)
-    drawn = drawn.where(chance < START_ROWS / F.col("n")).select("g", "start", *FEATURES)
-    now = scratch.kept(_factored(centre.unionByName(_moments(drawn))))
+    now = scratch.kept(_factored(_moments(drawn.where((F.col("start") == 0) | (chance < F.least(F.lit(START_ROWS), F.col("n") / 2) / F.col("n"))).select("g", "start", *FEATURES))))
     for _ in range(FIRST_STEPS):
         now = scratch.kept(_step(rows, now, few).drop("was"))
     best = [c for c in now.columns if c != "g"]
