@@ -9,15 +9,6 @@ from pyspark.sql import Column, functions as F
 #: Words that join a label to the one before it, and remarks that end one.
 OPERATORS = "less|add|plus|minus|of which|including|total of"
 REMARKS = r"\s*\((?:net|gross|refer note[^)]*|note[^)]*|in [^)]*|[ivx]+|[a-z])\)\s*$"
-#: Ordered (concept, phrase) pairs; the first phrase that a label holds names its concept.
-CONCEPT_PHRASES = (
-    ("revenue_from_operations", "revenue"),
-    ("cost_of_goods_sold", "cost of goods"),
-    ("employee_benefits_expense", "employee"),
-    ("finance_cost", "finance cost"),
-    ("depreciation_amortization", "depreciation"),
-    ("other_expenses", "other expense"),
-)
 
 
 def clean(label: Column) -> Column:
@@ -75,30 +66,9 @@ def variants(label: Column) -> Column:
     return F.array_distinct(F.array(n, F.regexp_replace(n, "s$", ""), F.concat(n, F.lit("s")), F.regexp_replace(n, " (?:expenses?|costs?)$", ""), F.regexp_replace(n, "ies$", "y")))
 
 
-def first_phrase(label: Column, phrases: Sequence[tuple[str, str]] = CONCEPT_PHRASES) -> Column:
-    """The name of the first (name, phrase) pair whose phrase the label holds."""
-    chain, t = F, F.lower(label)
-    for name, phrase in phrases:
-        chain = chain.when(t.contains(phrase), name)
-    return chain.otherwise(F.lit(None))
-
-
 def first_pattern(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """The name of the first (name, pattern) rule that the text matches."""
     chain = F
     for name, pattern in rules:
         chain = chain.when(text.rlike(pattern), name)
     return chain.otherwise(F.lit(None))
-
-
-def is_fragment(label: Column) -> Column:
-    """Length below 2 or above 200, under three letters, or four words and more of which over 45 percent have one character."""
-    words = F.filter(F.split(F.trim(label), r"\s+"), lambda w: w != "")
-    single = F.size(F.filter(words, lambda w: F.length(w) == 1))
-    letters = F.length(F.regexp_replace(label, "[^A-Za-z]", ""))
-    return (F.length(label) < 2) | (F.length(label) > 200) | (letters < 3) | ((F.size(words) >= 4) & (single > 0.45 * F.size(words)))
-
-
-def is_junk(label: Column) -> Column:
-    """Schedule totals, list items, vote rows, share rows, and labels of seven or more capitals only."""
-    return label.rlike(r"(?i)^(?:schedule|annexure|sr\.? ?no|s\.? ?no|votes? |no\. of shares|particulars)") | label.rlike(r"^[A-Z][A-Z ]{6,}$")

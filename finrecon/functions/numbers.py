@@ -6,9 +6,6 @@ from pyspark.sql import Column, functions as F
 
 #: What one unit is in crore.
 IN_CRORE = {"crore": 1.0, "lakh": 0.01, "million": 0.1, "billion": 100.0, "thousand": 0.0001, "rupee": 1e-7}
-#: Unit phrases in the order in which they are looked for, and the divisor from that unit to crore.
-UNIT_PHRASES = (("crore|\\bcr\\b", 1.0), ("lakh|lac\\b", 100.0), ("million|\\bmn\\b", 10.0), ("billion|\\bbn\\b", 0.01), ("thousand|'000", 10000.0))
-UNIT_WINDOWS = (2000, 5000, 15000, None)
 
 
 def number(raw: Column) -> Column:
@@ -27,18 +24,6 @@ def site_number(raw: Column) -> Column:
     return number(F.regexp_replace(raw, "[%\\s]", ""))
 
 
-def unit_divisor(text: Column) -> Column:
-    """Divisor to crore from the first unit phrase; a nearer window goes before an earlier phrase; 1 without any."""
-    out = F.lit(None).cast("double")
-    for window in UNIT_WINDOWS:
-        seen = F.lower(text if window is None else F.substring(text, 1, window))
-        chain = F
-        for phrase, divisor in UNIT_PHRASES:
-            chain = chain.when(seen.rlike(rf"\b(?:in|rs\.?|inr|₹)\b?[^a-z]{{0,6}}(?:rs\.?|inr)?\s*(?:{phrase})"), divisor)
-        out = F.coalesce(out, chain.otherwise(F.lit(None)))
-    return F.coalesce(out, F.lit(1.0))
-
-
 def to_crore(value: Column, unit: Column) -> Column:
     """Value in crore to four places; NaN and unknown units are null."""
     rate = F.lit(None).cast("double")

@@ -1,11 +1,12 @@
 """Literal cases of the scalar functions and of operators that SQL does not state."""
 
 import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from finrecon.functions import labels as lb, numbers as nb, periods as pr, scorers
-from finrecon.operators import checks, pools, windows
+from finrecon.operators import checks, pools, texts, windows
 from finrecon.sources import readers, sinks
 
 
@@ -35,7 +36,7 @@ def test_numbers(spark):
 
 
 def test_units(spark):
-    assert values(spark, ["₹ in Thousands", "Rs. in Lakhs", "₹ in Crores", "nothing"], nb.unit_divisor) == [10000.0, 100.0, 1.0, 1.0]
+    assert values(spark, ["₹ in Thousands", "Rs. in Lakhs", "₹ in Crores", "nothing"], texts.unit_divisor) == [10000.0, 100.0, 1.0, 1.0]
 
 
 def test_glued_cells(spark):
@@ -45,7 +46,7 @@ def test_glued_cells(spark):
 
 def test_labels(spark):
     assert values(spark, ["Less: Finance  Costs (net)", "• Revenue", None], lb.normal) == ["finance costs", "revenue", None]
-    assert values(spark, ["a b c d", "Revenue", "x", "12"], lb.is_fragment) == [True, False, True, True]
+    assert values(spark, ["a b c d", "Revenue", "x", "12"], texts.is_fragment) == [True, False, True, True]
 
 
 def test_scorers(spark):
@@ -157,9 +158,8 @@ def test_assignment_is_greedy_by_tier(spark):
 
 
 def test_unit_phrases(spark):
-    from finrecon.operators.texts import unit_divisor
     from pyspark.sql import functions as F
 
-    texts = {"(Lakhs)": 100.0, "(₹ lakhs)": 100.0, "Rs. in Crores": 1.0, "(₹ 000)": 10000.0, "'000": 10000.0, "INR in million": 10.0, "nothing": 1.0}
-    rows = spark.createDataFrame(list(texts.items()), "t string, d double").select("t", "d", unit_divisor(F.col("t")).alias("got")).collect()
+    phrases = {"(Lakhs)": 100.0, "(₹ lakhs)": 100.0, "Rs. in Crores": 1.0, "(₹ 000)": 10000.0, "'000": 10000.0, "INR in million": 10.0, "nothing": 1.0}
+    rows = spark.createDataFrame(list(phrases.items()), "t string, d double").select("t", "d", texts.unit_divisor(F.col("t")).alias("got")).collect()
     assert all(r["d"] == r["got"] for r in rows)
