@@ -621,15 +621,19 @@ def brute_mcd(x, kept):
     return min(np.linalg.det(np.cov(x[list(c)].T, bias=True) + np.diag(np.array(quality.RIDGE) ** 2)) for c in combinations(range(len(x)), kept))
 
 
-def test_estimates_reach_the_least_determinant(spark):
-    """A small group with outliers: the concentration steps end at the subset of least determinant among all."""
+@pytest.mark.parametrize(
+    ("inliers", "subset"),
+    [(17, 15), pytest.param(9, 9, marks=pytest.mark.xfail(reason="a known limit: with exactly a quarter of outliers in 12 rows all starts end in a local minimum", strict=False))],
+)
+def test_estimates_reach_the_least_determinant(spark, inliers, subset):
+    """A small group with three outliers: the concentration steps end at the subset of least determinant among all."""
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(17, 6)) @ rng.normal(size=(6, 6)) * 0.2, 9 + rng.normal(size=(3, 6))])
+    x = np.concatenate([rng.normal(size=(inliers, 6)) @ rng.normal(size=(6, 6)) * 0.2, 9 + rng.normal(size=(3, 6))])
     rows = spark.createDataFrame([("0/a", *map(float, v)) for v in x], "g string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
     est = quality.robust_estimates(rows, True, frames.Scratch(spark, "t")).first()
     factor = quality.chi2_share(quality.chi2_quantile(quality.KEPT, 6), 8) / quality.KEPT
     det = math.prod(est[f"l{i}{i}"] ** 2 for i in range(6)) * factor**6
-    assert det <= brute_mcd(x, 15) * 1.5 and all(abs(est[f"m{i}"]) < 2 for i in range(6))
+    assert det <= brute_mcd(x, subset) * 1.5 and all(abs(est[f"m{i}"]) < 2 for i in range(6))
 
 
 def test_chi_squared():
