@@ -84,3 +84,76 @@ SECTORS = (
     ("media", r"MEDIA|BROADCAST|ENTERTAIN|TELEVIS|MUSIC"), ("chemicals", r"CHEM|FERTI|PESTICID|AGROCHEM|POLYMER|RESIN|DYE"), ("cement", r"CEMENT|ASBESTOS"), ("capital_goods", r"ENGINEER|ELECTRIC|MACHINE\s*TOOL|FORGING|SHIPYARD|DEFENCE"),
     ("logistics", r"LOGISTIC|SHIPPING|PORT|AIRWAY|AIRLINE|FREIGHT|COURIER|TRANSPORT"),
 )
+
+# Starts and end of the parts of a filing, by scope.
+SCOPE_STARTS = tuple(
+    (scope, rf"(?i){scope} (?:balance sheet|statement of (?:profit|financial position|cash flow)|cash flow|financial statement)|audit of the {scope}|notes to (?:the )?{scope} financial") for scope in ("standalone", "consolidated")
+)
+FILING_END = r"(?i)notice of (?:the )?annual general meeting|notice to (?:the )?members|agm notice"
+# Headings that put a scope in force for what follows.
+SCOPE_HEADINGS = tuple((scope, rf"(?i){scope} (?:balance sheet|statement of (?:profit|financial position)|cash flow|financial statement)") for scope in ("consolidated", "standalone"))
+SCOPE_MARK = r"\[SCOPE=([A-Z_]+)\]"
+# Lines that begin a statement, and those that begin a part of a balance sheet.
+STATEMENT_STARTS = (
+    ("standalone", "bs", r"(?i)^(?:standalone\s+)?balance\s+sheet$"), ("consolidated", "bs", r"(?i)^consolidated\s+balance\s+sheet$"), ("standalone", "pl", r"(?i)^(?:standalone\s+)?statement\s+of\s+profit"),
+    ("consolidated", "pl", r"(?i)^consolidated\s+statement\s+of\s+profit"), ("standalone", "cf", r"(?i)^(?:standalone\s+)?statement\s+of\s+cash"), ("consolidated", "cf", r"(?i)^consolidated\s+statement\s+of\s+cash"),
+)
+BALANCE_PARTS = (
+    ("non_current_assets", r"(?i)^non.current\s+assets?$"), ("current_assets", r"(?i)^current\s+assets?$"), ("equity", r"(?i)^equity\s*:?$"), ("non_current_liabilities", r"(?i)^non.current\s+liabilit"),
+    ("current_liabilities", r"(?i)^(?:total\s+)?current\s+liabilit"),
+)
+# Bare labels whose field depends on the part of the balance sheet.
+FIELDS_BY_PART = (
+    (r"(?i)^borrowings?\b", {"non_current_liabilities": "Borrowings (Non-Current)", "current_liabilities": "Borrowings (Current)"}),
+    (r"(?i)^lease\s+liabilit", {"non_current_liabilities": "Lease Liabilities (Non-Current)", "current_liabilities": "Lease Liabilities (Current)"}),
+    (r"(?i)^provisions?\b", {"non_current_liabilities": "Provisions (Non-Current)", "current_liabilities": "Provisions (Current)"}),
+    (r"(?i)^other\s+financial\s+assets?\b", {"non_current_assets": "Other Financial Assets", "current_assets": "Other Financial Assets"}),
+    (r"(?i)^other\s+(?:non.current|noncurrent)\s+assets?\b", {"non_current_assets": "Other non-current assets"}),
+    (r"(?i)^investments?\b", {"non_current_assets": "Investments - equity method", "current_assets": "Other Investments"}),
+)
+# What a cover must not and must say, by kind of document.
+COVER_REJECTS = (
+    r"(?i)intimation|outcome\s+of\s+(?:the\s+)?board\s+meeting|board\s+meeting\s+outcome|notice\s+of\s+(?:meeting|board\s+meeting|postal\s+ballot)|transcript|verbatim|recording\s+of|remuneration\s+policy"
+    r"|nomination\s+and\s+remuneration|whistle.?blower|code\s+of\s+conduct|loss\s+of\s+share|duplicate\s+share|appointment\s+of|resignation\s+of"
+)
+COVER_NEEDS = {
+    "annual": r"(?i)annual\s+report|integrated\s+(?:annual\s+)?report|annual\s+accounts|notice\s+of\s+(?:the\s+)?(?:\d+\w*\s+)?annual\s+general|board['’]?s?\s+report|director['’]?s?\s+report|year\s+ended\s+(?:march|31[\s-]?march)"
+    r"|(?:standalone|consolidated)\s+(?:balance\s+sheet|statement\s+of\s+profit)|management\s+discussion\s+and\s+analysis|md&a|mda|corporate\s+overview|financial\s+statements?\b|chairman['’]?s?\s+(?:message|letter|statement)|notice\s+to\s+(?:the\s+)?(?:members|shareholders)",
+    "quarterly": r"(?i)statement\s+of\s+(?:unaudited|audited|standalone|consolidated).{0,30}financial\s+results?|results?\s+for\s+the\s+(?:quarter|three\s+months|half[\s-]year|year)\s+ended|(?:un)?audited\s+financial\s+results?",
+    "presentation": r"(?i)investor[\s'’]+(?:presentation|deck|update|brief)|earnings\s+presentation|results?\s+presentation|q[1-4]\s*fy\d{2,4}.{0,30}(?:presentation|deck)|fy\d{2,4}\s+(?:annual\s+)?(?:results?\s+)?presentation|analyst\s+(?:day|meet)\s+presentation",
+}
+# Words of slides with figures.
+SLIDE_WORDS = (
+    "revenue", "ebitda", "pat ", "profit", "loss", "segment", "%", "₹", "rs.", "rs ", "crore", "fy2", "growth", "margin", "yoy", "qoq", "balance sheet", "cash flow", "operating", "nim", "casa", "gnpa", "advances", "deposits",
+    "vnb", "ape", "persistency", "store", "sssg", "volume", "arpu", "utilization", "attrition", "units", "capacity", "plf",
+)
+# What a sheet needs by its name, the titles of pages that have it, and the kinds of sheets to search.
+SHEET_NEEDS = (("cash_flow", ("cash flow", "cashflow")), ("balance_sheet", ("balance",)), ("quarterly", ("quarter",)), ("operating_metrics", ("operating", "metric", "segment", "ratio")))
+TITLE_NEEDS = (
+    ("balance_sheet", ("balance sheet", "financial position")), ("p_and_l", ("statement of p&l", "p & l", "statement of profit", "p&l")), ("cash_flow", ("cash flow",)), ("quarterly", ("quarter", "three months")),
+    ("operating_metrics", ("segment", "kpi", "operating", "ratio", "schedule")),
+)
+SHEET_ROUTES = (
+    ("P&L", ("p&l", "income statement")), ("Balance Sheet", ("balance sheet", " bs")), ("Cash Flow", ("cash flow",)), ("Operating Metrics,Quarterly,P&L,Balance Sheet", ("operating", "kpi", "metric", "ratio", "spread", "asset quality")),
+    ("Quarterly,P&L,Balance Sheet,Operating Metrics", ("quarter",)),
+)
+# Lines of cash flow statements, tried in this order on lower-case labels.
+CASH_FLOW_LINES = (
+    ("cf operating", r"\bnet cash (?:flow )?(?:generated )?from operating|\bcash (?:flow )?from operating|\bcash generated from operations|\boperating activities\b"),
+    ("cf investing", r"\bnet cash (?:flow )?(?:used )?in investing|\bcash (?:flow )?from investing|\binvesting activities\b"), ("cf financing", r"\bnet cash (?:flow )?(?:used )?in financing|\bcash (?:flow )?from financing|\bfinancing activities\b"),
+    ("cf cash beg", r"\bcash.*beginning(?: of)?(?: the)? (?:year|period)|\bcash.*at(?: the)? beginning|\bopening (?:balance of )?cash|\bcash and bank balances? beginning"),
+    ("cf cash end", r"\bcash.*end(?: of)?(?: the)? (?:year|period)|\bcash.*at(?: the)? end|\bclosing (?:balance of )?cash|\bcash and bank balances? end"),
+    ("cf net change", r"\bnet (?:increase|decrease|change|change/?\(decrease\)).{0,30}in cash|\bnet increase\s+decrease.{0,30}in cash|\bnet change in cash"),
+    ("cf depreciation", r"\bdepreciation and amortis(?:ation|ation expense)|\bdepreciation amortisation and impairment"), ("cf finance cost", r"\bfinance cost(?:s)?\b|\binterest expense\b"),
+    ("cf working capital", r"\bworking capital changes|\bchanges in working capital"), ("cf tax paid", r"\bincome tax(?:es)? paid|\bdirect taxes? paid"),
+)
+# Other wordings of a label, added to a search.
+WORDINGS = {
+    "revenue from operations": ("revenue", "net revenue", "sales", "income from operations", "turnover"), "cost of goods sold": ("cost of materials consumed", "purchases of stock", "changes in inventories", "raw material cost"),
+    "employee benefits expense": ("staff cost", "personnel cost", "salaries"), "finance cost": ("finance costs", "interest expense", "borrowing cost"), "depreciation": ("depreciation and amortisation", "depreciation amortization impairment"),
+    "other income": ("other operating income", "miscellaneous income", "interest income", "dividend income"), "tax": ("tax expense", "current tax", "deferred tax", "income tax expense"),
+    "diluted eps": ("diluted earnings per share", "earnings per share diluted"), "share of profit of associates": ("share of associates", "share of net profit of associates"), "property plant equipment": ("ppe", "fixed assets", "tangible assets"),
+    "capital work in progress": ("cwip", "capital work-in-progress"), "intangible assets": ("intangibles", "intangible asset"), "right of use": ("rou", "rou assets", "right-of-use assets"), "inventories": ("stock", "inventory"),
+    "trade receivables": ("debtors", "receivables"), "cash and cash equivalents": ("cash", "bank balances", "cash and bank"), "equity share capital": ("share capital", "issued capital"), "other equity": ("reserves and surplus", "retained earnings"),
+    "borrowings": ("loans", "debt", "long-term borrowings", "short-term borrowings"), "trade payables": ("creditors", "payables", "sundry creditors"), "deferred tax": ("deferred tax liability", "deferred tax asset"),
+}

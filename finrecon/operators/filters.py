@@ -35,13 +35,6 @@ def flt1(spark, sf_dir):
     return batch_reasons(fixture(spark, sf_dir, "fx_obs"), ["company_id", "source", "fy"])
 
 
-@query("flt9_block_quality", "with b as (select l_orderkey as block, count(*) as n, count(*) filter (where l_quantity > 30) as long_ones from lineitem group by 1) select l_orderkey as block, l_linenumber as line from lineitem semi join (select block from b where n >= 5 and long_ones <= 0.6 * n) on block = l_orderkey")
-def flt9(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), F.col("l_linenumber").alias("line"), "l_quantity")
-    good = rows.groupBy("block").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") > 30).alias("long")).where("n >= 5 and long <= 0.6 * n")
-    return rows.join(good, "block", "left_semi").select("block", "line")
-
-
 def garbled(text: Column) -> Column:
     """100 characters and 30 words or more, over 35 percent of the words single letters."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -97,13 +90,6 @@ def flt14(spark, sf_dir):
     return fixture(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), document_kind(name).alias("kind"))
 
 
-@query("flt15_cover_check", oracle("with r as (select *, row_number() over (partition by filing order by page_no) as k from fx_pages) select filing, not bool_or(k <= 2 and contains(left(text, 4000), '@')) and bool_or(k <= 10 and contains(text, 'the')) as verified from r where k <= 10 group by 1", "fx_pages"))
-def flt15(spark, sf_dir):
-    first = fixture(spark, sf_dir, "fx_pages").withColumn("k", F.row_number().over(Window.partitionBy("filing").orderBy("page_no"))).where("k <= 10")
-    bad = F.bool_or((F.col("k") <= 2) & F.substring("text", 1, 4000).contains("@"))
-    return first.groupBy("filing").agg((~bad & F.bool_or(F.col("text").contains("the"))).alias("verified"))
-
-
 @query("flt16_sheet_periods", oracle("select o.company_id, o.raw_label, o.fy, o.fq, o.source, o.statement_type from fx_obs o semi join (select distinct company_id, fy from fx_obs where source = 'xbrl' and fq = 4) p on o.company_id = p.company_id and o.fy = p.fy", "fx_obs"))
 def flt16(spark, sf_dir):
     obs = fixture(spark, sf_dir, "fx_obs")
@@ -136,23 +122,3 @@ def flt20(spark, sf_dir):
     cells = fixture(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), "l_returnflag", "l_quantity")
     grid = cells.select("row", "col").distinct()
     return grid.join(cells.where("l_returnflag = 'A'"), ["row", "col"], "left_anti").join(cells.where("l_quantity > 25"), ["row", "col"], "left_anti")
-
-
-@query("flt21_page_share", oracle("with r as (select filing, page_no, row_number() over (partition by filing order by page_no) as k, count(*) over (partition by filing) as n from fx_pages) select filing, page_no from r where n <= 40 or k between 0.25 * n and 0.97 * n", "fx_pages"))
-def flt21(spark, sf_dir):
-    by = Window.partitionBy("filing")
-    rows = fixture(spark, sf_dir, "fx_pages").withColumns({"k": F.row_number().over(by.orderBy("page_no")), "n": F.count("*").over(by)})
-    return rows.where("n <= 40 or k between 0.25 * n and 0.97 * n").select("filing", "page_no")
-
-
-@query("flt22_relevant_pages", oracle("with r as (select *, count(*) over (partition by filing) as n from fx_pages), k as (select filing, page_no, n, row_number() over (partition by filing order by page_no) as k from r where n <= 10 or contains(text, ' the ')) select filing, page_no from k where n <= 10 or k <= 30", "fx_pages"))
-def flt22(spark, sf_dir):
-    pages = fixture(spark, sf_dir, "fx_pages").withColumn("n", F.count("*").over(Window.partitionBy("filing"))).where(F.expr("n <= 10") | F.col("text").contains(" the "))
-    return top(pages, ["filing"], [F.col("page_no")], 30).select("filing", "page_no")
-
-
-@query("flt23_prose_lines", r"with l as (select doc_id, unnest(range(0, len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)) select doc_id, cast(line_no as integer) as line_no from l where not contains(line, '|') and length(line) <= 300 and regexp_matches(line, '[0-9]') and length(regexp_extract(line, '^[^0-9]*', 0)) >= 4")
-def flt23(spark, sf_dir):
-    lines = fixture(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    good = ~F.col("line").contains("|") & (F.length("line") <= 300) & F.col("line").rlike("[0-9]") & (F.length(F.regexp_extract("line", "^[^0-9]*", 0)) >= 4)
-    return lines.where(good).select("doc_id", "line_no")

@@ -185,37 +185,6 @@ def j14(spark, sf_dir):
     return as_of(history, ["company_id", "raw_label"], "fy", "value")
 
 
-SCOPE_SQL = """with b as (select filing, min(case when contains(lower(text), ' idiot ') then page_no end) as cons, min(case when contains(text, '@') then page_no end) as std from fx_pages group by 1)
- select filing, page_no, case when cons is null and std is null then 'unknown' when cons is not null and page_no >= cons and (std is null or std < cons or page_no < std) then 'consolidated' when std is not null and page_no >= std and (cons is null or page_no < cons or cons < std) then 'standalone' else 'unknown' end as scope from fx_pages join b using (filing)"""
-
-
-@query("j15_page_scope", oracle(SCOPE_SQL, "fx_pages"))
-def j15(spark, sf_dir):
-    pages = fixture(spark, sf_dir, "fx_pages")
-    marks = pages.groupBy("filing").agg(F.min(F.when(F.lower("text").contains(" idiot "), F.col("page_no"))).alias("cons"), F.min(F.when(F.col("text").contains("@"), F.col("page_no"))).alias("std"))
-    p, c, s = F.col("page_no"), F.col("cons"), F.col("std")
-    in_c = c.isNotNull() & (p >= c) & (s.isNull() | (s < c) | (p < s))
-    in_s = s.isNotNull() & (p >= s) & (c.isNull() | (p < c) | (c < s))
-    return pages.join(marks, "filing").select("filing", "page_no", F.when(in_c, "consolidated").when(in_s, "standalone").otherwise("unknown").alias("scope"))
-
-
-@query("j16_row_section", "with s as (select l_orderkey, l_linenumber, l_partkey, case when l_linenumber in (1, 3) then l_linenumber end as start from lineitem) select l_orderkey as sheet, l_linenumber as row, l_partkey as label, case when max(start) over w = 1 then 'consolidated' when max(start) over w = 3 then 'standalone' end as section from s window w as (partition by l_orderkey order by l_linenumber range unbounded preceding)")
-def j16(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(Window.unboundedPreceding, 0)
-    start = F.last(F.when(F.col("l_linenumber").isin(1, 3), F.col("l_linenumber")), ignorenulls=True).over(w)
-    return rows.select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("row"), F.col("l_partkey").alias("label"), F.when(start == 1, "consolidated").when(start == 3, "standalone").alias("section"))
-
-
-@query("j17_nearest_column", "with c(col, x) as (values (1, 10.0), (2, 22.0), (3, 40.0)), d as (select l_orderkey, l_linenumber, l_partkey, l_quantity, col, abs(l_quantity - x) as dx from lineitem cross join c) select l_orderkey as page, l_linenumber as word, l_partkey as part, arg_min(col, dx * 10 + col) as col from d where dx <= 6 group by 1, 2, 3, l_quantity")
-def j17(spark, sf_dir):
-    centers = ((1, 10.0), (2, 22.0), (3, 40.0))
-    x = F.col("l_quantity")
-    near = F.array_min(F.array(*(F.struct(F.abs(x - c).alias("dx"), F.lit(k).alias("col")) for k, c in centers)))
-    rows = fixture(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").distinct().withColumn("near", near).where("near.dx <= 6")
-    return rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("word"), F.col("l_partkey").alias("part"), "near.col")
-
-
 @query("j18_quarter_over_year", oracle("with a as (select company_id, raw_label, fy, max(v) as most from (select company_id, raw_label, fy, statement_type, cast(sum(cast(value as decimal(18,2))) as double) / 4 as v from fx_obs where source = 'xbrl' group by 1, 2, 3, 4) group by 1, 2, 3) select o.company_id, o.raw_label, o.fy, o.fq, o.statement_type, case when abs(value) > 1.5 * most then null else value end as value from fx_obs o join a using (company_id, raw_label, fy) where source = 'xbrl'", "fx_obs"))
 def j18(spark, sf_dir):
     obs = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl'")
@@ -234,20 +203,6 @@ def j19(spark, sf_dir):
     return s.join(c, keys, "left").select(*keys, F.when(~same, F.col("value")).alias("value"))
 
 
-@query("j20_page_routes", oracle("with r as (select filing, page_no, case when regexp_matches(lower(text), '^the') then 'balance' when regexp_matches(lower(text), '^[a-f]') then 'profit' end as section, n_chars from fx_pages) select section, filing, page_no from (select *, row_number() over (partition by section, filing order by n_chars desc, page_no) as k from r where section is not null) where k <= 3", "fx_pages"))
-def j20(spark, sf_dir):
-    section = F.when(F.lower("text").rlike("^the"), "balance").when(F.lower("text").rlike("^[a-f]"), "profit")
-    routed = fixture(spark, sf_dir, "fx_pages").select("filing", "page_no", "n_chars", section.alias("section")).where("section is not null")
-    return top(routed, ["section", "filing"], [F.desc("n_chars"), F.col("page_no")], 3).select("section", "filing", "page_no")
-
-
-@query("j21_first_route", "with r(keyword, target, ord) as (values ('green', 'cash', 1), ('red', 'profit', 2), ('e', 'balance', 3)) select p_partkey as id, arg_min(target, ord) as target from part join r on contains(p_name, keyword) group by 1")
-def j21(spark, sf_dir):
-    routes = spark.createDataFrame([("green", "cash", 1), ("red", "profit", 2), ("e", "balance", 3)], "keyword string, target string, ord int")
-    met = fixture(spark, sf_dir, "part").join(F.broadcast(routes), F.expr("contains(p_name, keyword)"))
-    return met.groupBy(F.col("p_partkey").alias("id")).agg(F.min_by("target", "ord").alias("target"))
-
-
 def contained(a: DataFrame, b: DataFrame, x: str, y: str, gap: int) -> DataFrame:
     """Pairs of which one text holds the other, lengths at most gap apart. The first three characters of the inner text occur in the outer one, so both meet in an equi-join on those."""
 
@@ -288,9 +243,3 @@ def j25(spark, sf_dir):
     grid = rows.select("row", "label", F.inline(periods))
     cells = fixture(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), "l_returnflag")
     return grid.join(cells.where("l_returnflag = 'A'"), ["row", "col"], "left_anti").join(cells.where("l_returnflag = 'R'"), ["row", "col"], "left_anti").select("row", "label", "col", "period")
-
-
-@query("j26_pattern_from_chunks", r"with n as (select doc_id, regexp_extract_all(text, '\d{2,}') as nums from documents) select doc_id, nums[1] as first_number, len(nums) as numbers from n where len(nums) > 0")
-def j26(spark, sf_dir):
-    nums = F.regexp_extract_all("text", F.lit(r"\d{2,}"), F.lit(0))
-    return fixture(spark, sf_dir, "documents").select("doc_id", nums.alias("nums")).where("size(nums) > 0").select("doc_id", F.col("nums")[0].alias("first_number"), F.size("nums").cast("long").alias("numbers"))

@@ -207,15 +207,6 @@ def l2(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_pool_label").select("raw_label", lb.normal(F.col("raw_label")).alias("label"))
 
 
-@query(
-    "l4_first_pattern",
-    """select p_partkey as id, case when regexp_matches(lower(p_name), '^[a-e].*e') then 'early' when regexp_matches(lower(p_name), '[aeiou]{2}') then 'vowels' when regexp_matches(lower(p_name), 'r.*r') then 'double r' end as concept from part""",
-)
-def l4(spark, sf_dir):
-    rules = (("early", "^[a-e].*e"), ("vowels", "[aeiou]{2}"), ("double r", "r.*r"))
-    return fixture(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), lb.first_pattern(F.lower("p_name"), rules).alias("concept"))
-
-
 @query(
     "l5_field_rules",
     """with rules(section, ord, pattern, field) as (values ('STANDARD', 1, 'e.*e', 's1'), ('STANDARD', 2, 'a', 's2'), ('PROMO', 1, 'o', 'p1'), ('PROMO', 2, 'a', 'p2'), ('ECONOMY', 1, 'r', 'e1'))
@@ -298,14 +289,6 @@ def l16(spark, sf_dir):
     return starts.select("doc_id", (F.col("k") / 192).cast("int").alias("chunk"), F.array_join(F.slice("ws", F.col("k") + 1, F.lit(230)), " ").alias("text"))
 
 
-@query(
-    "l17_query_text",
-    oracle("select template_label, concat_ws(' ', lower(template_label), 'year ended march 31, 2024', 'balance sheet') as query_text from fx_template", "fx_template"),
-)
-def l17(spark, sf_dir):
-    return fixture(spark, sf_dir, "fx_template").select("template_label", F.concat_ws(" ", lb.normal(F.col("template_label")), F.lit("year ended march 31, 2024"), F.lit("balance sheet")).alias("query_text"))
-
-
 @query(
     "l18_row_text",
     "select l_orderkey as id, '| ' || string_agg(cast(l_linenumber as varchar) || ' | ' || cast(l_partkey as varchar), ' | ' order by l_linenumber, l_partkey, l_suppkey) || ' |' as row_text from lineitem group by 1",

@@ -19,30 +19,6 @@ def lines_of(pages: DataFrame, keys: list[str]) -> DataFrame:
     return pages.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-@query("w03_first_marker_page", oracle("select filing, min(case when contains(left(text, 3000), 'token') then page_no end) as first_page, min(case when contains(left(text, 3000), '@') then page_no end) as end_page from fx_pages group by 1", "fx_pages"))
-def w03(spark, sf_dir):
-    head = F.substring("text", 1, 3000)
-    return fixture(spark, sf_dir, "fx_pages").groupBy("filing").agg(*(F.min(F.when(head.contains(m), F.col("page_no"))).alias(n) for n, m in (("first_page", "token"), ("end_page", "@"))))
-
-
-LINES_SQL = "l as (select doc_id, unnest(range(0, len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents))"
-
-
-@query("w04_carried_state", f"with {LINES_SQL}, s as (select *, case when regexp_matches(line, '^[A-F]') then 'first' when regexp_matches(line, '^[S-Z]') then 'last' end as mark from l) select doc_id, cast(line_no as integer) as line_no, last_value(mark ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as state from s")
-def w04(spark, sf_dir):
-    mark = F.when(F.col("line").rlike("^[A-F]"), "first").when(F.col("line").rlike("^[S-Z]"), "last")
-    lines = lines_of(fixture(spark, sf_dir, "documents"), ["doc_id"])
-    return forward_filled(lines, ["doc_id"], "line_no", mark, "state").select("doc_id", "line_no", "state")
-
-
-@query("w05_header_fill", rf"with {LINES_SQL}, s as (select doc_id, line_no, case when len(regexp_extract_all(line, '[A-Z][a-z]+')) >= 2 then array_to_string(regexp_extract_all(line, '[A-Z][a-z]+')[1:3], ',') end as head from l) select doc_id, cast(line_no as integer) as line_no, last_value(head ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as periods from s")
-def w05(spark, sf_dir):
-    marks = F.regexp_extract_all("line", F.lit("[A-Z][a-z]+"), F.lit(0))
-    lines = lines_of(fixture(spark, sf_dir, "documents"), ["doc_id"])
-    head = F.when(F.size(marks) >= 2, F.array_join(F.slice(marks, 1, 3), ","))
-    return forward_filled(lines, ["doc_id"], "line_no", head, "periods").select("doc_id", "line_no", "periods")
-
-
 @query("w06_page_cascade", oracle("select filing, page_no, coalesce(max(contains(text, '@')::int) over (partition by filing order by page_no rows between 10 preceding and current row), 0) = 1 as kept from fx_pages", "fx_pages"))
 def w06(spark, sf_dir):
     w = Window.partitionBy("filing").orderBy("page_no").rowsBetween(-10, 0)
@@ -82,14 +58,6 @@ def w10(spark, sf_dir):
     return gap_groups(events, ["user_id"], F.struct("t", "event_id"), F.col("t"), 14400).select("user_id", "event_id", "grp")
 
 
-@query("w11_period_order", rf"with {LINES_SQL}, t as (select doc_id, line_no, unnest(range(1, len(m) + 1)) as k, unnest(m) as p from (select doc_id, line_no, regexp_extract_all(line, '[A-Z][a-z]+') as m from l where line_no < 50)), f as (select doc_id, p, min(line_no * 100000 + k) as pos from t group by 1, 2) select doc_id, string_agg(p, ',' order by pos) as periods from (select *, row_number() over (partition by doc_id order by pos) as r from f) where r <= 3 group by 1")
-def w11(spark, sf_dir):
-    lines = F.slice(F.split("text", "\n"), 1, 50)
-    marks = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit("[A-Z][a-z]+"), F.lit(0))))
-    first = F.slice(F.array_distinct(marks), 1, 3)
-    return fixture(spark, sf_dir, "documents").select("doc_id", first.alias("p")).where("size(p) > 0").select("doc_id", F.array_join("p", ",").alias("periods"))
-
-
 @query("w12_document_order", "select o_custkey as company_id, o_orderkey as doc, cast(row_number() over (partition by o_custkey order by case o_orderstatus when 'F' then 0 when 'O' then 1 else 2 end, (quarter(o_orderdate) <> 4)::int, year(o_orderdate) desc, o_orderkey) as integer) as place from orders")
 def w12(spark, sf_dir):
     kind = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
@@ -196,12 +164,6 @@ def t7(spark, sf_dir):
     return good.select(F.col("o_custkey").alias("company_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("doc"))
 
 
-@query("l19_prose_pairs", rf"with {LINES_SQL} select doc_id, cast(line_no as integer) as line_no, regexp_extract(line, '^([A-Za-z]+)', 1) as label, regexp_extract(line, '(\d+)', 1) as value from l where regexp_matches(line, '^[A-Za-z]{{4,}}.*\d') and length(line) <= 300")
-def l19(spark, sf_dir):
-    lines = lines_of(fixture(spark, sf_dir, "documents"), ["doc_id"]).where(F.col("line").rlike(r"^[A-Za-z]{4,}.*\d") & (F.length("line") <= 300))
-    return lines.select("doc_id", "line_no", F.regexp_extract("line", "^([A-Za-z]+)", 1).alias("label"), F.regexp_extract("line", r"(\d+)", 1).alias("value"))
-
-
 def fitting(rows: DataFrame, keys: list[str], order: Column, size: str, budget: int, item: str) -> DataFrame:
     """Items in order that fit the budget, passing over those that do not: a fold over the key's sorted (order, size, item) array."""
     sorted_rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(size).cast("long").alias("size"), F.col(item).alias("item")))).alias("rows"))

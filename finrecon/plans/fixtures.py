@@ -60,7 +60,16 @@ WORDING = {
               "Finance costs", "Profit before tax", "Total tax expense", "Profit for the year", "Intangible assets under development", "Other non-current assets", "Trade receivables", "Non-current borrowings",
               "For Sharp & Tannan LLP", "DIN: 00012345", "Place: Mumbai", "In terms of our report attached", "Company Secretary", "a b c d profit", "12", "Total - (A)", "otal income", "March March", "SCHEDULE",
               "a) Opening balance", "(b) Additions", "iv) Closing stock", "In favour", "the bank had", "12,000 Equity Shares of ₹ 10 each", "options were granted in the y ear", "weighted average exercise price",
-              "(ii)", "Tax effect of unusual items", "Interest expense", "Repurchase of capital stock", "Exceptional items", "Loss on sale of assets", "Inventories"),
+              "(ii)", "Tax effect of unusual items", "Interest expense", "Repurchase of capital stock", "Exceptional items", "Loss on sale of assets", "Inventories",
+              "Net cash generated from operating activities", "Net cash used in investing activities", "Cash flow from financing activities", "Cash and cash equivalents at the beginning of the year", "Closing cash balance",
+              "Net increase in cash and cash equivalents", "Income taxes paid", "Changes in working capital", "Less: Cost of goods sold", "Diluted EPS",
+              "Other expenses, which for this purpose hold the cost of power, fuel, freight and outside services"),
+    "line": ("Standalone Balance Sheet", "Particulars FY2024 FY2023", "Revenue from operations 12 #1 #2", "Non-current liabilities", "Borrowings #1 (#2)", "Provisions #1 #2", "Current assets", "Investments 4 #1 #2",
+             "Consolidated Statement of Profit and Loss", "Year ended March 31, 2022 Year ended March 31, 2021", "a) Finance costs #1 #2", "| Particulars | FY2024 | FY2023 |", "|---|---|---|", "| Trade receivables | #1 | #2 |",
+             "| Inventories | #2 | #1 |", "Balance sheet", "As at March 31, 2019", "Equity", "Reference years 2023 2024", "Growth of sales 0.12 0.45", "Statement of cash flows", "Depreciation and amortisation expense #2 #1 #1",
+             "Consolidated Balance Sheet", "31 March 2020 31 March 2020 31 March 2019", "Non-current assets", "Investments 7 #2 #1", "page 7 [SCOPE=UNKNOWN]", "Current liabilities", "Lease liabilities #1 #2", "Words without figures"),
+    "sheet": ("Annual P&L", "Annual Balance Sheet", "Cash Flow", "Operating Metrics", "Quarterly P&L", "Key ratios", "Asset quality", "Quarterly results", "Consolidated BS", "Cover"),
+    "cover": ("Annual Report 2023-24", "Intimation of the outcome of the board meeting", "Unaudited financial results", "Investor Presentation Q2 FY24", "Standalone Balance Sheet", "Transcript of the call", "Results for the quarter ended June 30", ""),
     "heading": ("Standalone Balance Sheet as at March 31, 2024", "Consolidated Statement of Profit and Loss", "Cash Flow Statement for the year", "Notes to the standalone financial statements", "Schedule 12 Deposits",
                 "Significant accounting policies", "Independent Auditor's Report", "Key performance indicators and CRAR", "Sustainability report: GHG emissions", "No. of beneficiaries reached", "Corporate Governance Report",
                 "Revenue from operations (Rs. in lakhs)", "Segment reporting (₹ in crore)", "Related party transactions in 000's", "Unaudited results for the quarter ended June 30", "Chairman's message", "Property, plant and equipment (₹ 000)",
@@ -79,7 +88,19 @@ RAW_LABEL = f"select l_orderkey as id, l_linenumber as line, l_suppkey as compan
 FILED_PAGE = f"select o_custkey as filing, o_orderkey as page_no, concat({_pick('heading', '(o_orderkey + o_custkey)')}, chr(10), 'Particulars | 2024 | 2023', chr(10), o_orderpriority, ' | ', cast(o_orderkey as varchar(20))) as text from orders"
 COMPANY = f"select s_suppkey as company_id, {_pick('company', 's_suppkey')} as name from supplier"
 
+#: Lines of filings: the lines of a page follow each other in the list, with two figures of the row put in.
+FILED_LINE = f"""select filing, page_no, line_no, replace(replace({_pick('line', '(page_no * 7 + line_no)')}, '#1', v), '#2', w) as line
+from (select cast(floor(l_orderkey / 16) as bigint) as filing, l_orderkey as page_no,
+ cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as line_no,
+ cast(cast(l_extendedprice as decimal(18,2)) as varchar(30)) as v, cast(cast(l_quantity * 1000 as decimal(18,2)) as varchar(30)) as w
+from lineitem) as numbered"""
+SHEET = f"select p_partkey as id, {_pick('sheet', 'p_partkey')} as sheet from part"
+COVER_PAGE = f"select o_custkey as filing, o_orderkey as page_no, {_pick('cover', '(o_orderkey + o_custkey)')} as text from orders"
+
 FIXTURES = {
+    "fx_filed_line": FILED_LINE,
+    "fx_sheet": SHEET,
+    "fx_cover_page": COVER_PAGE,
     "fx_raw_label": RAW_LABEL,
     "fx_filed_page": FILED_PAGE,
     "fx_company": COMPANY,

@@ -126,17 +126,6 @@ def src5(spark, sf_dir):
     return html_cells(fixture(spark, sf_dir, "pages"))
 
 
-@query("src6_markdown_tables", r"with l as (select doc_id, unnest(range(0, len(ls))) as n, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)), p as (select *, contains(line, ' | ') as pipe from l), g as (select *, n - row_number() over (partition by doc_id, pipe order by n) as island from p), t as (select doc_id, cast(dense_rank() over (partition by doc_id order by island) as integer) as tbl, cast(row_number() over (partition by doc_id, island order by n) as integer) as row, line from g where pipe) select doc_id, tbl, row, cast(unnest(range(1, len(string_split(line, ' | ')) + 1)) as integer) as col, trim(unnest(string_split(line, ' | '))) as text from t")
-def src6(spark, sf_dir):
-    lines = fixture(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    pipes = lines.where(F.col("line").contains(" | "))
-    island = F.col("n") - F.row_number().over(Window.partitionBy("doc_id").orderBy("n"))
-    marked = pipes.withColumn("island", island)
-    tables = marked.withColumns({"tbl": F.dense_rank().over(Window.partitionBy("doc_id").orderBy("island")), "row": F.row_number().over(Window.partitionBy("doc_id", "island").orderBy("n"))})
-    cells = tables.select("doc_id", "tbl", "row", F.posexplode(F.split("line", r" \| ")).alias("k", "text"))
-    return cells.select("doc_id", "tbl", "row", (F.col("k") + 1).alias("col"), F.trim("text").alias("text"))
-
-
 def grid_facts(cells: DataFrame, most_rows: int = 14, low: int = 1990, high: int = 2050) -> DataFrame:
     """Cell grid (sheet, row, col, text) to (sheet, row, label, period, value): the header is the first of the top rows with two periods, labels stand in column 1."""
     period = pr.period(F.col("text"), low, high)
@@ -240,4 +229,3 @@ def src14(spark, sf_dir):
 def src15(spark, sf_dir):
     sites = spark.createDataFrame([(15, "a.example"), (20, "b.example")], "nation int, site string")
     return fixture(spark, sf_dir, "supplier").join(F.broadcast(sites), F.col("nation") == F.col("s_nationkey"), "left").select(F.col("s_suppkey").alias("company_id"), F.coalesce("site", F.lit("unknown")).alias("site"))
-
