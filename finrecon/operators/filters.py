@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from finrecon.functions import labels as lb
-from finrecon.operators.joins import top
 from finrecon.plans.fixtures import fixture, oracle
 from finrecon.plans.registry import query
 

@@ -15,10 +15,6 @@ def forward_filled(rows: DataFrame, keys: list[str], order: str, state: Column,
     return rows.withColumn(name, F.last(state, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def lines_of(pages: DataFrame, keys: list[str]) -> DataFrame:
-    return pages.select(*keys, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
 @query("w06_page_cascade", oracle("select filing, page_no, coalesce(max(contains(text, '@')::int) over (partition by filing order by page_no rows between 10 preceding and current row), 0) = 1 as kept from fx_pages", "fx_pages"))
 def w06(spark, sf_dir):
     w = Window.partitionBy("filing").orderBy("page_no").rowsBetween(-10, 0)
