@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from finrecon.functions import numbers as nb, periods as pr
 from finrecon.plans.fixtures import fixture, oracle
@@ -40,11 +42,25 @@ def src1(spark, sf_dir):
 SPELLINGS = {"revenue": ("revenueFromOperations", "totalRevenue"), "expense": ("totalExpenses", "expenses")}
 
 
+#: Keys under which a response holds its records, and spellings of the consolidated scope.
+WRAPPERS = ("data", "results", "financialResults", "quarterlyResults")
+CONSOLIDATED = ("consolidated", "con", "c")
+
+
+def records_in(body: Column, record: str) -> Column:
+    """The records of a JSON response: a list, a list under one of the wrappers, or a single record."""
+    rows, text = f"array<struct<{record}>>", F.trim(body)
+    wrapped = F.from_json(F.when(text.startswith("{"), text), ", ".join(f"{w} {rows}" for w in WRAPPERS))
+    return F.coalesce(*(wrapped[w] for w in WRAPPERS), F.from_json(text, rows))
+
+
 def exchange_records(raw: DataFrame, body: str, keys: list[str]) -> DataFrame:
-    """JSON records to long rows: the first spelling that is there gives the field; consolidated rows only, all rows of a company that has none."""
+    """JSON responses to long rows: the first spelling that is there gives the field; consolidated rows only, all rows of a company that has none."""
     names = [n for group in SPELLINGS.values() for n in group]
-    schema = ", ".join(f"{n} string" for n in ("statement", "unit", *names))
-    rec = raw.select(*keys, F.from_json(body, schema).alias("r")).select(*keys, "r.*")
+    record = ", ".join(f"{n}: string" for n in ("statement", "unit", *names))
+    rec = raw.select(*keys, F.explode(records_in(F.col(body), record)).alias("r")).select(*keys, "r.*")
+    scope = F.lower(F.trim("statement"))
+    rec = rec.withColumn("statement", F.when(scope.isin(*CONSOLIDATED), "consolidated").otherwise(scope))
     has = F.count_if(F.col("statement") == "consolidated").over(Window.partitionBy(keys[0]))
     rec = rec.withColumn("has", has).where((F.col("statement") == "consolidated") | (F.col("has") == 0))
     fields = {f: nb.number(F.coalesce(*spelling)) for f, spelling in SPELLINGS.items()}
@@ -56,9 +72,11 @@ def exchange_records(raw: DataFrame, body: str, keys: list[str]) -> DataFrame:
 def _exchange(spark, sf_dir):
     rows = fixture(spark, sf_dir, "orders")
     key = F.when(F.col("o_orderkey") % 2 == 0, "revenueFromOperations").otherwise("totalRevenue")
-    scope = F.when((F.col("o_custkey") % 3 == 0) | (F.col("o_orderkey") % 2 == 0), "standalone").otherwise("consolidated")
+    scope = F.when((F.col("o_custkey") % 3 == 0) | (F.col("o_orderkey") % 2 == 0), "standalone").otherwise("Con")
     text = F.concat(F.lit('{"statement":"'), scope, F.lit('","unit":"Lakhs","'), key, F.lit('":"'), F.format_number(F.col("o_totalprice").cast("decimal(18,2)"), 2), F.lit('"}'))
-    return rows.select(F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("record"), text.alias("body"))
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    shape = F.when(F.col("o_orderkey") % 3 == 0, listed).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('{"data":'), listed, F.lit("}"))).otherwise(F.concat(F.lit('{"quarterlyResults":'), listed, F.lit("}")))
+    return rows.select(F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("record"), shape.alias("body"))
 
 
 @query("src2_exchange_records", "with r as (select o_custkey as company_id, o_orderkey as record, case when o_custkey % 3 = 0 or o_orderkey % 2 = 0 then 'standalone' else 'consolidated' end as statement, cast(cast(o_totalprice as decimal(18,2)) as double) as v from orders), h as (select *, count(*) filter (where statement = 'consolidated') over (partition by company_id) as n from r) select company_id, record, statement, 'revenue' as field, round(v * 0.01, 4) as value from h where statement = 'consolidated' or n = 0")
@@ -76,12 +94,25 @@ def src3(spark, sf_dir):
     return raw.select("company_id", "line", F.explode(rows).alias("r")).where("r.kind <> 'TTM'").select("company_id", "line", pr.period(F.col("r.displayPeriod"), 1990, 2050).alias("period"), F.col("r.amount").alias("value"))
 
 
-@query("src4_wide_statement", oracle("with w as (select company_id, raw_label, max(case when fy = 1995 then value end) as y1995, max(case when fy = 1996 then value end) as y1996, max(case when fy = 1997 then value end) as y1997, max(case when fy = 1998 then value end) as y1998, max(case when fy = 1999 then value end) as y1999, max(case when fy = 2000 then value end) as y2000, max(case when fy = 2001 then value end) as y2001, max(case when fy = 2002 then value end) as y2002 from fx_obs where source = 'yfinance' group by 1, 2) select company_id, raw_label, replace(period, 'y', 'F') as period, round(value / 1e7, 10) as value from (unpivot w on y1995, y1996, y1997, y1998, y1999, y2000, y2001, y2002 into name period value value) where value is not null", "fx_obs"))
+def long_statement(wide: DataFrame, ids: list[str], labels: dict[str, str] | None = None) -> DataFrame:
+    """A wide statement, one column for each year, to (ids, period, value) in crore; NaN and nulls go. labels names fields of the raw labels, others keep theirs."""
+    years = [c for c in wide.columns if c not in ids]
+    long = wide.unpivot(ids, years, "period", "value").where("value is not null and not isnan(value)")
+    if labels:
+        pairs = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+        long = long.withColumn("raw_label", F.coalesce(F.try_element_at(pairs, F.col("raw_label")), F.col("raw_label")))
+    return long.select(*ids, F.concat(F.lit("F"), F.col("period")).alias("period"), F.round(F.col("value") / 1e7, 10).alias("value"))
+
+
+#: Labels of a wide statement and their fields.
+WIDE_LABELS = {"standard": "revenue", "economy": "cost_of_revenue", "promo": "other_expenses"}
+
+
+@query("src4_wide_statement", oracle("select company_id, case raw_label when 'standard' then 'revenue' when 'economy' then 'cost_of_revenue' when 'promo' then 'other_expenses' else raw_label end as raw_label, concat('F', fy) as period, round(max(value) / 1e7, 10) as value from fx_obs where source = 'yfinance' group by company_id, fx_obs.raw_label, fy", "fx_obs"))
 def src4(spark, sf_dir):
     rows = fixture(spark, sf_dir, "fx_obs").where("source = 'yfinance'")
-    wide = rows.groupBy("company_id", "raw_label").pivot("fy", list(range(1995, 2003))).agg(F.max("value"))
-    long = wide.unpivot(["company_id", "raw_label"], [str(y) for y in range(1995, 2003)], "period", "value").where("value is not null and not isnan(value)")
-    return long.select("company_id", "raw_label", F.concat(F.lit("F"), F.col("period")).alias("period"), F.round(F.col("value") / 1e7, 10).alias("value"))
+    wide = rows.groupBy("company_id", "raw_label").pivot("fy", list(range(1980, 2036))).agg(F.max("value"))
+    return long_statement(wide, ["company_id", "raw_label"], WIDE_LABELS)
 
 
 def html_cells(pages: DataFrame) -> DataFrame:
@@ -167,13 +198,47 @@ def src8(spark, sf_dir):
     return filing_facts(contexts, facts, spark.createDataFrame([("A", "revenue"), ("R", "expense")], "tag string, field string"))
 
 
-@query("src9_nested_block", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where json_extract(props, '$.k') is not null")
+YEAR_KEY = re.compile(r"F?\d{4}|20\d{2}-\d{2}")
+
+
+def _blocks(node, depth: int = 0):
+    """Blocks {label: {year: number}} of three labels or more in nested JSON, down to depth 6 and among the first 20 items of lists; nothing is searched inside one."""
+    if depth > 6 or not isinstance(node, (dict, list)):
+        return
+    if isinstance(node, dict):
+        years = {k: {y: float(x) for y, x in v.items() if YEAR_KEY.fullmatch(y) and isinstance(x, (int, float))} for k, v in node.items() if isinstance(v, dict)}
+        found = {k: v for k, v in years.items() if v}
+        if len(found) >= 3:
+            yield found
+            return
+    for child in node.values() if isinstance(node, dict) else node[:20]:
+        yield from _blocks(child, depth + 1)
+
+
+def nested_blocks(raw: DataFrame, key: str, body: str) -> DataFrame:
+    """The block with most labels in each JSON text, the first of equals, as (key, label, period, value); texts that are no JSON give nothing."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, text in zip(batch[key], batch[body], strict=True):
+                try:
+                    best = max(_blocks(json.loads(text)), key=len, default={})
+                except (TypeError, ValueError):
+                    continue
+                rows += [(k, label, y if y.startswith("F") else f"F{y}", v) for label, cells in best.items() for y, v in cells.items()]
+            yield pd.DataFrame(rows, columns=[key, "label", "period", "value"])
+
+    return raw.select(key, body).mapInPandas(search, f"{key} long, label string, period string, value double")
+
+
+@query("src9_nested_block", "with c as (select l_orderkey, l_linenumber, max(year(l_shipdate)) as y, max(l_quantity) as q from lineitem group by 1, 2), n as (select *, count(*) over (partition by l_orderkey) as n from c) select l_orderkey as doc, concat('line ', l_linenumber) as label, concat('F', y) as period, cast(q as double) as value from n where n >= 3")
 def src9(spark, sf_dir):
-    """The number under a known key at any of three depths of nested JSON."""
-    deep = F.concat(F.lit('{"a":{"b":'), F.col("props"), F.lit("}}"))
-    body = F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(deep)
-    found = F.coalesce(*(F.get_json_object(body, path) for path in ("$.k", "$.a.k", "$.a.b.k")))
-    return fixture(spark, sf_dir, "events").select("event_id", found.try_cast("long").alias("k")).where("k is not null")
+    cells = fixture(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.year("l_shipdate")).alias("y"), F.max("l_quantity").cast("double").alias("q"))
+    entry = F.struct(F.concat(F.lit("line "), F.col("l_linenumber")), F.create_map(F.col("y").cast("string"), F.col("q")))
+    block = cells.groupBy(F.col("l_orderkey").alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("block"))
+    body = F.concat(F.lit('{"page":{"meta":[1,{"a":{"2024":1},"b":{"2024":2}}],"tables":[[],{"t":'), F.col("block"), F.lit("}]}}"))
+    return nested_blocks(block.select("doc", body.alias("body")), "doc", "body")
 
 
 @query("src10_page_links", r"""select distinct page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"', 1)) as link from pages""")
@@ -225,6 +290,19 @@ def src14(spark, sf_dir):
     return knowledge_base(part.where("p_type <> 'PROMO'").select(concept, F.col("p_name").alias("alias")), part.where("p_type in ('PROMO', 'SMALL')").select(concept, F.upper("p_name").alias("alias")))
 
 
+def alias_index(base: DataFrame) -> DataFrame:
+    """(alias, concept) from (concept, aliases): a concept's own name first, then its name in words and its aliases, all in lower case; of concepts that share one, the first by name."""
+    own = F.array(F.struct(F.lower("concept").alias("alias"), F.lit(0).alias("step")), F.struct(F.lower(F.replace("concept", F.lit("_"), F.lit(" "))).alias("alias"), F.lit(1).alias("step")))
+    more = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lower(F.trim(a)).alias("alias"), F.lit(1).alias("step")))
+    rows = base.where(~F.col("concept").startswith("_")).select("concept", F.explode(F.concat(own, more)).alias("e"))
+    return rows.groupBy("e.alias").agg(F.min_by("concept", F.struct("e.step", "concept")).alias("concept"))
+
+
+@query("src14_alias_index", "with k as (select concat('C_', p_partkey) as concept, p_name from part), e as (select concept, lower(concept) as alias, 0 as step from k union all select concept, replace(lower(concept), '_', ' '), 1 from k union all select concept, lower(trim(p_name)), 1 from k) select alias, arg_min(concept, concat(step, concept)) as concept from e group by 1")
+def src14_aliases(spark, sf_dir):
+    return alias_index(fixture(spark, sf_dir, "part").select(F.concat(F.lit("C_"), F.col("p_partkey")).alias("concept"), F.array("p_name").alias("aliases")))
+
+
 @query("src15_registers", "with r(nation, site) as (values (15, 'a.example'), (20, 'b.example')) select s_suppkey as company_id, coalesce(site, 'unknown') as site from supplier left join r on nation = s_nationkey")
 def src15(spark, sf_dir):
     sites = spark.createDataFrame([(15, "a.example"), (20, "b.example")], "nation int, site string")

@@ -46,7 +46,8 @@ def snk2(spark, sf_dir):
     return out.select("row", "col", "l_partkey", level.alias("confidence"))
 
 
-WIDE_YEARS = (2001, 2000, 1999, 1998, 1997, 1996, 1995)
+#: Years of the view, newest first; a parameter of the report, and wider than the years of the tables.
+WIDE_YEARS = tuple(range(2009, 1989, -1))
 
 
 @query("snk3_wide_view", oracle("select company_id, raw_label, case when contains(raw_label, 'promo') then '%' else 'crore' end as uom, " + ", ".join(f"max(case when fy = {y} then value end) as f{y}" for y in WIDE_YEARS) + " from fx_obs where source = 'xbrl' and statement_type = 'consolidated' and fq = 4 group by 1, 2, 3", "fx_obs"))

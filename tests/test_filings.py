@@ -57,3 +57,23 @@ def test_tables_need_a_body(spark):
     text = ["Consolidated Balance Sheet", "| a | FY24 |", "|---|---|", "| b | 1 |", "", "| lone | head |", "|---|---|", "words", "| no | rule |", "| x | y |"]
     got = [(r["tbl"], r["row"], r["col"], r["text"], r["scope"]) for r in fl.markdown_tables(lines(spark, text)).orderBy("tbl", "row", "col").collect()]
     assert got == [(1, 0, 1, "a", "consolidated"), (1, 0, 2, "FY24", "consolidated"), (1, 1, 1, "b", "consolidated"), (1, 1, 2, "1", "consolidated")]
+
+
+def test_nested_blocks(spark):
+    from finrecon.sources import readers as rd
+
+    small, large = '{"a":{"2024":1},"b":{"F2023":2},"c":{"2023-24":3}}', '{"a":{"2024":1},"b":{"2024":2},"c":{"2024":3},"d":{"2024":4,"x":5}}'
+    deep = small
+    for _ in range(7):
+        deep = f'{{"k":{deep}}}'
+    bodies = [f"[{small},{large}]", "[" + "0," * 20 + f"{large}]", deep, '{"a":{"2024":1},"b":{"2024":2}}', "no json", None]
+    got = rd.nested_blocks(spark.createDataFrame(list(enumerate(bodies)), "doc long, body string"), "doc", "body").collect()
+    assert sorted((r["doc"], r["label"], r["period"], r["value"]) for r in got) == [(0, k, "F2024", v) for k, v in zip("abcd", (1.0, 2.0, 3.0, 4.0), strict=True)]
+
+
+def test_records_in(spark):
+    from finrecon.sources import readers as rd
+
+    one = '{"a":"1"}'
+    rows = spark.createDataFrame([(f"[{one},{one}]",), (f'{{"results":[{one}]}}',), (one,), ("[]",), ("x",), (None,)], "b string")
+    assert [r["n"] for r in rows.select(F.size(F.filter(rd.records_in(F.col("b"), "a: string"), lambda r: r["a"] == "1")).alias("n")).collect()][:4] == [2, 1, 1, 0]
