@@ -272,7 +272,7 @@ def sheet_section(sheet: Column, needs=pt.SHEET_NEEDS) -> Column:
 def j20(spark, sf_dir):
     """The first three pages for each sheet, scope and filing: the title fits the sheet, the scope is the wanted one or unknown."""
     pages = page_scopes(fixture(spark, sf_dir, "fx_filed_page"))
-    titled = pages.withColumn("section", first_of(F.lower(page_title(F.col("text"))), pt.TITLE_NEEDS)).where("section is not null").drop("text")
+    titled = pages.withColumn("title", F.lower(page_title(F.col("text")))).withColumn("section", first_of(F.col("title"), pt.TITLE_NEEDS)).drop("text", "title")
     sheets = fixture(spark, sf_dir, "fx_sheet").select("sheet").distinct().select("sheet", F.explode(F.array(F.lit("consolidated"), F.lit("standalone"))).alias("wanted"), sheet_section(F.col("sheet")).alias("section"))
     met = titled.join(sheets, "section").where("scope in (wanted, 'unknown')")
     return top(met, ["sheet", "wanted", "filing"], [F.col("page_no")], 3).select("sheet", "wanted", "filing", "page_no")
