@@ -4,7 +4,7 @@ A suffix is the words from one place of a piece on, at most ``words`` of them. A
 
 1. Prefixes of one word are counted. A prefix of more than the budget of occurrences is extended by a word, and its extensions are counted, until all fit or are whole suffixes.
 2. Prefixes are dealt into groups of about the budget: by cells of their hash, cell after cell until a group is full.
-3. Each group's subtree is built on its own. A map task sends a group one block for each batch, a subtree of the batch's suffixes in which equal suffixes are one leaf with a count; the
+3. Each group's subtree is built on its own. A map task sends a group one block for every few texts, a subtree of their suffixes in which equal suffixes are one leaf with a count; the
    group's task merges its blocks into one sorted run of leaves. A node's count is the total of its leaves.
 
 A suffix ends before a word that occurs fewer than ``least`` times, since no counted phrase holds it. Such words are told by a bit filter of at most 2^``FILTER_BITS`` bits: a rare word that it
@@ -30,7 +30,9 @@ from finrecon.llm import textarrays as ta
 from finrecon.llm.frames import Scratch, in_arrow, own
 from finrecon.llm.tokens import first_of, gathered
 
-BUDGET, MOST_GROUPS, FILTER_BITS = 2_000_000, 1_000_000, 26
+BUDGET, MOST_GROUPS, FILTER_BITS = 500_000, 1_000_000, 26
+#: Bytes of text whose suffixes are one block for each group.
+AT_ONCE = 2 * ta.PIECE_BYTES
 NO_LANG = "und"
 #: Ranked rows of a language are sought in so many shares first, as a language may hold most phrases.
 SHARES = 64
@@ -67,12 +69,12 @@ def _lang_numbers(column: pa.Array, key: int) -> np.ndarray:
 
 
 def _word_counts(key: int) -> Callable:
-    """(h, lang, word, n) of the distinct words of each piece of a batch."""
+    """(h, lang, word, n) of the distinct words of a few texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = _lang_numbers(batch.column(0), key)
-            for first, texts in ta.pieces(batch.column(1), 4 * ta.PIECE_BYTES):
+            for first, texts in ta.pieces(batch.column(1), AT_ONCE):
                 s = suffixes(texts, numbers[first : first + len(texts)], key)
                 which, distinct = pd.factorize(s.hashes)
                 if not len(distinct):
@@ -129,24 +131,19 @@ def _among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-def _columns(batch: pa.RecordBatch, plan: Plan) -> list[np.ndarray]:
-    """The words of all suffixes of a batch (0 after the end): hash columns, one for each depth."""
-    numbers, h, begins = _lang_numbers(batch.column(0), plan.key), [], []
-    for first, texts in ta.pieces(batch.column(1)):
+def _columns(batch: pa.RecordBatch, plan: Plan) -> Iterator[list[np.ndarray]]:
+    """The words of all suffixes of a few texts at a time (0 after the end): hash columns, one for each depth."""
+    numbers = _lang_numbers(batch.column(0), plan.key)
+    for first, texts in ta.pieces(batch.column(1), AT_ONCE):
         s = suffixes(texts, numbers[first : first + len(texts)], plan.key)
-        h.append(s.hashes)
-        begins.append(s.begins)
-    if not h:
-        return [np.zeros(0, np.uint64)] * plan.words
-    h, begins = np.concatenate(h), np.concatenate(begins)
-    good = plan.frequent(h)
-    start = np.flatnonzero(good)
-    out, live = [h[start]], np.ones(len(start), bool)
-    for k in range(1, plan.words):
-        at = np.minimum(start + k, len(h) - 1)
-        live = live & (start + k < len(h)) & ~begins[at] & good[at]
-        out.append(np.where(live, h[at], np.uint64(0)))
-    return out
+        h, good = s.hashes, plan.frequent(s.hashes)
+        start = np.flatnonzero(good)
+        out, live = [h[start]], np.ones(len(start), bool)
+        for k in range(1, plan.words):
+            at = np.minimum(start + k, len(h) - 1)
+            live = live & (start + k < len(h)) & ~s.begins[at] & good[at]
+            out.append(np.where(live, h[at], np.uint64(0)))
+        yield out
 
 
 def leaves(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -227,11 +224,10 @@ def unpacked(block: bytes) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _blocks(plan: Plan) -> Callable:
-    """(group, block): a batch's suffixes as one subtree for each group."""
+    """(group, block): the suffixes of a few texts as one subtree for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns, counts = leaves(_columns(batch, plan))
+        for columns, counts in (leaves(c) for batch in batches for c in _columns(batch, plan)):
             if not len(counts):
                 continue
             group = plan.group_of[plan.cells(plan.prefixes(columns)[0])]
@@ -281,8 +277,7 @@ def _prefix_counts(plan: Plan) -> Callable:
     depth = len(plan.heavy) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = _columns(batch, plan)
+        for columns in (c for batch in batches for c in _columns(batch, plan)):
             p, n = plan.prefixes(columns)
             at = np.flatnonzero(n == depth)
             if len(at):
@@ -342,13 +337,12 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, words: int = 3, least: int
     texts = own(docs, lang_col, text_col).toDF("lang", "text").withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)))
     key = 0
     while True:
-        found = in_arrow(texts, _word_counts(key), "h long, lang string, word string, n long").groupBy("h")
-        known = scratch.kept(found.agg(*(f(c).alias(f"{a}_{c}") for c in ("lang", "word") for f, a in ((F.min, "min"), (F.max, "max"))), F.sum("n").alias("n")))
-        if known.where("min_lang <> max_lang or min_word <> max_word").isEmpty():
+        found = in_arrow(texts, _word_counts(key), "h long, lang string, word string, n long")
+        known = scratch.kept(found.groupBy("h", "lang", "word").agg(F.sum("n").alias("n")))
+        if known.groupBy("h").count().where("count > 1").isEmpty():
             break
         scratch.done(known)
         key += 1
-    known = known.select("h", F.col("min_lang").alias("lang"), F.col("min_word").alias("word"), "n")
     plan, upper = planned(texts, known, scratch, key, words, least, budget)
     # The write that feeds the groups is a shuffle by group; blocks of a group arrive in order of group, so a task holds one group.
     dealt = in_arrow(texts, _blocks(plan), "group int, block binary").repartition("group").sortWithinPartitions("group")
