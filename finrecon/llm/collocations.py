@@ -2,13 +2,14 @@
 
 A suffix is the words from one place of a piece on, at most ``words`` of them. As in vertical partitioning of suffix trees that do not fit into memory:
 
-1. Prefixes of one word are counted. A prefix of more than the budget of occurrences is extended by a word, and its extensions are counted, until all fit or are whole suffixes.
-2. Prefixes are dealt into groups of about the budget: by cells of their hash, cell after cell until a group is full.
+1. Prefixes of one word are counted. A prefix of more than the budget of occurrences is extended by a word, and its extensions are counted, until all fit or are whole suffixes: first by cells of their hash, then
+   one by one in the cells that exceed the budget.
+2. Prefixes are dealt into groups of about the budget, cell after cell until a group is full.
 3. Each group's subtree is built on its own. A map task sends a group one block for every few texts, a subtree of their suffixes in which equal suffixes are one leaf with a count; the
    group's task merges its blocks into one sorted run of leaves. A node's count is the total of its leaves.
 
 A suffix ends before a word that occurs fewer than ``least`` times, since no counted phrase holds it. Such words are told by a bit filter of at most 2^``FILTER_BITS`` bits: a rare word that it
-lets through costs a leaf and changes no count. The budget is ``BUDGET`` occurrences and grows with the corpus once that would need more than ``MOST_GROUPS`` groups, so the prefixes above the budget and the cells, which the driver sees, are
+lets through costs a leaf and changes no count. The budget is ``BUDGET`` occurrences, less for a corpus that would give fewer than ``LEAST_GROUPS`` groups, and grows with the corpus once that would need more than ``MOST_GROUPS``, so the prefixes above the budget and the cells, which the driver sees, are
 bounded by it. Words go by 64-bit hashes of language and word; all distinct words are compared in the first step, and should two share a hash, mining starts anew with another key, so counts are exact.
 
 Defined cases: a null or empty text has no words; a null language is ``und``, as one named so; repeated rows count each; other columns are not read; an empty table or a language without
@@ -30,7 +31,7 @@ from finrecon.llm import textarrays as ta
 from finrecon.llm.frames import Scratch, in_arrow, own
 from finrecon.llm.tokens import first_of, gathered
 
-BUDGET, MOST_GROUPS, FILTER_BITS = 500_000, 1_000_000, 26
+BUDGET, LEAST_GROUPS, MOST_GROUPS, FILTER_BITS = 500_000, 256, 1_000_000, 26
 #: Bytes of text whose suffixes are one block for each group.
 AT_ONCE = 2 * ta.PIECE_BYTES
 NO_LANG = "und"
@@ -272,17 +273,38 @@ def _trees(plan: Plan, least: int) -> Callable:
     return run
 
 
-def _prefix_counts(plan: Plan) -> Callable:
-    """(p, n, words...) of the extensions of the longest prefixes above the budget."""
+def _extensions(plan: Plan, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, hash, cell) of the extensions, by one word, of the longest prefixes above the budget."""
+    p, n = plan.prefixes(columns)
+    at = np.flatnonzero(n == len(plan.heavy) + 1)
+    return at, p[at], plan.cells(p[at])
+
+
+def _cell_loads(plan: Plan) -> Callable:
+    """(cell, n): occurrences of extensions by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            load = np.zeros(len(plan.group_of), np.int64)
+            for columns in _columns(batch, plan):
+                load += np.bincount(_extensions(plan, columns)[2], minlength=len(load))
+            at = np.flatnonzero(load)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(load[at])], ["cell", "n"])
+
+    return run
+
+
+def _prefix_counts(plan: Plan, open_: np.ndarray) -> Callable:
+    """(p, words, n) of the extensions that lie in the open cells."""
     depth = len(plan.heavy) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in (c for batch in batches for c in _columns(batch, plan)):
-            p, n = plan.prefixes(columns)
-            at = np.flatnonzero(n == depth)
-            if len(at):
-                which, distinct = pd.factorize(p[at])
-                first = at[first_of(which, len(distinct))]
+            at, p, cell = _extensions(plan, columns)
+            within = _among(cell, open_)
+            if within.any():
+                which, distinct = pd.factorize(p[within])
+                first = at[within][first_of(which, len(distinct))]
                 words = pa.FixedSizeListArray.from_arrays(pa.array(np.stack([c[first] for c in columns[:depth]], axis=1).reshape(-1).view(np.int64)), depth).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), words, pa.array(np.bincount(which))], ["p", "words", "n"])
 
@@ -308,30 +330,43 @@ def _frequent_filter(words: DataFrame, least: int) -> np.ndarray:
 def planned(texts: DataFrame, words: DataFrame, scratch: Scratch, key: int, depth: int, least: int, budget: int) -> tuple[Plan, list[DataFrame]]:
     """The groups of prefixes, and for each length the table (words, n) of the prefixes above the budget."""
     plan = Plan(depth, key, _frequent_filter(words, least))
-    total = words.where(F.col("n") >= least).agg(F.sum("n")).first()[0] or 0
-    budget = max(budget, -(-total // MOST_GROUPS))
+    frequent = words.where(F.col("n") >= least)
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    budget = max(min(budget, -(-total // LEAST_GROUPS)), -(-total // MOST_GROUPS), 1)
     cells = min(1 << max(4 * -(-total // budget) - 1, 255).bit_length(), 1 << 20)
-    counted, load, upper = words.where(F.col("n") >= least).select(F.col("h").alias("p"), F.array("h").alias("words"), "n"), np.zeros(cells, np.int64), []
-    while True:
-        whole = len(plan.heavy) == depth - 1
-        light = counted if whole else counted.where(F.col("n") <= budget)
-        cell = F.shiftrightunsigned("p", 64 - cells.bit_length() + 1).alias("cell")
-        # At most as many rows as cells.
-        for r in light.groupBy(cell).agg(F.sum("n").alias("n")).toArrow().to_pylist():
-            load[r["cell"]] += r["n"]
-        heavy = [] if whole else counted.where(F.col("n") > budget)
-        # Their occurrences are at most all, so they are at most MOST_GROUPS.
-        found = [] if whole else [r["p"] for r in heavy.select("p").collect()]
+    plan.group_of = np.zeros(cells, np.int32)
+    # Prefixes above the budget are at most total / budget, so at most MOST_GROUPS; loads have a row for each cell.
+    counted, upper = frequent.select(F.col("h").alias("p"), F.array("h").alias("words"), "n"), []
+    heavy = counted.where(F.col("n") > budget)
+    cell = F.shiftrightunsigned("p", 64 - cells.bit_length() + 1).alias("cell")
+    load = _loads(counted.where(F.col("n") <= budget).groupBy(cell).agg(F.sum("n").alias("n")), cells)
+    while len(plan.heavy) < depth - 1:
+        found = heavy.select("p", "n").collect()
         if not found:
             break
         upper.append(heavy.select("words", "n"))
-        plan.heavy.append(np.sort(np.array(found, np.int64).view(np.uint64)))
-        counted = scratch.kept(in_arrow(texts, _prefix_counts(plan), "p long, words array<long>, n long").groupBy("p").agg(F.first("words").alias("words"), F.sum("n").alias("n")))
+        plan.heavy.append(np.sort(np.array([r["p"] for r in found], np.int64).view(np.uint64)))
+        own_load = _loads(in_arrow(texts, _cell_loads(plan), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), cells)
+        load += own_load
+        # A prefix above the budget can only lie in a cell above it.
+        open_ = np.flatnonzero(own_load > budget)
+        if len(plan.heavy) == depth - 1 or not len(open_):
+            break
+        counted = in_arrow(texts, _prefix_counts(plan, open_), "p long, words array<long>, n long").groupBy("p").agg(F.first("words").alias("words"), F.sum("n").alias("n"))
+        heavy = scratch.kept(counted.where(F.col("n") > budget))
+        for r in heavy.select("p", "n").collect():
+            load[cell_of(np.array([r["p"]], np.int64).view(np.uint64), cells)] -= r["n"]
     before = np.cumsum(load) - load
     plan.group_of = (before // budget).astype(np.int32)
     return plan, upper
 
 
+def _loads(counts: DataFrame, cells: int) -> np.ndarray:
+    out, table = np.zeros(cells, np.int64), counts.toArrow()
+    out[table.column("cell").to_numpy()] = table.column("n").to_numpy()
+    return out
+
+
 def phrase_counts(docs: DataFrame, scratch: Scratch, words: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text", budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(all words: h, lang, word, n; phrases of one to words words with a count of at least least: words as hashes, n)."""
     texts = own(docs, lang_col, text_col).toDF("lang", "text").withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)))
