@@ -77,13 +77,9 @@ def in_process(_):
     """mapInArrow over all rows in the driver, so that a patched hash is the one that is used."""
 
     def run(df, function, schema):
-        table = df.toArrow()
-        batches = [b for t in [function(iter(table.to_batches()))] for b in t]
-        import pyarrow as pa
-
-        if not batches:
-            return df.sparkSession.createDataFrame([], schema)
-        return df.sparkSession.createDataFrame(pa.Table.from_batches(batches)).selectExpr("*")
+        batches = [b for b in function(iter(df.toArrow().to_batches()))]
+        names = [c.split()[0] for c in schema.split(", ")]
+        return df.sparkSession.createDataFrame([tuple(r[n] for n in names) for b in batches for r in b.to_pylist()], schema)
 
     return run
 
