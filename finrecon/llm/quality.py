@@ -1,8 +1,9 @@
 """Quality rules: fixed limits on words and repetition, and robust outliers of transformed statistics.
 
-For each (language, source) a minimum-covariance-determinant estimate of the statistic vectors is sought as by the fast algorithm: from ``STARTS`` starts, one from
-all documents and the others from small subsets drawn by a hash, take ``FIRST_STEPS`` concentration steps (keep the share ``KEPT`` of documents with the least distance, estimate mean and
-covariance from those); go on from the start with the least determinant until the determinant no longer falls. The covariance is scaled for consistency at the normal distribution. Every step is two
+For each (language, source) a minimum-covariance-determinant estimate of the statistic vectors is sought as by the fast algorithm. A concentration step keeps the share ``KEPT`` of documents with the least distance
+and estimates mean and covariance from those. ``DRAWS`` subsets of one vector more than there are statistics are drawn from a sample of each group and take ``FIRST_STEPS`` steps within the sample. The ``GO_ON`` of
+least determinant and a start from medians and quartiles take as many steps over all documents; the one of least determinant goes on until the determinant no longer falls. With a quarter of outliers, a draw has none with
+probability 0.13, so all draws have some with probability 0.0002. The covariance is scaled for consistency at the normal distribution. Every step is two
 grouped aggregates over narrow rows; a group of any size is pre-aggregated, and the order statistics come from a histogram of
 the logarithm of the distance, so no group meets in one task. All of it is DataFrame expressions.
 
@@ -29,7 +30,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 KEPT, LEAST = 0.75, 60
-STARTS, FIRST_STEPS, MOST_STEPS, START_ROWS = 4, 2, 10, 40
+#: Draws of DRAWN vectors from a sample of about SAMPLE; GO_ON of them go on from all rows.
+DRAWS, DRAWN, SAMPLE, GO_ON = 60, 7, 300, 3
+FIRST_STEPS, MOST_STEPS = 2, 10
 #: A determinant has converged when its logarithm falls by less than FALL.
 TAIL, FALL = 1e-4, 1e-3
 FEATURES = ("f_length", "f_symbols", "f_repeat", "f_lines", "f_upper", "f_distinct")
@@ -185,11 +188,28 @@ def _step(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
 def robust_estimates(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
     """g, mean and factor for each group of rows (g, features), and its cut on the squared distance."""
     p = range(len(FEATURES))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    # Start 0 takes all rows of a group, each other one about START_ROWS of them, half of a smaller group, drawn by a hash of their statistics.
-    drawn = rows.join(sent(sizes, few), "g").withColumn("start", F.explode(F.array(*(F.lit(s) for s in range(STARTS)))))
-    chance = F.pmod(F.xxhash64("start", *FEATURES), F.lit(1 << 20)) / float(1 << 20)
-    now = scratch.kept(_factored(_moments(drawn.where((F.col("start") == 0) | (chance < F.least(F.lit(START_ROWS), F.col("n") / 2) / F.col("n"))).select("g", "start", *FEATURES))))
+    robust = rows.groupBy("g").agg(
+        F.approx_count_distinct(F.xxhash64(*FEATURES)).alias("n"), *(F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, f in enumerate(FEATURES))
+    )
+    robust = scratch.kept(robust)
+    centre = robust.select(
+        "g", F.lit(0).alias("start"),
+        *(F.col(f"q{i}")[1].alias(f"m{i}") for i in p),
+        *((F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + RIDGE[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in p for j in p if j <= i),
+    )
+    # The sample: about SAMPLE different vectors of each group, by their hash.
+    chance = F.pmod(F.xxhash64(*FEATURES), F.lit(1 << 20)) / float(1 << 20)
+    sample = scratch.kept(rows.join(sent(robust.select("g", "n"), few), "g").where(chance < SAMPLE / F.col("n")).select("g", *FEATURES).distinct())
+    # Each draw is the vectors of the sample with the least hashes under its own number.
+    together = sample.groupBy("g").agg(F.collect_list(F.struct(*FEATURES)).alias("vs")).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
+    least = F.slice(F.array_sort(F.transform("vs", lambda v: F.struct(F.xxhash64(v, F.col("start")).alias("h"), v.alias("v")))), 1, DRAWN)
+    drawn = together.select("g", "start", F.explode(least).alias("x")).select("g", "start", "x.v.*")
+    now = scratch.kept(_factored(centre.unionByName(_moments(drawn))))
+    for _ in range(FIRST_STEPS):
+        now = scratch.kept(_step(sample, now, few).drop("was"))
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("det", "start"))
+    # The start from medians goes on from all rows, with the best of the draws.
+    now = scratch.kept(_factored(centre).unionByName(now.where("start > 0").withColumn("k", rank).where(F.col("k") <= GO_ON).drop("k")))
     for _ in range(FIRST_STEPS):
         now = scratch.kept(_step(rows, now, few).drop("was"))
     best = [c for c in now.columns if c != "g"]

@@ -621,10 +621,7 @@ def brute_mcd(x, kept):
     return min(np.linalg.det(np.cov(x[list(c)].T, bias=True) + np.diag(np.array(quality.RIDGE) ** 2)) for c in combinations(range(len(x)), kept))
 
 
-@pytest.mark.parametrize(
-    ("inliers", "subset"),
-    [(17, 15), pytest.param(9, 9, marks=pytest.mark.xfail(reason="a known limit: with exactly a quarter of outliers in 12 rows all starts end in a local minimum", strict=False))],
-)
+@pytest.mark.parametrize(("inliers", "subset"), [(17, 15), (9, 9)])
 def test_estimates_reach_the_least_determinant(spark, inliers, subset):
     """A small group with three outliers: the concentration steps end at the subset of least determinant among all."""
     rng = np.random.default_rng(3)
@@ -636,17 +633,95 @@ def test_estimates_reach_the_least_determinant(spark, inliers, subset):
     assert det <= brute_mcd(x, subset) * 1.5 and all(abs(est[f"m{i}"]) < 2 for i in range(6))
 
 
+@pytest.mark.parametrize(("rows", "share", "distance"), [(100, 0.20, 6), (100, 0.24, 9), (400, 0.20, 6), (400, 0.22, 4)])
+def test_a_cluster_of_outliers_is_rejected(spark, rows, share, distance):
+    """All of a cluster of outliers, up to the share that is trimmed; few of the clean rows go with it."""
+    rng = np.random.default_rng(rows + distance)
+    bad = int(rows * share)
+    x = np.concatenate([rng.normal(size=(rows - bad, 6)), distance + rng.normal(size=(bad, 6)) * 0.5])
+    docs = spark.createDataFrame([("0/a", *map(float, v)) for v in x], "g string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    est = quality.robust_estimates(docs, True, frames.Scratch(spark, "t")).first()
+    lower = np.array([[est[f"l{i}{j}"] if j <= i else 0.0 for j in range(6)] for i in range(6)])
+    z = np.linalg.solve(lower, (x - [est[f"m{i}"] for i in range(6)]).T)
+    out = (z**2).sum(axis=0) > est["cut"]
+    assert out[rows - bad :].all() and out[: rows - bad].mean() <= 0.03 and all(abs(est[f"m{i}"]) < 0.5 for i in range(6))
+
+
 def test_chi_squared():
     assert abs(quality.chi2_share(12.592, 6) - 0.95) < 1e-4 and abs(quality.chi2_quantile(0.5, 2) - 2 * math.log(2)) < 1e-9
 
 
-def test_op10_verdicts_against_a_second_form(spark, small):
-    """Distances and verdicts from the stored statistics by numpy, with the estimates of the operator's groups."""
-    rows = {r["doc_id"]: r for r in op10.op10_quality_rules(spark, small).collect()}
-    bad = {r[0] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 0").select("doc_id").collect()}
-    good = {r[0] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 1").select("doc_id").collect()}
-    assert all(r["d2"] is None for r in rows.values() if r["base_failed"])
-    assert sum(not rows[i]["kept"] for i in bad) >= 0.8 * len(bad) and sum(rows[i]["kept"] or rows[i]["base_failed"] for i in good) >= 0.98 * len(good)
+def plain_features(text):
+    n, chars, symbols, lines, repeat = brute_statistics(text)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+    def share(count, of, least):
+        return math.log((count + least * (of + 20)) / ((1 + least) * (of + 20)))
+
+    upper = len(re.findall("[A-Z]", text or ""))
+    return [math.log((chars + 20) / (n + 4)), share(symbols, chars, 0.01), share(repeat, n, 0.05), math.log1p(lines / 2), share(upper, chars, 0.03), math.log(len(set(words)) + 1)]
+
+
+def plain_estimate(x, starts=200, seed=0):
+    """Mean, covariance and cut of the least determinant over many random starts, each concentrated until it no longer falls."""
+    rng, ridge, p = np.random.default_rng(seed), np.diag(np.array(quality.RIDGE) ** 2), x.shape[1]
+
+    def distances(m, c):
+        return np.einsum("ij,ij->i", x - m, np.linalg.solve(c, (x - m).T).T)
+
+    def moments(rows):
+        return rows.mean(axis=0), np.cov(rows.T, bias=True) + ridge
+
+    best = None
+    for _ in range(starts):
+        m, c = moments(x[rng.choice(len(x), p + 1, replace=False)])
+        for _ in range(30):
+            bins = np.floor(np.log(distances(m, c) + 1e-6) * quality.BINS_PER_E)
+            was = np.linalg.slogdet(c)[1]
+            m_, c_ = moments(x[bins <= np.sort(bins)[math.ceil(quality.KEPT * len(x)) - 1]])
+            if np.linalg.slogdet(c_)[1] >= was:
+                break
+            m, c = m_, c_
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    _, m, c = best
+    factor = quality.chi2_share(quality.chi2_quantile(quality.KEPT, p), p + 2) / quality.KEPT
+    d2 = distances(m, c) * factor
+    cut = quality.chi2_quantile(1 - quality.TAIL, p) * max(1.0, np.median(d2) / quality.chi2_quantile(0.5, p))
+    return d2, cut
+
+
+def test_op10_verdicts_against_a_second_form(spark):
+    """Distances and verdicts of all documents from statistics, groups and estimates in plain Python and numpy."""
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in op10.op10_quality_rules(spark, sf).collect()}
+    docs = [d for d in spark.read.parquet(f"{sf}/documents.parquet").collect() if not rows[d["doc_id"]]["base_failed"]]
+    by_source, by_lang = Counter((d["lang"], d["source"]) for d in docs), Counter(d["lang"] for d in docs)
+    raw = {d["doc_id"]: plain_features(d["text"]) for d in docs}
+    size = {d["doc_id"]: math.log(len(re.findall(r"[^\x20\x09-\x0D]+", d["text"]))) for d in docs}
+
+    def group(d):
+        return ("own", d["lang"], d["source"]) if by_source[d["lang"], d["source"]] >= quality.LEAST else ("lang", d["lang"]) if by_lang[d["lang"]] >= quality.LEAST else ("all",)
+
+    agree, near = [], []
+    for g in {group(d) for d in docs}:
+        members = [d["doc_id"] for d in docs if g[0] == "all" or (d["lang"] == g[1] and (g[0] == "lang" or d["source"] == g[2]))]
+        x, n = np.array([raw[i] for i in members]), np.array([size[i] for i in members])
+        slope, start = np.polyfit(n, x[:, 5], 1)
+        x[:, 5] -= start + slope * n
+        d2, cut = plain_estimate(x)
+        judged = {d["doc_id"] for d in docs if group(d) == g}
+        for i, distance in zip(members, d2.tolist(), strict=True):
+            if i in judged:
+                agree.append(rows[i]["kept"] == (distance <= cut))
+                near.append(abs(math.log(rows[i]["d2"] / distance)))
+    # Starts differ, so small groups may end at other subsets of near least determinant.
+    assert len(agree) == len(docs) and sum(agree) >= 0.995 * len(agree) and np.median(near) < 0.2 and np.quantile(near, 0.95) < 0.8
+    assert all(r["d2"] is None and not r["kept"] for r in rows.values() if r["base_failed"])
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    passed = [r for r in labels if not rows[r["doc_id"]]["base_failed"]]
+    assert sum(not rows[r["doc_id"]]["kept"] for r in passed if r["quality"] == 0) >= 0.9 * sum(r["quality"] == 0 for r in passed)
+    assert sum(rows[r["doc_id"]]["kept"] for r in passed if r["quality"] == 1) >= 0.99 * sum(r["quality"] == 1 for r in passed)
 
 
 def test_op5_against_a_second_form(spark):
