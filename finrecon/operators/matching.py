@@ -1,7 +1,6 @@
 """Matching of labels: cascade (J3), one-to-one assignment (J8), cluster similarity (L9, J9), pool lookup (J10).
 
-Labels are matched as a vocabulary, once for each distinct one. Pairs meet on a shared word or a shared cluster; words that most labels have are left out of the meeting of long vocabularies by
-``most``, the number of labels a word may have, since a pair that reaches a threshold also shares a rarer word or is found by its cluster."""
+Labels are matched as a vocabulary, once for each distinct one. Each measure finds its pairs by ``setjoins`` or by a shared cluster, so results are those of comparing all pairs."""
 
 from __future__ import annotations
 
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from finrecon.operators.joins import top
+from finrecon.operators.setjoins import Overlap, edits_within, grams, meeting
 from finrecon.operators.statements import LABELS
 from finrecon.operators.texts import quoted
 from finrecon.plans.fixtures import fixture, oracle
@@ -71,27 +71,29 @@ def ratio(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
-def meeting(left: DataFrame, right: DataFrame, most: int = 10_000) -> DataFrame:
-    """Pairs (a, b) of labels of the two vocabularies that share a word of at most most labels on the right, or a cluster."""
-    def keys(v: DataFrame) -> DataFrame:
-        own = F.transform(words(F.col("label")), lambda w: F.concat(F.lit("w:"), w))
-        of = F.transform(F.array_compact(F.concat(F.array("exact"), F.col("partial"))), lambda c: F.concat(F.lit("c:"), c.cast("string")))
-        return v.select("label", F.explode(F.array_distinct(F.concat(own, of))).alias("key"))
+def of_one_cluster(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b, score) of clustered labels: 0.95 for terms of one cluster, 0.88 for labels that stand in part for a common one."""
+    same = x.select(F.col("label").alias("a"), "exact").join(y.select(F.col("label").alias("b"), "exact"), "exact").select("a", "b", F.lit(0.95).alias("score"))
+    part = lambda v, c: v.select(F.col("label").alias(c), F.explode("partial").alias("cluster"))
+    near = part(x, "a").join(part(y, "b"), "cluster").select("a", "b", F.lit(0.88).alias("score"))
+    return same.union(near).groupBy("a", "b").agg(F.max("score").alias("score"))
 
-    r = keys(right)
-    common = r.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
-    return keys(left).select(F.col("label").alias("a"), "key").join(r.join(common, "key", "left_anti").select(F.col("label").alias("b"), "key"), "key").select("a", "b").distinct()
 
-
-def similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, score) of labels that meet: 1 equal, 0.95 one cluster, 0.88 one cluster in part, else the best of word overlap, character ratio and trigram cosine."""
-    x, y = clustered(left), clustered(right)
-    pairs = meeting(x, y).join(x.toDF("a", "exact_a", "partial_a"), "a").join(y.toDF("b", "exact_b", "partial_b"), "b")
+def similarity(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of all labels with a score of at least least: 1 equal, 0.95 one cluster, 0.88 one cluster in part, else the best of word overlap, character ratio and trigram cosine."""
+    share = lambda by: lambda ts, label: F.size(ts) * by
+    measures = (Overlap(words, share(least), share(least)), Overlap(trigrams, share(least**2), share(least**2)), edits_within(least - 1e-6))
+    met = meeting(left, right, measures)
     u, v, g, h = words(F.col("a")), words(F.col("b")), trigrams(F.col("a")), trigrams(F.col("b"))
     jaccard = F.size(F.array_intersect(u, v)) / F.greatest(F.size(F.array_union(u, v)), F.lit(1))
     cosine = F.size(F.array_intersect(g, h)) / F.sqrt(F.size(g) * F.size(h))
-    score = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("exact_a") == F.col("exact_b"), 0.95).when(F.arrays_overlap("partial_a", "partial_b"), 0.88).otherwise(F.greatest(jaccard, ratio(F.col("a"), F.col("b")), cosine))
-    return pairs.select("a", "b", F.round(score, 6).alias("score"))
+    plain = met.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round(F.greatest(jaccard, ratio(F.col("a"), F.col("b")), cosine), 6)).alias("score"))
+    clusters = of_one_cluster(clustered(left), clustered(right)).withColumn("clustered", F.lit(True))
+    both = plain.withColumn("clustered", F.lit(False)).unionByName(clusters).where(F.col("score") >= least)
+    # Equal labels come first, then a cluster decides.
+    best = F.max_by("score", F.struct(F.col("a") == F.col("b"), "clustered", "score"))
+    scored = both.groupBy("a", "b").agg(best.alias("score"))
+    return scored.withColumn("score", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.col("score")))
 
 
 def plain_key(label: Column) -> Column:
@@ -109,8 +111,7 @@ def _grams_sql(c: str) -> str:
 SIM_SQL = f"""{TERMS_SQL}, {TEMPLATE_SQL}, {POOL_SQL}, both_ as (select label from template union select label from pool),
  ex as (select label, min(cluster) as exact from both_ join terms on label = term group by 1), pa as (select label, list(distinct cluster) as part from both_ join terms on {PARTIAL.format(starts="starts_with", g=", 'g'")} group by 1),
  c as (select label, exact, coalesce(part, []) as part, {_list_sql("label")} as ws, {_grams_sql("label")} as gs from both_ left join ex using (label) left join pa using (label)),
- met as (select p.label as a, t.label as b, p.exact as ea, t.exact as eb, p.part as pa, t.part as pb, p.ws as u, t.ws as v, p.gs as g, t.gs as h from c p join pool using (label) cross join (select c.* from c join template using (label)) t
-   where len(list_intersect(p.ws, t.ws)) > 0 or len(list_intersect(p.part, t.part)) > 0 or p.exact = t.exact or list_contains(p.part, t.exact) or list_contains(t.part, p.exact)),
+ met as (select p.label as a, t.label as b, p.exact as ea, t.exact as eb, p.part as pa, t.part as pb, p.ws as u, t.ws as v, p.gs as g, t.gs as h from c p join pool using (label) cross join (select c.* from c join template using (label)) t),
  sim as (select a, b, u, v, round(case when a = b then 1.0::double when ea = eb then 0.95 when len(list_intersect(pa, pb)) > 0 then 0.88
    else greatest(len(list_intersect(u, v)) / greatest(len(list_distinct(list_concat(u, v))), 1), 1 - levenshtein(a, b) / greatest(length(a), length(b), 1), len(list_intersect(g, h)) / sqrt(len(g) * len(h))) end, 6) as score, ea, eb from met)"""
 
@@ -120,14 +121,14 @@ def _vocabularies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return pool, spark.createDataFrame([(x,) for _, x in LABELS], "label string")
 
 
-@query("l9_cluster_similarity", oracle(f"with {SIM_SQL} select a, b, score from sim", "fx_raw_label"))
-def l9(spark, sf_dir):
-    return similarity(*_vocabularies(spark, sf_dir))
+@query("l9_cluster_similarity", oracle(f"with {SIM_SQL} select a, b, score from sim where score >= 0.5", "fx_raw_label"))
+def l9(spark, sf_dir, least: float = 0.5):
+    return similarity(*_vocabularies(spark, sf_dir), least)
 
 
 @query("j09_similarity_join", oracle(f"with {SIM_SQL} select a as pool_label, b as template_label, score from (select *, row_number() over (partition by a order by score desc, b) as k from sim where score >= 0.72) where k = 1", "fx_raw_label"))
 def j09(spark, sf_dir, least: float = 0.72):
-    best = top(similarity(*_vocabularies(spark, sf_dir)).where(F.col("score") >= least), ["a"], [F.desc("score"), F.col("b")])
+    best = top(similarity(*_vocabularies(spark, sf_dir), least), ["a"], [F.desc("score"), F.col("b")])
     return best.select(F.col("a").alias("pool_label"), F.col("b").alias("template_label"), "score")
 
 
@@ -142,14 +143,21 @@ def token_set(a: Column, b: Column) -> Column:
 
 
 def cascade(pool: DataFrame, template: DataFrame, least: float = 0.75) -> DataFrame:
-    """(pool_label, template_label, tier, score): exact, then synonym, then token set at least least with lengths within a factor of four (any length for a label without such a candidate)."""
+    """(pool_label, template_label, tier, score): exact, then synonym, then token set at least least with lengths within a factor of four (any length for a label whose length is near that of none)."""
     x, y = clustered(pool), clustered(template)
     exact = x.join(y.select("label"), "label").select(F.col("label").alias("a"), F.col("label").alias("b"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     left = x.join(exact.select(F.col("a").alias("label")), "label", "left_anti")
     same = left.select(F.col("label").alias("a"), "exact").join(y.select(F.col("label").alias("b"), "exact"), "exact").select("a", "b", F.lit(2).alias("tier"), F.lit(0.95).alias("score"))
     rest = left.join(same.select(F.col("a").alias("label")).distinct(), "label", "left_anti")
-    met = meeting(rest, y).withColumn("near", F.length("a").between(0.25 * F.length("b"), 4.0 * F.length("b")))
-    met = met.withColumn("any_near", F.bool_or("near").over(Window.partitionBy("a"))).where("near or not any_near")
+    # Lengths are few, so their table is.
+    lengths = y.select(F.length("label").alias("n")).distinct()
+    near_any = rest.join(F.broadcast(lengths), F.length("label").between(0.25 * F.col("n"), 4.0 * F.col("n")), "left_semi").select(F.col("label").alias("a"), F.lit(True).alias("any_near"))
+    weight = lambda w: F.length(w) + 1.0
+    total = lambda ts, label: (F.aggregate(ts, F.lit(0.0), lambda s, t: s + weight(t)) - 1) * (least - 1e-6) + 1
+    chars = lambda label: grams(F.array_join(words(label), " "), 1)
+    most = lambda ts, label: F.size(ts) * (least - 1e-6)
+    met = meeting(rest, y, [Overlap(words, total, None, weight), Overlap(words, None, total, weight), Overlap(chars, most, most)])
+    met = met.join(near_any, "a", "left").where(F.length("a").between(0.25 * F.length("b"), 4.0 * F.length("b")) | F.col("any_near").isNull())
     fuzzy = met.withColumn("score", F.round(token_set(F.col("a"), F.col("b")), 6)).where(F.col("score") >= least).select("a", "b", F.lit(3).alias("tier"), "score")
     best = top(exact.union(same).union(fuzzy), ["a"], [F.col("tier"), F.desc("score"), F.col("b")])
     return best.toDF("pool_label", "template_label", "tier", "score")
@@ -173,15 +181,35 @@ def j03(spark, sf_dir):
 
 
 STOP = ("the", "of", "and", "to")
+#: Length of the character runs by which one label is found inside another.
+INSIDE = 3
+
+
+def grams_inside(label: Column) -> Column:
+    """Runs of INSIDE characters without marks at the ends, so those of an inner text are among those of the outer one."""
+    return F.when(F.length(label) >= INSIDE, F.transform(F.sequence(F.lit(1), F.length(label) - INSIDE + 1), lambda i: F.substring(label, i, F.lit(INSIDE)))).otherwise(F.array().cast("array<string>"))
+
+
+def short_inside(inner: DataFrame, outer: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y): labels of fewer than INSIDE characters inside others, met on all runs of that length."""
+    one = inner.where(F.length("label").between(1, INSIDE - 1)).select(F.col("label").alias(x), F.col("label").alias("t"))
+    runs = F.array_distinct(F.concat(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length("label") - n + 1, F.lit(1))), lambda i, n=n: F.substring("label", i, F.lit(n))) for n in range(1, INSIDE))))
+    return one.join(outer.select(F.col("label").alias(y), F.explode(runs).alias("t")), "t").select(x, y).distinct()
 
 
 def lookup(asked: DataFrame, pool: DataFrame) -> DataFrame:
     """(label, fy, matched, score, status) for asked (label, fy) in a pool of (label, fy) rows: equal 1, one inside the other 0.85, character ratio from 0.70, else a label of the year with half of the words."""
     wanted, held = asked.select("label").distinct(), pool.select("label").distinct()
     a, b = F.col("a"), F.col("b")
-    pairs = meeting(clustered(wanted), clustered(held))
-    score = F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.85).otherwise(ratio(a, b))
     content = lambda c: F.array_except(F.filter(F.split(c, "[^a-z]+"), lambda w: w != ""), F.array(*map(F.lit, STOP)))
+    half = Overlap(lambda c: F.array_distinct(content(c)), lambda ts, label: F.size(ts) * 0.5, None)
+    all_of = lambda ts, label: F.size(ts)
+    runs = lambda c: F.array_distinct(grams_inside(c))
+    inside = [Overlap(runs, all_of, None), Overlap(runs, None, all_of)]
+    pairs = meeting(wanted, held, [half, *inside, edits_within(0.7 - 1e-6)])
+    # Labels too short for a run are a bounded vocabulary of their own; they meet by their characters.
+    pairs = pairs.union(short_inside(wanted, held, "a", "b")).union(short_inside(held, wanted, "b", "a").select("a", "b")).distinct()
+    score = F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.85).otherwise(ratio(a, b))
     share = F.size(F.array_intersect(content(a), content(b))) / F.greatest(F.size(F.array_distinct(content(a))), F.lit(1))
     scored = pairs.select("a", "b", F.round(score, 6).alias("score"), F.round(share, 6).alias("share"))
     best = top(scored.where("score >= 0.7"), ["a"], [F.desc("score"), F.col("b")]).select(F.col("a").alias("label"), F.col("b").alias("best"), "score")
@@ -200,8 +228,8 @@ def _content_sql(c: str) -> str:
     return f"list_distinct(list_filter(string_split_regex({c}, '[^a-z]+'), lambda w: w <> '' and w not in {STOP}))"
 
 
-YEARED_SQL = f"held as (select distinct {KEY_SQL} as label, cast(1992 + id % 7 as integer) as fy from fx_raw_label where line < 4 and id % 3 = 0)"
-J10_SQL = f"""with {SIM_SQL}, {YEARED_SQL}, asked as (select label, fy from template cross join (values (1993), (1996)) y(fy)),
+YEARED_SQL = f"held as (select distinct {KEY_SQL} as label, cast(1992 + id % 7 as integer) as fy from fx_raw_label)"
+J10_SQL = f"""with {SIM_SQL}, {YEARED_SQL}, asked as (select label, fy from template cross join (values (1993), (2005)) y(fy)),
  k as (select b as a, a as b, round(case when a = b then 1.0::double when contains(a, b) or contains(b, a) then 0.85 else 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) end, 6) as score,
    round(len(list_intersect({_content_sql("b")}, {_content_sql("a")})) / greatest(len({_content_sql("b")}), 1), 6) as share from sim where a in (select label from held)),
  best as (select * from (select *, row_number() over (partition by a order by score desc, b) as n from k where score >= 0.7) where n = 1),
@@ -213,8 +241,8 @@ J10_SQL = f"""with {SIM_SQL}, {YEARED_SQL}, asked as (select label, fy from temp
 
 @query("j10_pool_lookup", oracle(J10_SQL, "fx_raw_label"))
 def j10(spark, sf_dir):
-    held = fixture(spark, sf_dir, "fx_raw_label").where("line < 4 and id % 3 = 0").select(plain_key(F.col("label")).alias("label"), (F.lit(1992) + F.col("id") % 7).cast("int").alias("fy")).distinct()
-    asked = _vocabularies(spark, sf_dir)[1].withColumn("fy", F.explode(F.array(F.lit(1993), F.lit(1996))))
+    held = fixture(spark, sf_dir, "fx_raw_label").select(plain_key(F.col("label")).alias("label"), (F.lit(1992) + F.col("id") % 7).cast("int").alias("fy")).distinct()
+    asked = _vocabularies(spark, sf_dir)[1].withColumn("fy", F.explode(F.array(F.lit(1993), F.lit(2005))))
     return lookup(asked, held)
 
 
@@ -247,7 +275,7 @@ def assigned(candidates: DataFrame, totals: float = 1.05) -> DataFrame:
 def candidate_rows(spark, sf_dir) -> DataFrame:
     """Candidates of each company: labels of its pool and template labels of similarity 0.55 or more; labels with a concept and totals come first."""
     known = {x for c, x in LABELS[:62]}
-    scored = similarity(*_vocabularies(spark, sf_dir)).where("score >= 0.55")
+    scored = similarity(*_vocabularies(spark, sf_dir), 0.55)
     values = fixture(spark, sf_dir, "fx_raw_label").groupBy("company_id", plain_key(F.col("label")).alias("a")).agg(F.max(F.abs("value")).alias("value"))
     concept, total = F.col("b").isin(*known), F.col("b").contains("total")
     tier = F.when(concept & total, 0).when(concept, 1).when(total, 2).otherwise(3)
