@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from finrecon.functions import labels as lb
 from finrecon.operators.joins import top
+from finrecon.operators.nearest import dense_top, sparse_top
 from finrecon.plans.fixtures import fixture, oracle
 from finrecon.plans.registry import query
 
@@ -105,78 +106,16 @@ def t2(spark, sf_dir):
     return top(shared, ["template_label"], [F.desc("shared"), F.col("raw_label")], 5)
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query by cosine. The query set is stated and meets all rows in blocks; only scores are shuffled."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    met = vectors.select("vec_id", F.col("embedding").alias("v")).join(q, F.col("vec_id") != F.col("query_id"))
-    scored = met.select("query_id", "vec_id", (dot / (norm(F.col("q")) * norm(F.col("v")))).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col("vec_id")], k)
-
-
-@query("t3_dense_top_k", "with s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) select query_id, vec_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as k from s) where k <= 5")
+@query("t3_dense_top_k", "with s as (select q.vec_id as query_id, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0) select query_id, vec_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, vec_id) as k from s) where k <= 5")
 def t3_dense(spark, sf_dir):
-    vectors = fixture(spark, sf_dir, "embeddings")
-    return dense_top(vectors, vectors.where("vec_id % 100 = 0"), 5).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    vectors = fixture(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return dense_top(vectors, vectors.where("id % 100 = 0"), 5).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query("t3_sparse_top_k", r"with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as term from documents), c as (select doc_id, term, count(*) as n from w group by 1, 2), l as (select doc_id, sqrt(sum(n * n)) as len from c group by 1), q as (select * from c where doc_id % 100 = 0), s as (select q.doc_id as query_id, c.doc_id, sum(q.n * c.n) as dot from q join c using (term) where q.doc_id <> c.doc_id group by 1, 2), f as (select query_id, s.doc_id, dot / (a.len * b.len) as score from s join l a on a.doc_id = query_id join l b on b.doc_id = s.doc_id) select query_id, doc_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as k from f) where k <= 5")
 def t3_sparse(spark, sf_dir):
-    terms = fixture(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
-    counts = terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    length = counts.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("len"))
-    asked = counts.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("n").alias("m"))
-    dot = asked.join(counts, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    scored = dot.join(length, "doc_id").join(length.select(F.col("doc_id").alias("query_id"), F.col("len").alias("qlen")), "query_id")
-    scored = scored.withColumn("score", F.col("dot") / (F.col("qlen") * F.col("len")))
-    return top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 5).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-
-
-@query("t4_pattern_pages", oracle("with s as (select filing, page_no, n_chars, len(regexp_extract_all(left(text, 3000), '[0-9]+')) as score from fx_pages), b as (select *, sum(n_chars) over (partition by filing order by score desc, page_no rows unbounded preceding) as total from s where score > 0) select filing, page_no, score from b where total <= 20000", "fx_pages"))
-def t4(spark, sf_dir):
-    scored = fixture(spark, sf_dir, "fx_pages").select("filing", "page_no", "n_chars", F.regexp_count(F.substring("text", 1, 3000), F.lit("[0-9]+")).cast("long").alias("score")).where("score > 0")
-    w = Window.partitionBy("filing").orderBy(F.desc("score"), "page_no").rowsBetween(Window.unboundedPreceding, 0)
-    return scored.withColumn("total", F.sum("n_chars").over(w)).where("total <= 20000").select("filing", "page_no", "score")
-
-
-@query("t5_newest_first", "select o_custkey as company_id, o_orderkey as report, cast(row_number() over (partition by o_custkey order by year(o_orderdate) desc, quarter(o_orderdate) desc, o_orderkey) as integer) as place from orders")
-def t5(spark, sf_dir):
-    w = Window.partitionBy("o_custkey").orderBy(F.desc(F.year("o_orderdate")), F.desc(F.quarter("o_orderdate")), "o_orderkey")
-    return fixture(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company_id"), F.col("o_orderkey").alias("report"), F.row_number().over(w).alias("place"))
-
-
-@query("t6_best_page", r"with s as (select regexp_extract(url, '^https?://([^/?#]+)', 1) as host, page_id, contains(html, '<article>')::int + contains(html, '<nav>')::int + len(regexp_extract_all(html, '<p>')) as score from pages) select host, arg_max(page_id, score * 1000000 - page_id) as page_id, max(score) as score from s group by 1")
-def t6(spark, sf_dir):
-    score = F.col("html").contains("<article>").cast("long") + F.col("html").contains("<nav>").cast("long") + F.regexp_count("html", F.lit("<p>"))
-    scored = fixture(spark, sf_dir, "pages").select(F.parse_url("url", F.lit("HOST")).alias("host"), "page_id", score.cast("long").alias("score"))
-    return scored.groupBy("host").agg(F.max_by("page_id", F.struct("score", -F.col("page_id"))).alias("page_id"), F.max("score").alias("score"))
-
-
-@query("t7_first_verified", "with r as (select *, row_number() over (partition by o_custkey, o_orderstatus order by o_orderdate desc, o_orderkey) as k from orders), v as (select *, row_number() over (partition by o_custkey, o_orderstatus order by k) as n from r where k <= 12 and o_totalprice > 100000) select o_custkey as company_id, o_orderstatus as kind, o_orderkey as doc from v where n <= 3")
-def t7(spark, sf_dir):
-    tried = top(fixture(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), F.col("o_orderkey")], 12)
-    good = top(tried.where("o_totalprice > 100000"), ["o_custkey", "o_orderstatus"], [F.desc("o_orderdate"), F.col("o_orderkey")], 3)
-    return good.select(F.col("o_custkey").alias("company_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("doc"))
-
-
-def fitting(rows: DataFrame, keys: list[str], order: Column, size: str, budget: int, item: str) -> DataFrame:
-    """Items in order that fit the budget, passing over those that do not: a fold over the key's sorted (order, size, item) array."""
-    sorted_rows = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(size).cast("long").alias("size"), F.col(item).alias("item")))).alias("rows"))
-    kind = dict(rows.dtypes)[item]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("items"))
-
-    def add(s: Column, r: Column) -> Column:
-        fits = s["used"] + r["size"] <= budget
-        return F.struct((s["used"] + F.when(fits, r["size"]).otherwise(0)).alias("used"), F.when(fits, F.concat(s["items"], F.array(r["item"]))).otherwise(s["items"]).alias("items"))
-
-    return sorted_rows.select(*keys, F.explode(F.aggregate("rows", start, add)["items"]).alias(item))
-
-
-@query("w07_budget_skip")
-def w07_skip(spark, sf_dir):
-    pages = fixture(spark, sf_dir, "fx_pages")
-    return fitting(pages, ["filing"], F.struct(-F.col("n_chars"), F.col("page_no")), "n_chars", 20000, "page_no")
+    texts = fixture(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("terms"))
+    return sparse_top(texts, texts.where("id % 100 = 0"), 5).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 TFIDF_SQL = r"""with w as (select doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') as ws from documents), g as (select doc_id, unnest(ws) as term from w union all select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from w),
@@ -196,11 +135,8 @@ def t3_tfidf(spark, sf_dir):
     total = docs.agg(F.count("*").alias("total"))
     common = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).where("df <= 0.95 * total")
     weighted = counts.join(common, "term").select("doc_id", "term", (F.col("n") * (F.log((1 + F.col("total")) / (1.0 + F.col("df"))) + 1)).alias("x"))
-    length = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("len"))
-    asked = weighted.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term", F.col("x").alias("y"))
-    dot = asked.join(weighted, "term").where("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dot.join(length, "doc_id").join(length.select(F.col("doc_id").alias("query_id"), F.col("len").alias("qlen")), "query_id").withColumn("score", F.col("dot") / (F.col("qlen") * F.col("len")))
-    return top(scored, ["query_id"], [F.desc(F.round("score", 9)), F.col("doc_id")], 5).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    vectors = weighted.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("term").alias("terms"), F.collect_list("x").alias("weights"))
+    return sparse_top(vectors, vectors.where("id % 100 = 0"), 5).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def word_rows(words: DataFrame, keys: list[str], most: float = 5.0) -> DataFrame:
