@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -157,29 +155,6 @@ def src5(spark, sf_dir):
     return html_cells(fixture(spark, sf_dir, "pages"))
 
 
-def grid_facts(cells: DataFrame, most_rows: int = 14, low: int = 1990, high: int = 2050) -> DataFrame:
-    """Cell grid (sheet, row, col, text) to (sheet, row, label, period, value): the header is the first of the top rows with two periods, labels stand in column 1."""
-    period = pr.period(F.col("text"), low, high)
-    heads = cells.where(F.col("row") <= most_rows).withColumn("period", period).where("period is not null")
-    header = heads.groupBy("sheet", "row").agg(F.count("*").alias("n")).where("n >= 2").groupBy("sheet").agg(F.min("row").alias("head"))
-    columns = heads.join(header, "sheet").where("row = head").select("sheet", "col", "period", "head")
-    labels = cells.where("col = 1").select("sheet", "row", F.col("text").alias("label"))
-    body = cells.join(columns, ["sheet", "col"]).where("row > head").join(labels, ["sheet", "row"])
-    return body.select("sheet", "row", "label", "period", nb.number(F.col("text")).alias("value")).where("value is not null")
-
-
-@query("src7_grid_facts", oracle("with g as (select company_id as sheet, raw_label, fy, max(value) as value from fx_obs where source = 'xbrl' group by 1, 2, 3), r as (select sheet, raw_label, dense_rank() over (partition by sheet order by raw_label) + 2 as row, fy, value from g) select sheet, cast(row as integer) as row, raw_label as label, concat('F', fy::varchar) as period, value from r", "fx_obs"))
-def src7(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl'").groupBy(F.col("company_id").alias("sheet"), "raw_label", "fy").agg(F.max("value").alias("value"))
-    placed = rows.withColumn("row", F.dense_rank().over(Window.partitionBy("sheet").orderBy("raw_label")) + 2)
-    body = placed.select("sheet", "row", (F.col("fy") - 1990).alias("col"), F.col("value").cast("decimal(20,2)").cast("string").alias("text"))
-    label = placed.select("sheet", "row", F.lit(1).alias("col"), F.col("raw_label").alias("text")).distinct()
-    head = placed.select("sheet", F.lit(2).alias("row"), (F.col("fy") - 1990).alias("col"), F.concat(F.lit("FY"), F.col("fy")).alias("text")).distinct()
-    # A sheet with one period has no header by the rule; give every sheet a second one.
-    more = placed.select("sheet", F.lit(2).alias("row"), F.lit(20).alias("col"), F.lit("FY1990").alias("text")).distinct()
-    return grid_facts(body.union(label).union(head).union(more))
-
-
 def filing_facts(contexts: DataFrame, facts: DataFrame, tags: DataFrame) -> DataFrame:
     """Facts of structured filings: contexts give the period, the tag table the field; the longest duration wins for each company, field and year."""
     span = F.datediff("end_date", "start_date")
@@ -198,49 +173,6 @@ def src8(spark, sf_dir):
     return filing_facts(contexts, facts, spark.createDataFrame([("A", "revenue"), ("R", "expense")], "tag string, field string"))
 
 
-YEAR_KEY = re.compile(r"F?\d{4}|20\d{2}-\d{2}")
-
-
-def _blocks(node, depth: int = 0):
-    """Blocks {label: {year: number}} of three labels or more in nested JSON, down to depth 6 and among the first 20 items of lists; nothing is searched inside one."""
-    if depth > 6 or not isinstance(node, (dict, list)):
-        return
-    if isinstance(node, dict):
-        years = {k: {y: float(x) for y, x in v.items() if YEAR_KEY.fullmatch(y) and isinstance(x, (int, float))} for k, v in node.items() if isinstance(v, dict)}
-        found = {k: v for k, v in years.items() if v}
-        if len(found) >= 3:
-            yield found
-            return
-    for child in node.values() if isinstance(node, dict) else node[:20]:
-        yield from _blocks(child, depth + 1)
-
-
-def nested_blocks(raw: DataFrame, key: str, body: str) -> DataFrame:
-    """The block with most labels in each JSON text, the first of equals, as (key, label, period, value); texts that are no JSON give nothing."""
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, text in zip(batch[key], batch[body], strict=True):
-                try:
-                    best = max(_blocks(json.loads(text)), key=len, default={})
-                except (TypeError, ValueError):
-                    continue
-                rows += [(k, label, y if y.startswith("F") else f"F{y}", v) for label, cells in best.items() for y, v in cells.items()]
-            yield pd.DataFrame(rows, columns=[key, "label", "period", "value"])
-
-    return raw.select(key, body).mapInPandas(search, f"{key} long, label string, period string, value double")
-
-
-@query("src9_nested_block", "with c as (select l_orderkey, l_linenumber, max(year(l_shipdate)) as y, max(l_quantity) as q from lineitem group by 1, 2), n as (select *, count(*) over (partition by l_orderkey) as n from c) select l_orderkey as doc, concat('line ', l_linenumber) as label, concat('F', y) as period, cast(q as double) as value from n where n >= 3")
-def src9(spark, sf_dir):
-    cells = fixture(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.year("l_shipdate")).alias("y"), F.max("l_quantity").cast("double").alias("q"))
-    entry = F.struct(F.concat(F.lit("line "), F.col("l_linenumber")), F.create_map(F.col("y").cast("string"), F.col("q")))
-    block = cells.groupBy(F.col("l_orderkey").alias("doc")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("block"))
-    body = F.concat(F.lit('{"page":{"meta":[1,{"a":{"2024":1},"b":{"2024":2}}],"tables":[[],{"t":'), F.col("block"), F.lit("}]}}"))
-    return nested_blocks(block.select("doc", body.alias("body")), "doc", "body")
-
-
 @query("src10_page_links", r"""select distinct page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]+)"', 1)) as link from pages""")
 def src10(spark, sf_dir):
     links = F.array_union(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]+)"'), F.lit(1)), F.regexp_extract_all("html", F.lit(r'data-href="([^"]+)"'), F.lit(1)))

@@ -60,7 +60,7 @@ def test_tables_need_a_body(spark):
 
 
 def test_nested_blocks(spark):
-    from finrecon.sources import readers as rd
+    from finrecon.sources import grids as rd
 
     small, large = '{"a":{"2024":1},"b":{"F2023":2},"c":{"2023-24":3}}', '{"a":{"2024":1},"b":{"2024":2},"c":{"2024":3},"d":{"2024":4,"x":5}}'
     deep = small
