@@ -15,7 +15,7 @@ from finrecon.functions import periods as pr
 from finrecon.operators.filters import added_facts, batch_facts, reason_of
 from finrecon.operators.pools import rank_of
 from finrecon.plans.registry import query
-from finrecon.sources.sinks import history_additions
+from finrecon.streaming.history import first_values, high_ones, keyed_state
 
 TTL = "7 days"
 #: Files of a micro-batch.
@@ -84,20 +84,14 @@ def s1(spark, sf_dir):
 
 @query("s2_history_upsert", "select user_id as company_id, event_type as concept, cast(year(ts) as integer) as fy, arg_min(value, event_id) as value from events where value > 50 group by 1, 2, 3")
 def s2(spark, sf_dir):
-    """Insert-only history: a key that is there is never replaced. Each batch has its own folder, so a repeated batch writes the same again."""
+    """Insert-only history in keyed state; each batch writes its new keys into its own folder, so a repeated batch writes the same again."""
 
     def each(out: str):
-        def put(df: DataFrame, batch: int) -> None:
-            keys = ["company_id", "concept", "fy"]
-            high = df.where("value > 50").groupBy("company_id", F.col("raw_label").alias("concept"), F.year("observed_at").alias("fy")).agg(F.min_by("value", "seq").alias("value"))
-            high = high.withColumn("tier", F.lit("HIGH"))
-            earlier = [f"{out}/batch={k}" for k in range(batch)]
-            held = df.sparkSession.read.parquet(*earlier) if earlier else high.limit(0)
-            history_additions(high, held, keys).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-
-        return put
+        return lambda df, batch: df.drop("seq").write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    return spark.read.parquet(drained(events_stream(spark, sf_dir), "append", each, "history")).select("company_id", "concept", "fy", "value")
+    with keyed_state(spark):
+        out = drained(first_values(high_ones(events_stream(spark, sf_dir))), "append", each, "history")
+    return spark.read.parquet(out).select("company_id", "concept", "fy", "value")
 
 
 S3_SQL = "with e as (select event_id as seq, user_id as company_id, event_type as raw_label, value, case event_id % 3 when 0 then 100 when 1 then 60 else 40 end as r from events) select company_id, raw_label, arg_max(value, r::bigint * 1000000000 - seq) as value, count(*) as n from e group by 1, 2"
