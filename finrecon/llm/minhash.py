@@ -201,7 +201,7 @@ def _unresolved(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     core = rows.join(shared, "shingle").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("core"))
     core = core.join(held.select("doc", "n"), "doc").withColumn("least", F.ceil(F.col("n") * percent / 100)).where("size(core) >= least")
-    core = core.withColumn("print", F.xxhash64("core")).join(docs, "doc")
+    core = core.withColumn("print", F.sha2(F.to_json("core"), 256)).join(docs, "doc")
     core = scratch.kept(core.select("doc", "n", "print", F.size("core").alias("size"), "component", F.slice("core", F.lit(1), (F.size("core") - F.col("least") + 1).cast("int")).alias("prefix")))
     scratch.done(rows)
     classes = core.groupBy("n", "print", "size").agg(F.min_by(F.struct("doc", "component", "prefix"), "doc").alias("c"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -222,11 +222,13 @@ def _unresolved(star: DataFrame, labels: DataFrame, sets: DataFrame, percent: in
     )
     pairs = x.join(y, ["token", "own", "met"]).where(close).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct()
     found = scratch.kept(overlaps(pairs, sets, percent).where("linked").select("a", "b"))
-    # Members of a class are linked with each other if their common core suffices, or are all linked with the same other class.
-    met = found.select(F.col("a").alias("doc")).union(found.select("b")).distinct().withColumn("met", F.lit(True))
-    classed = classes.select("n", "print", "size", F.col("doc").alias("a")).join(met.withColumnRenamed("doc", "a"), "a", "left")
-    whole = classed.where(f"met or 100 * size >= {percent} * (2 * n - size)")
-    inside = core.select("n", "print", "size", F.col("doc").alias("b")).join(whole, ["n", "print", "size"]).where("a <> b").select("a", "b")
+    # Members of a class are linked with each other if their common core suffices, or are all linked with the same other class. Each is held against the class's first member or one of that other class, on full sets.
+    ends = found.select(F.col("a").alias("doc"), F.col("b").alias("other")).union(found.select("b", "a")).groupBy("doc").agg(F.min("other").alias("other"))
+    classed = classes.select("n", "print", "size", "doc").join(ends, "doc", "left")
+    hub = F.when(F.col("size") * 100 >= (2 * F.col("n") - F.col("size")) * percent, F.col("doc")).otherwise(F.col("other"))
+    whole = classed.select("n", "print", "size", hub.alias("a"), F.col("doc").alias("first")).where("a is not null")
+    inside = core.select("n", "print", "size", F.col("doc").alias("b")).join(whole, ["n", "print", "size"]).where("b <> first").select("a", "b")
+    inside = overlaps(inside, sets, percent).where("linked").select("a", "b")
     more = scratch.kept(found.union(inside))
     scratch.done(docs, core, classes, found)
     return more

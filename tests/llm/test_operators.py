@@ -34,7 +34,6 @@ def untidy(spark, many=30):
     texts += [text_of(i) for i in range(many)]
     rows = [(None if i == 4 else i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 2}", None, *["clash"] * 21) for i, t in enumerate(texts)]
     rows += [rows[8], rows[8], rows[0]]
-    assert len(rows[0]) == len(SCHEMA.split(", ")) - 0 or True
     width = len(SCHEMA.split(", "))
     return spark.createDataFrame([(*r[:5], *["clash"] * (width - 5)) for r in rows], SCHEMA)
 
@@ -762,6 +761,79 @@ def test_op7_against_a_second_form(spark, small):
         assert r["feature"].split(";")[1] == "mean=" + ",".join(f"{v:.3f}" for v in mel.mean(axis=0)) and r["feature"].startswith(f"frames={len(level)};")
 
 
+def test_op7_features_by_definition(spark, small):
+    """Resampling as a direct sum over the filter, bands as sums over triangles of a direct Fourier sum, and segments by a state machine."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) between 1 and 500").select("doc_id", "text")
+    rows = media.media_columns(docs).limit(3).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    up, down, frame, hop, bands = media.UP, media.DOWN, media.FRAME, media.HOP, media.BANDS
+    h = media._FILTER
+    top = 2595 * math.log10(1 + media.RATE * up / down / 2 / 700)
+    hz = [700 * (10 ** (top * k / (bands + 1) / 2595) - 1) for k in range(bands + 2)]
+    for r in rows:
+        data = texts[r["doc_id"]].encode()
+        x = [(b - 128) / 128 for b in data + bytes(-len(data) % 64)]
+        y = []
+        for n in range(-(-len(x) * up // down)):
+            taps = [(m, n * down - m * up + len(h) // 2) for m in range(len(x))]
+            y.append(sum(x[m] * h[t] for m, t in taps if 0 <= t < len(h)))
+        frames = max(1, -(-(len(y) - frame) // hop) + 1)
+        y += [0.0] * max(0, (frames - 1) * hop + frame - len(y))
+        fourier = np.exp(-2j * math.pi * np.outer(np.arange(frame // 2 + 1), np.arange(frame)) / frame)
+        level = []
+        mel = media.bands_of(r["log_mel"])
+        assert len(mel) == frames
+        for k in range(frames):
+            cut = np.array([y[k * hop + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / (frame - 1))) for i in range(frame)])
+            power = np.abs(fourier @ cut) ** 2
+            for b in range(bands):
+                total = 0.0
+                for j, p in enumerate(power):
+                    f = j * media.RATE * up / down / frame
+                    total += p * max(0.0, min((f - hz[b]) / (hz[b + 1] - hz[b]), (hz[b + 2] - f) / (hz[b + 2] - hz[b + 1])))
+                assert abs(mel[k, b] - math.log(total + media.FLOOR)) < 1e-3
+            level.append(10 * math.log10(sum(power) / len(power) + media.FLOOR))
+        middle, on, runs = float(np.median(level)), False, []
+        for k, v in enumerate(level):
+            now = True if v >= middle + media.HIGH_DB else False if v < middle + media.LOW_DB else on
+            if now and not on:
+                runs.append([k, k + 1])
+            elif now:
+                runs[-1][1] = k + 1
+            on = now
+        assert [(s["start_s"], s["end_s"]) for s in r["segments"]] == [(media.seconds(a), media.seconds(b)) for a, b in runs]
+
+
+def test_op5_fit_against_direct_sums(spark):
+    """Log-odds, the scale and the size of the chance law of a fitted model by their equations, from counts of plain words."""
+    y1, y0 = np.array([9.0, 0.0, 3.0]), np.array([1.0, 4.0, 3.0])
+    odds, z = toxicity.log_odds(y1, y0, 100.0, 300.0)
+    for k in range(3):
+        mass = toxicity.PRIOR * 400
+        a = mass * (y1[k] + y0[k] + 1) / 400
+        by_hand = math.log((y1[k] + a) / (100 + mass - y1[k] - a)) - math.log((y0[k] + a) / (300 + mass - y0[k] - a))
+        assert odds[k] == pytest.approx(by_hand) and z[k] == pytest.approx(by_hand / math.sqrt(1 / (y1[k] + a) + 1 / (y0[k] + a)))
+    bad = ["scumm", "vilefool", "rotbrain"]
+    texts = [text_of(i, 60) + (" " + " ".join(bad[: 1 + i % 3]) if i % 4 == 0 or i % 37 == 0 else "") for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fitted(docs, docs.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("toxic")))
+    clean = [t for i, t in enumerate(texts) if i % 4]
+    scores, best = [], []
+    for t in clean:
+        ((_, own),) = ta.pieces(pa.array([t]))
+        s = toxicity._scores(own, model)[1].tolist()
+        scores += s
+        sums, top_ = [0.0], 0.0
+        for v in s:
+            sums.append(sums[-1] + (v if v > 0 else -toxicity.DRIFT))
+        for i in range(len(sums)):
+            top_ = max([top_, *(sums[j] - sums[i] for j in range(i, len(sums)))])
+        best.append((len(s), top_))
+    assert any(v > 0 for v in scores)
+    assert np.mean([math.exp(model.scale * (v if v > 0 else -toxicity.DRIFT)) for v in scores]) == pytest.approx(1.0, abs=1e-6)
+    assert model.size == pytest.approx(sum(s > 0 for _, s in best) / sum(n * math.exp(-model.scale * s) for n, s in best), rel=1e-6)
+
+
 def test_op6_base_against_a_second_form(spark, small):
     """Base spans by the patterns of the contract, written out again."""
     texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
@@ -786,4 +858,5 @@ def test_op2_against_the_vocabulary(spark, small):
     for r in texts.collect():
         plain = ids[r["doc_id"]]
         assert sums[r["doc_id"]] == (len(plain), zlib.crc32(np.array(plain, "<u4").tobytes()))
-        assert "".join(own.id_to_piece(i) if not own.is_byte(i) else "" for i in plain).replace("▁", " ").strip() == re.sub("", "", r["text"]).strip() or any(own.is_byte(i) for i in plain)
+        spelt = b"".join(bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in plain)
+        assert spelt == (" " + r["text"]).encode() if r["text"] else not plain
