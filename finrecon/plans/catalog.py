@@ -1,5 +1,5 @@
 """Imports every module that registers queries."""
 
-from finrecon.operators import checks, contents, fields, filings, filters, joins, lookahead, matching, plugs, pools, retries, scalars, statements, texts, windows  # noqa: F401
+from finrecon.operators import checks, contents, fields, filings, filters, joins, lookahead, matching, plugs, pools, relevance, retries, scalars, statements, texts, windows  # noqa: F401
 from finrecon.sources import grids, readers, sinks  # noqa: F401
 from finrecon.streaming import feeds  # noqa: F401
