@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from finrecon.functions import labels as lb, numbers as nb
 from finrecon.operators.pools import KEYS, rank_of
+from finrecon.operators.setjoins import Overlap, meeting
 from finrecon.plans.fixtures import fixture, oracle
 from finrecon.plans.registry import query
 
@@ -63,12 +64,35 @@ TOKENS_SQL = f"""t as (select template_label, string_split(lower(template_label)
  s as (select *, i / len(list_distinct(list_concat(x, y))) as jac, i / least(len(x), len(y)) as con from c)"""
 
 
+def _scores(pairs: DataFrame) -> DataFrame:
+    x, y = F.col("tokens"), F.col("tokens_r")
+    return pairs.withColumns({"jaccard": lb.jaccard(x, y), "overlap": lb.overlap_score(x, y)})
+
+
 def _scored(spark, sf_dir):
     pool, template = _labels(spark, sf_dir)
     a = template.select("template_label", lb.tokens(F.col("template_label")).alias("tokens"))
     b = pool.select("raw_label", lb.tokens(F.col("raw_label")).alias("tokens_r"))
-    x, y = F.col("tokens"), F.col("tokens_r")
-    return candidates(a, b).withColumns({"jaccard": lb.jaccard(x, y), "overlap": lb.overlap_score(x, y)})
+    return _scores(candidates(a, b))
+
+
+def shared_tokens(least: float) -> Overlap:
+    """Pairs that share at least that part of the tokens of either label, as those of a jaccard or a share of the longer label of at least least do."""
+    need = lambda ts, label: F.size(ts) * least
+    return Overlap(lb.tokens, need, need)
+
+
+def contained_tokens(least: float) -> list[Overlap]:
+    """Pairs that share at least that part of the tokens of the shorter label."""
+    need = lambda ts, label: F.size(ts) * least
+    return [Overlap(lb.tokens, need, None), Overlap(lb.tokens, None, need)]
+
+
+def _meeting_labels(spark, sf_dir, measures: list[Overlap]) -> DataFrame:
+    """Scores of the template and pool labels that may reach one of the measures."""
+    pool, template = _labels(spark, sf_dir)
+    met = meeting(template.select(F.col("template_label").alias("label")), pool.select(F.col("raw_label").alias("label")), measures).toDF("template_label", "raw_label")
+    return _scores(met.select("template_label", "raw_label", lb.tokens(F.col("template_label")).alias("tokens"), lb.tokens(F.col("raw_label")).alias("tokens_r")))
 
 
 def resolved(labels: DataFrame, aliases: DataFrame, least: float = 0.75) -> DataFrame:
@@ -81,8 +105,10 @@ def resolved(labels: DataFrame, aliases: DataFrame, least: float = 0.75) -> Data
     left = own.join(exact, "label", "left_anti")
     varied = left.select("label", F.explode(lb.variants(F.col("norm"))).alias("norm")).join(known, "norm")
     second = top(varied, ["label"], [F.col("ord")]).select("label", "concept", F.lit(2).alias("tier"))
-    last = left.join(second, "label", "left_anti").select("label", lb.tokens(F.col("norm")).alias("tokens"))
-    met = candidates(last, known.select("concept", "ord", lb.tokens(F.col("norm")).alias("tokens_r")))
+    last = left.join(second, "label", "left_anti").select("label", "norm")
+    met = meeting(last.select(F.col("norm").alias("label")).distinct(), known.select(F.col("norm").alias("label")).distinct(), [shared_tokens(least)])
+    met = met.join(last.select("label", F.col("norm").alias("a")), "a").join(known.select("concept", "ord", F.col("norm").alias("b")), "b")
+    met = met.select("label", "concept", "ord", lb.tokens(F.col("a")).alias("tokens"), lb.tokens(F.col("b")).alias("tokens_r"))
     share = F.size(F.array_intersect("tokens", "tokens_r")) / F.greatest(F.size("tokens"), F.size("tokens_r"))
     third = top(met.withColumn("share", share).where(F.col("share") >= least), ["label"], [F.desc("share"), F.col("ord")]).select("label", "concept", F.lit(3).alias("tier"))
     return exact.union(second).union(third)
@@ -121,13 +147,13 @@ def j05(spark, sf_dir):
 
 @query("j06_token_overlap", oracle(f"with {TOKENS_SQL}, o as (select *, greatest(jac, case when len(x) >= 3 and len(y) >= 3 then 0.7 * con else 0 end) as score from s) select template_label, raw_label, round(score, 6) as score from o where score >= 0.3", "fx_template", "fx_pool_label"))
 def j06(spark, sf_dir):
-    return _scored(spark, sf_dir).where("overlap >= 0.3").select("template_label", "raw_label", F.round("overlap", 6).alias("score"))
+    return _meeting_labels(spark, sf_dir, [shared_tokens(0.3), *contained_tokens(0.3 / 0.7)]).where("overlap >= 0.3").select("template_label", "raw_label", F.round("overlap", 6).alias("score"))
 
 
 @query("j07_ranked_candidates", oracle(f"with {TOKENS_SQL} select template_label, raw_label, cast(rank() over (partition by template_label order by jac desc) as integer) as place from s where jac >= 0.2", "fx_template", "fx_pool_label"))
 def j07(spark, sf_dir):
     place = F.rank().over(Window.partitionBy("template_label").orderBy(F.desc("jaccard")))
-    return _scored(spark, sf_dir).where("jaccard >= 0.2").select("template_label", "raw_label", place.alias("place"))
+    return _meeting_labels(spark, sf_dir, [shared_tokens(0.2)]).where("jaccard >= 0.2").select("template_label", "raw_label", place.alias("place"))
 
 
 @query("j08_mutual_best", oracle(f"with {TOKENS_SQL}, r as (select *, row_number() over (partition by template_label order by jac desc, raw_label) as k, row_number() over (partition by raw_label order by jac desc, template_label) as q from s) select template_label, raw_label, round(jac, 6) as score from r where k = 1 and q = 1", "fx_template", "fx_pool_label"))
