@@ -5,7 +5,7 @@ polyphase filter, so that no sample is computed that is not kept. ``log_mel`` ta
 energy passes an upper limit and goes on until it falls below a lower one (hysteresis). ``media_columns`` stores the features as fixed-shape Arrow tensors of
 ``BLOCK`` frames, each with its time span. Every text is computed alone, so equal texts give equal bits.
 
-Defined cases: a null or empty text is one block of zeros; the last block of a tensor is filled with the floor value; long texts give more
+Ids are integers. Defined cases: a null or empty text is one block of zeros; the last block of a tensor is filled with the floor value; long texts give more
 blocks; repeated rows give a row each; other columns are not read; an empty table gives an empty result.
 """
 

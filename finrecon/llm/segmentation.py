@@ -10,7 +10,7 @@ segment are computed once per worker; a sampling step is then one binary search
 (1 + r) ** -alpha, since the vocabulary gives merge ranks; alpha sets how far samples stray from frequent pieces. Characters without a piece, and the space mark itself, become
 byte pieces, so decoding gives back every text exactly.
 
-Defined cases: null and empty texts have no pieces and decode to the empty text; a null key has a seed of its own, unlike that of any number; repeated rows get equal ids; other columns are not read; an
+Ids are integers. Defined cases: null and empty texts have no pieces and decode to the empty text; a null key has a seed of its own, unlike that of any number; repeated rows get equal ids; other columns are not read; an
 empty table gives an empty result. A segment of any length is sampled whole.
 """
 

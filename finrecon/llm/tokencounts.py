@@ -4,7 +4,7 @@ Documents are aggregated by their encoded length; all answers come from the hist
 reach it and how many tokens remain when longer documents are cut there. The sums are taken in blocks of ``BLOCK`` lengths: within a block by a window, over the
 few block totals (one for each BLOCK tokens of the longest document) by another, so no task sees all lengths of a long-tailed corpus.
 
-Defined cases: null and empty texts have length 0; repeated rows count each; other columns are not read; an empty table gives an empty histogram.
+Ids are integers. Defined cases: null and empty texts have length 0; repeated rows count each; other columns are not read; an empty table gives an empty histogram.
 """
 
 from __future__ import annotations

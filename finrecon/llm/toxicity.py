@@ -10,7 +10,7 @@ and the share of scoring words gives the score.
 Bound: the model is fitted on at most about ``TRAIN_ROWS`` labelled rows (a parameter), drawn by a hash of the id; its terms are all those of LEAST_DOCS or more toxic rows among them.
 Scoring reads every text whole and needs no shuffle.
 
-Defined cases: null and empty texts have no segment and get the score of a text without scoring words; a label for an id given twice counts as toxic if any is;
+Ids are integers. Defined cases: null and empty texts have no segment and get the score of a text without scoring words; a label for an id given twice counts as toxic if any is;
 without both classes the score is the share of toxic labels (0 without labels); repeated rows give a row each; other columns are not read; empty tables give empty results.
 """
 
