@@ -165,8 +165,8 @@ def flt17_gated(spark, sf_dir):
     return gated(_fills(spark, sf_dir)).select("id", "line", "part", "outcome", "written")
 
 
-@query("a09_tallies", f"with {_FILL_SQL} select coalesce(use, 'all') as use, coalesce(label, 'all') as label, outcome, count(*) as n from o group by grouping sets ((use, label, outcome), (use, outcome), (outcome))")
-def a09_tallies(spark, sf_dir):
+@query("a09_fill_tallies", f"with {_FILL_SQL} select coalesce(use, 'all') as use, coalesce(label, 'all') as label, outcome, count(*) as n from o group by grouping sets ((use, label, outcome), (use, outcome), (outcome))")
+def a09_fills(spark, sf_dir):
     return tallies(gated(_fills(spark, sf_dir)), ["use", "label"], "outcome").fillna("all", ["use", "label"])
 
 
