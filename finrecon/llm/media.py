@@ -25,6 +25,7 @@ FRAME, HOP, BANDS, BLOCK = 256, 128, 20, 64
 UNIT = 64
 HIGH_DB, LOW_DB = 3.0, 1.0
 FLOOR = 1e-6
+OUT_BYTES = 1 << 20
 
 
 def payload_of(text: str | None) -> bytes:
@@ -63,18 +64,29 @@ def _low_pass(up: int, down: int, taps: int = 8) -> np.ndarray:
 _FILTER = _low_pass(UP, DOWN)
 
 
+def _phases(up: int, down: int, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each phase of the output the first input place of its window and the filter's taps over the window."""
+    half = len(h) // 2
+    reach = half // up + 1
+    out = []
+    for r in range(up):
+        place, phase = divmod(r * down, up)
+        tap = phase - np.arange(-reach, reach + 1) * up + half
+        out.append((place, np.where((tap >= 0) & (tap < len(h)), h[np.clip(tap, 0, len(h) - 1)], 0.0)))
+    return out
+
+
+_PHASES = _phases(UP, DOWN, _FILTER)
+
+
 def resampled(x: np.ndarray, up: int = UP, down: int = DOWN, h: np.ndarray = _FILTER) -> np.ndarray:
     """x at up/down times its rate; output n is the filter's phase n * down mod up applied around input n * down / up."""
-    half, count = len(h) // 2, -(-len(x) * up // down)
-    reach = half // up + 1
+    phases = _PHASES if h is _FILTER and (up, down) == (UP, DOWN) else _phases(up, down, h)
+    count, reach = -(-len(x) * up // down), len(h) // 2 // up + 1
     padded = np.concatenate([np.zeros(reach), x, np.zeros(reach + down)])
     windows = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1)
     out = np.empty(count)
-    for r in range(min(up, count)):
-        place, phase = divmod(r * down, up)
-        k = np.arange(-reach, reach + 1)
-        tap = phase - k * up + half
-        weight = np.where((tap >= 0) & (tap < len(h)), h[np.clip(tap, 0, len(h) - 1)], 0.0)
+    for r, (place, weight) in enumerate(phases[:count]):
         of = len(out[r::up])
         out[r::up] = windows[place : place + down * of : down][:of] @ weight
     return out
@@ -148,15 +160,26 @@ def bands_of(stream: bytes) -> np.ndarray:
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are given on together until they hold OUT_BYTES."""
     span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+    def together(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        media, mel, found, size = (list(c) for c in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([ids, pa.array(media, pa.binary()), pa.array(mel, pa.binary()), pa.array(found, span), pa.array(size, pa.int64())], ["doc_id", "media", "log_mel", "segments", "n_bytes"])
+
     for batch in batches:
+        rows, first, held = [], 0, 0
         for i in range(batch.num_rows):
-            media = stored(payload_of(batch.column(1)[i].as_py()))
+            text = batch.column(1)[i].as_py()
+            media = stored(payload_of(text))
             mel, runs = features_of(samples_of(media)[1])
-            found = [{"start_s": seconds(a), "end_s": seconds(b)} for a, b in runs]
-            size = len((batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass"))
-            columns = [pa.array([media], pa.binary()), pa.array([tensors(mel)], pa.binary()), pa.array([found], span), pa.array([size], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *columns], ["doc_id", "media", "log_mel", "segments", "n_bytes"])
+            rows.append((media, tensors(mel), [{"start_s": seconds(a), "end_s": seconds(b)} for a, b in runs], len((text or "").encode("utf-8", "surrogatepass"))))
+            held += len(rows[-1][0]) + len(rows[-1][1])
+            if held >= OUT_BYTES:
+                yield together(batch.column(0).slice(first, len(rows)), rows)
+                rows, first, held = [], i + 1, 0
+        if rows:
+            yield together(batch.column(0).slice(first, len(rows)), rows)
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
