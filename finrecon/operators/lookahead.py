@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from finrecon.functions import labels as lb
+from finrecon.functions.once import once
 from finrecon.plans.fixtures import fixture
 from finrecon.plans.registry import query
 
@@ -56,8 +57,7 @@ def without_notes(vals: Column) -> Column:
 
 def chosen(vals: Column, last: Column, years: int) -> Column:
     """One figure for each year: the last financial ones of a field whose total comes last; every other one where each is followed by a sub-total; else the first ones."""
-    real = F.filter(vals, financial)
-    tail = F.when(F.size(real) >= years, F.slice(real, F.size(real) - (years - 1), F.lit(years))).otherwise(real)
+    tail = once(F.filter(vals, financial), lambda real: F.when(F.size(real) >= years, F.slice(real, F.size(real) - (years - 1), F.lit(years))).otherwise(real))
     parts, totals = (F.transform(F.sequence(F.lit(first), F.lit(2 * years - 1), F.lit(2)), lambda i: F.get(vals, i)) for first in (0, 1))
     mixed = (F.size(vals) == 2 * years) & F.forall(F.zip_with(parts, totals, lambda part, total: (part != 0) & (total > SUBTOTAL * F.abs(part))), lambda good: good)
     return F.when(last, tail).when(mixed, parts).otherwise(F.slice(vals, F.lit(1), F.lit(years)))
@@ -66,17 +66,19 @@ def chosen(vals: Column, last: Column, years: int) -> Column:
 def field_values(lines: DataFrame, fields: Sequence[tuple[str, str]], last_of: Sequence[str] = (), years: int = 2) -> DataFrame:
     """(filing, field, page_no, line_no, values) of lines (filing, page_no, line_no, line): for each field (name, pattern; the first that matches a line is its field) the figures of its first line in a filing that has some, on it or below it.
 
-    Fields of last_of take the last figures of their block, up to three times as many are read. A filing's lines are one window; each label reads AHEAD of them."""
+    Fields of last_of take the last figures of their block, up to three times as many are read. A filing's lines are one array; each label reads AHEAD of them."""
     text = F.trim("line")
     typed = lines.select("filing", *PLACE, lb.first_pattern(text, fields).alias("field"), numbers_in(text).alias("nums"), text.isin(*NIL).alias("nil"))
-    order = Window.partitionBy("filing").orderBy(*PLACE)
-    ahead = F.collect_list(F.struct("field", "nums", "nil")).over(order.rowsBetween(1, AHEAD))
-    own = typed.withColumn("ahead", ahead).where("field is not null")
-    last = F.col("field").isin(*last_of) if last_of else F.lit(False)
-    own = own.withColumn("below", collected(F.col("field"), F.col("ahead"), F.when(last, 6 * years).otherwise(2 * years)))
-    own = own.withColumn("vals", without_notes(F.when(F.size("nums") > 0, F.col("nums")).otherwise(F.col("below"))))
-    read = own.select("filing", "field", *PLACE, F.when(F.size("nums") > 0, F.slice("vals", F.lit(1), F.lit(years))).otherwise(chosen(F.col("vals"), last, years)).alias("values")).where("size(values) > 0")
-    return read.groupBy("filing", "field").agg(F.min_by(F.struct(*PLACE, "values"), F.struct(*PLACE)).alias("b")).select("filing", "field", "b.*")
+    filing = typed.groupBy("filing").agg(F.array_sort(F.collect_list(F.struct(*PLACE, "field", "nums", "nil"))).alias("ls"))
+    labelled = F.filter(F.transform("ls", lambda x, i: F.when(x["field"].isNotNull(), F.struct(*(x[c].alias(c) for c in (*PLACE, "field", "nums")), F.slice("ls", i + 2, F.lit(AHEAD)).alias("ahead")))), lambda x: x.isNotNull())
+    own = filing.select("filing", F.inline(labelled))
+    last, given = F.col("field").isin(*last_of) if last_of else F.lit(False), F.size("nums") > 0
+    found = F.when(given, F.col("nums")).otherwise(collected(F.col("field"), F.col("ahead"), F.when(last, 6 * years).otherwise(2 * years)))
+    picked = lambda vals: F.when(given, F.slice(vals, F.lit(1), F.lit(years))).otherwise(chosen(vals, last, years))
+    read = own.select("filing", "field", *PLACE, once(found, lambda v: once(without_notes(v), picked)).alias("values"))
+    # A condition on the values would be moved below them and compute them again, so labels without figures have no place in the order instead.
+    place = F.when(F.size("values") > 0, F.struct(*PLACE))
+    return read.groupBy("filing", "field").agg(F.min_by(F.struct(*PLACE, "values"), place).alias("b")).where("b is not null").select("filing", "field", "b.*")
 
 
 #: Fields of the filings' lines in the query.
