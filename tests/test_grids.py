@@ -56,3 +56,16 @@ def test_blocks_inside_blocks_and_plans(spark):
     found = grids.nested_blocks(df, "doc", "body")
     assert {tuple(r) for r in found.collect()} == {(1, "p", "F2020", 1.0), (1, "q", "F2020", 2.5), (1, "s", "F2019-20", 3.0)}
     assert "Python" not in found._jdf.queryExecution().toString() and "InPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_statements_in_one_pass(spark):
+    """No column is computed once for each mention of it: a page is read once, its table is placed once, and no join computes it again."""
+    head = "<thead><tr><th rowspan=2></th><th colspan=2>Years</th></tr><tr><th>Mar 2020</th><th>Mar 2019</th></tr></thead>"
+    html = f"<table>{head}<tbody><tr><td rowspan=2>a</td><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr><tr><td>b</td><td colspan=2>5</td><td>6</td></tr><tr><td rowspan=99999999999>c</td><td>7</td></tr></tbody></table>"
+    found = grids.statement_tables(pages(spark, html))
+    assert {(r["row"], r["label"], r["period"], r["value"]) for r in found.collect()} == {(3, "a", "F2020", 1.0), (3, "a", "F2019", 2.0), (4, "a", "F2020", 3.0), (4, "a", "F2019", 4.0), (5, "b", "F2020", 5.0), (6, "c", "F2020", 7.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    html = "<table><tr><td rowspan=3>a</td><td colspan=2>b</td></tr><tr><td>c</td><td rowspan=2>d</td></tr><tr><td>e</td><td>f</td></tr></table>"
+    whole = grids.html_tables(pages(spark, html)).collect()[0]["cs"]
+    assert [c["col"] for c in whole] == [r[1] for r in placed(spark, html)] == [0, 1, 1, 2, 1, 3]
