@@ -61,8 +61,8 @@ def test_fields_equal_a_plain_loop(spark):
 
 def test_values_are_computed_once(spark):
     """Each label's figures are read once: no expression stands in the plan for every mention of it."""
-    lines = spark.createDataFrame([(1, 1, 1, "Depreciation"), (1, 1, 2, "100"), (1, 1, 3, "200")], "filing long, page_no long, line_no long, line string")
+    lines = spark.createDataFrame([(1, 1, 1, "Depreciation"), (1, 1, 2, "1,000"), (1, 1, 3, "2,000")], "filing long, page_no long, line_no long, line string")
     found = la.field_values(lines, la.FIELDS, ("depreciation",))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 60_000 and plan.count("regexp_extract_all") == 1
-    assert [tuple(r) for r in found.collect()] == [(1, "depreciation", 1, 1, [100.0, 200.0])]
+    assert [tuple(r) for r in found.collect()] == [(1, "depreciation", 1, 1, [1000.0, 2000.0])]
