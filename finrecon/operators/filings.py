@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from finrecon.functions import labels as lb, patterns as pt, periods as pr
+from finrecon.functions.once import once
 from finrecon.operators.joins import top
 from finrecon.operators.texts import _TITLE_SQL, _first_sql, first_of, holds, page_title, quoted
 from finrecon.plans.fixtures import fixture, oracle
@@ -18,6 +19,10 @@ UP_TO_MARK = f"(?is).*?{YEAR_MARK}"
 FIGURE = r"-?\(?\d+(?:,\d{2,3})*(?:\.\d+)?\)?"
 PROSE = rf"^([A-Za-z][A-Za-z0-9 ,&/()'\"-]{{3,100}}?)\s+(?:\d{{1,3}}(?:\s*&\s*\d{{1,3}})?\s+)?((?:{FIGURE}\s+){{1,9}}{FIGURE})$"
 BULLET = r"(?i)^\s*\(?\s*[a-z0-9]+\s*[).]\s*"
+#: More than the lines of any page.
+LINES = 10_000_000_000
+#: Between the groups of a prose line in one text: a sign that no prose line holds.
+BETWEEN = "\1"
 PLACE = ("page_no", "line_no")
 
 
@@ -40,7 +45,9 @@ def _chain_sql(text: str, rules) -> str:
 def year_marks(line: Column, low: int = 1990, high: int = 2050) -> Column:
     """Fiscal years of a line's dates and marks from left to right, as F2024; a year equal to the one before and within 30 characters of it is the same column."""
     marks = F.transform(F.regexp_extract_all(line, F.lit(UP_TO_MARK), F.lit(0)), lambda c: F.struct(pr.full_year(F.regexp_extract(c, r"(\d+)$", 1)).alias("y"), F.length(c).alias("n")))
-    return F.transform(F.filter(marks, lambda m, i: m["y"].between(low, high) & ((i == 0) | (m["n"] >= 30) | (F.get(marks, i - 1)["y"] != m["y"]))), lambda m: F.concat(F.lit("F"), m["y"].cast("string")))
+    named = lambda ms: F.transform(F.filter(ms, lambda m, i: m["y"].between(low, high) & ((i == 0) | (m["n"] >= 30) | (F.get(ms, i - 1)["y"] != m["y"]))), lambda m: F.concat(F.lit("F"), m["y"].cast("string")))
+    # A line without a digit has no mark; the search for one would try every place of it.
+    return F.when(line.rlike("[0-9]"), once(marks, named)).when(line.isNotNull(), F.array().cast("array<string>"))
 
 
 def with_periods(lines: DataFrame) -> DataFrame:
@@ -89,11 +96,12 @@ def with_statement(lines: DataFrame, starts=pt.STATEMENT_STARTS, parts=pt.BALANC
     t, start = F.trim("line"), F
     for scope, kind, pattern in starts:
         start = start.when(t.rlike(pattern), F.struct(F.lit(scope).alias("scope"), F.lit(kind).alias("kind")))
-    w = _carried("filing")
+    # A line that begins a statement begins its part anew, with its own mark or none: both states come from one window, which sorts a filing once and holds the marks alone.
     marked = lines.withColumns({"_b": start.otherwise(F.lit(None)), "_p": _chain(t, parts)})
-    inside = marked.withColumns({"_seg": F.count("_b").over(w), "_in": F.last("_b", ignorenulls=True).over(w)})
-    part = F.last("_p", ignorenulls=True).over(Window.partitionBy("filing", "_seg").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumns({"statement": F.col("_in.kind"), "statement_scope": F.col("_in.scope"), "part": part}).drop("_b", "_p", "_seg", "_in")
+    event = F.when(F.col("_b").isNotNull() | F.col("_p").isNotNull(), F.struct(F.col("_p").alias("part")))
+    w = _carried("filing")
+    inside = marked.withColumn("_e", event).withColumns({"_in": F.last("_b", ignorenulls=True).over(w), "_at": F.last("_e", ignorenulls=True).over(w)})
+    return inside.withColumns({"statement": F.col("_in.kind"), "statement_scope": F.col("_in.scope"), "part": F.col("_at.part")}).drop("_b", "_p", "_e", "_in", "_at")
 
 
 _STATES_SQL = f"""b as (select *, {_chain_sql('trim(line)', [(f'{s} {k}', p) for s, k, p in pt.STATEMENT_STARTS])} as start, {_chain_sql('trim(line)', pt.BALANCE_PARTS)} as p from fx_filed_line),
@@ -129,11 +137,12 @@ def l5_part(spark, sf_dir):
 @query("j16_row_section", oracle(f"with {_STATES_SQL}, k as (select filing, trim(line) as label, min(page_no * 1000 + line_no) as at_all, min(case when statement_scope = 'consolidated' then page_no * 1000 + line_no end) as inside from s group by 1, 2) select filing, label, cast(floor(coalesce(inside, at_all) / 1000) as bigint) as page_no, cast(coalesce(inside, at_all) % 1000 as integer) as line_no, inside is not null as in_section from k", "fx_filed_line"))
 def j16(spark, sf_dir, wanted: str = "consolidated"):
     """First row of a label in the wanted block of a sheet, else its first row anywhere."""
-    place = F.struct(*PLACE)
+    # A place as one number: the least of numbers is kept in a hash table, the least of structs would sort all rows once more.
+    place = F.col("page_no").cast("decimal(19,0)") * F.lit(LINES).cast("decimal(11,0)") + F.col("line_no")
     rows = with_statement(fixture(spark, sf_dir, "fx_filed_line")).groupBy("filing", F.trim("line").alias("label"))
     found = rows.agg(F.min(F.when(F.col("statement_scope") == wanted, place)).alias("inside"), F.min(place).alias("first"))
-    at = F.coalesce("inside", "first")
-    return found.select("filing", "label", at["page_no"].alias("page_no"), at["line_no"].alias("line_no"), F.col("inside").isNotNull().alias("in_section"))
+    found = found.withColumn("at", F.coalesce("inside", "first")).withColumn("line_no", F.expr(f"pmod(at, {LINES})"))
+    return found.select("filing", "label", F.expr(f"(at - line_no) div {LINES}").alias("page_no"), F.col("line_no").cast("int"), F.col("inside").isNotNull().alias("in_section"))
 
 
 def figures(text: Column) -> Column:
@@ -146,11 +155,16 @@ def figures(text: Column) -> Column:
 def prose_lines(lines: DataFrame) -> DataFrame:
     """Lines outside tables that hold a label and two to ten figures, perhaps with a note reference between: adds label and values. Left out: lines over 300 characters, labels under 4 after a bullet, values that are all years or all below 1."""
     t = F.trim("line")
-    read = lines.where(~(t.startswith("|") | t.startswith("---")) & (F.length(t) <= 300) & t.rlike(PROSE))
-    label = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(t, PROSE, 1), "[- :]+$", ""), BULLET, ""))
-    read = read.withColumns({"label": label, "values": figures(F.regexp_extract(t, PROSE, 2))})
-    years = F.forall("values", lambda v: (F.abs(v) > 1990) & (F.abs(v) < 2100) & (v == F.floor(v)))
-    return read.where((F.length("label") >= 4) & (F.size("values") >= 2) & ~years & ~F.forall("values", lambda v: F.abs(v) < 1))
+    # The pattern is tried once, on lines that begin and end as it does; its two groups come back around a mark that neither can hold.
+    usable = ~(t.startswith("|") | t.startswith("---")) & (F.length(t) <= 300) & t.rlike("^[A-Za-z]") & t.rlike(r"[\d)]$")
+    split = F.regexp_replace(t, PROSE, f"$1{BETWEEN}$2")
+    label = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.substring_index(s, BETWEEN, 1), "[- :]+$", ""), BULLET, ""))
+    both = once(split, lambda s: F.when(s != t, F.struct(label(s).alias("label"), figures(F.substring_index(s, BETWEEN, -1)).alias("values"))))
+    years = lambda vs: F.forall(vs, lambda v: (F.abs(v) > 1990) & (F.abs(v) < 2100) & (v == F.floor(v)))
+    good = lambda x: (F.length(x["label"]) >= 4) & (F.size(x["values"]) >= 2) & ~years(x["values"]) & ~F.forall(x["values"], lambda v: F.abs(v) < 1)
+    # A generator: conditions on what it gives are not moved below it, where they would read the line again.
+    read = lines.where(usable).select(*lines.columns, F.explode(F.filter(F.array(both), good)).alias("_x"))
+    return read.select(*lines.columns, F.col("_x.label").alias("label"), F.col("_x.values").alias("values"))
 
 
 _PROSE_SQL = f"""r as (select *, trim(line) as tl from fx_filed_line where not (trim(line) like '|%' or trim(line) like '---%') and length(trim(line)) <= 300 and regexp_matches(trim(line), {quoted(PROSE)})),
@@ -373,10 +387,9 @@ def flt22(spark, sf_dir):
 
 def first_periods(text: Column, most: int = 3, lines: int = 50) -> Column:
     """Fiscal years of the first lines of a text from left to right, each once, most of them; bare years of this century count only where there is no other mark."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")
-    bare = F.transform(F.regexp_extract_all(head, F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: F.concat(F.lit("F"), y))
-    marks = F.flatten(F.transform(F.slice(F.split(text, "\n"), 1, lines), lambda line: year_marks(line)))
-    return F.slice(F.array_distinct(F.when(F.size(marks) > 0, marks).otherwise(bare)), 1, most)
+    bare = lambda ls: F.transform(F.regexp_extract_all(F.array_join(ls, "\n"), F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: F.concat(F.lit("F"), y))
+    years = lambda ls: once(F.flatten(F.transform(ls, lambda line: year_marks(line))), lambda marks: F.when(F.size(marks) > 0, marks).otherwise(bare(ls)))
+    return F.slice(F.array_distinct(once(F.slice(F.split(text, "\n"), 1, lines), years)), 1, most)
 
 
 @query("w11_period_order")
@@ -396,13 +409,14 @@ QUARTER_ENDS = {"1": ("June 30", 1), "2": ("September 30", 1), "3": ("December 3
 def query_text(label: Column, scope: Column, period: Column, section: Column, sheet: Column, wordings=pt.WORDINGS) -> Column:
     """Search text for a row of a sheet: scope, label, other wordings of what the label holds, the period in words, section and sheet."""
     plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), "less:|add:", ""), "[^a-z0-9]+", " "))
-    more = F.flatten(F.array(*(F.when(holds(plain, (key, *others)), F.array(*map(F.lit, (key, *others)))).otherwise(F.array().cast("array<string>")) for key, others in wordings.items())))
+    more = lambda p: F.flatten(F.array(*(F.when(holds(p, (key, *others)), F.array(*map(F.lit, (key, *others)))).otherwise(F.array().cast("array<string>")) for key, others in wordings.items())))
     year = F.regexp_extract(period, r"F(\d{4})$", 1)
     words = F.when(period.rlike(r"^F\d{4}$"), F.concat(F.lit("year ended March 31, "), year, F.lit(" "), period))
     for q, (day, back) in QUARTER_ENDS.items():
         words = words.when(period.rlike(rf"^{q}QF\d{{4}}$"), F.concat(F.lit(f"three months ended {day}, "), (year.try_cast("int") - back).cast("string"), F.lit(" "), period))
-    parts = [scope, plain, F.array_join(F.array_sort(F.array_distinct(more)), " "), words, section, sheet]
-    return F.concat_ws(" ", *(F.when(F.trim(p) != "", F.trim(p)) for p in parts))
+    parts = lambda p: [scope, p, F.array_join(F.array_sort(F.array_distinct(more(p))), " "), words, section, sheet]
+    given = lambda p: F.concat_ws(" ", *(once(F.trim(x), lambda v: F.when(v != "", v)) for x in parts(p)))
+    return once(plain, given)
 
 
 _PLAIN_SQL = "trim(regexp_replace(regexp_replace(lower(label), 'less:|add:', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"

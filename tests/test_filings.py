@@ -77,3 +77,19 @@ def test_records_in(spark):
     one = '{"a":"1"}'
     rows = spark.createDataFrame([(f"[{one},{one}]",), (f'{{"results":[{one}]}}',), (one,), ("[]",), ("x",), (None,)], "b string")
     assert [r["n"] for r in rows.select(F.size(F.filter(rd.records_in(F.col("b"), "a: string"), lambda r: r["a"] == "1")).alias("n")).collect()][:4] == [2, 1, 1, 0]
+
+
+def test_filing_plans_compute_once(spark):
+    """One sort of a filing for its carried states; marks, prose and search texts are not computed again for each mention."""
+    lines = spark.createDataFrame([(1, 1, 1, "Balance sheet"), (1, 1, 2, "Equity"), (1, 1, 3, "Sales of goods 1,200 1,100"), (1, 1, 4, "Consolidated balance sheet"), (1, 1, 5, "x")], "filing long, page_no long, line_no int, line string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    states = fl.with_statement(lines)
+    assert plan(states).count("Window [") == 1
+    assert [r["part"] for r in states.orderBy("line_no").collect()] == [None, "equity", "equity", None, None]
+    read = fl.prose_lines(lines)
+    assert plan(read).count(fl.PROSE) == 1
+    assert [(r["label"], r["values"]) for r in read.collect()] == [("Sales of goods", [1200.0, 1100.0])]
+    marks = spark.createDataFrame([("Year ended March 31, 2022 and March 31, 2022 and FY21",), ("no mark",), (None,)], "t string").select(fl.year_marks(F.col("t")).alias("m"))
+    assert plan(marks).count("regexp_extract_all") == 1 and [r["m"] for r in marks.collect()] == [["F2022", "F2021"], [], None]
+    text = lines.select(fl.query_text(F.col("line"), F.lit("s"), F.lit("F2024"), F.lit(""), F.lit("t")).alias("x"))
+    assert plan(text).count("less:|add:") == 1
