@@ -120,3 +120,14 @@ def test_assignment_against_a_plain_loop(spark):
             used.add(pool)
             want.add((c, t, pool))
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_every_pair_has_a_score(spark):
+    """No score is too small for a row, and the stored vocabulary reads its table once."""
+    left = spark.createDataFrame([("zzz qqq",), ("net sales",), ("finance costs",)], "label string")
+    right = spark.createDataFrame([("revenue from operations",), ("finance costs",), ("tax",)], "label string")
+    got = {(r["a"], r["b"]): r["score"] for r in m.all_similarities(left, right).collect()}
+    assert len(got) == 9 and min(got.values()) < 0.5
+    assert got["finance costs", "finance costs"] == 1.0 and got["net sales", "revenue from operations"] == 0.95
+    kept = {(r["a"], r["b"]): r["score"] for r in m.similarity(left, right, 0.5).collect()}
+    assert kept == {k: s for k, s in got.items() if s >= 0.5}
