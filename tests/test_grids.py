@@ -69,3 +69,11 @@ def test_statements_in_one_pass(spark):
     html = "<table><tr><td rowspan=3>a</td><td colspan=2>b</td></tr><tr><td>c</td><td rowspan=2>d</td></tr><tr><td>e</td><td>f</td></tr></table>"
     whole = grids.html_tables(pages(spark, html)).collect()[0]["cs"]
     assert [c["col"] for c in whole] == [r[1] for r in placed(spark, html)] == [0, 1, 1, 2, 1, 3]
+
+
+def test_blocks_meet_in_their_own_row(spark):
+    """A text is unrolled in its row: nothing is shuffled, and texts of one key are blocks of their own."""
+    small, other = '{"a":{"2024":1},"b":{"2024":2},"c":{"2024":3}}', '{"d":{"2024":4},"e":{"2024":5},"f":{"2024":6},"g":{"2024":7}}'
+    found = grids.nested_blocks(spark.createDataFrame([(1, small), (1, other)], "doc long, body string"), "doc", "body")
+    assert sorted(r["label"] for r in found.collect()) == list("abcdefg")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
