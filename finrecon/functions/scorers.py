@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import SparkSession, functions as F, types as T
+from pyspark.sql import Column, SparkSession, functions as F, types as T
+
+from finrecon.functions.once import once
 
 
 @F.pandas_udf(T.DoubleType())
@@ -47,6 +49,27 @@ def consensus_value(value: pd.Series, rank: pd.Series) -> float:
     return float(sorted(best)[len(best) // 2])
 
 
+def consensus_of(value: Column, rank: Column) -> Column:
+    """The aggregate of consensus_value as a Column: the list of a key's few values is folded where it lies, without Python. A missing value is NaN, as it is there."""
+    listed = F.array_sort(F.collect_list(F.struct((-rank).alias("r"), F.coalesce(value.cast("double"), F.lit(float("nan"))).alias("v"))))
+    upper = lambda c: F.get(F.array_sort(c), F.floor(F.size(c) / 2).cast("int"))
+
+    def near(v: Column, c: Column) -> Column:
+        return once(upper(c), lambda m: F.abs(v - m) / F.greatest(F.abs(m), F.lit(1.0)) <= 0.05)
+
+    def put(clusters: Column, x: Column) -> Column:
+        # Place of the first cluster that takes the value, from 1; 0 without any.
+        at = F.array_position(F.transform(clusters, lambda c: near(x["v"], c)), F.lit(True))
+        return once(at, lambda i: F.when(i == 0, F.concat(clusters, F.array(F.array(x["v"])))).otherwise(F.transform(clusters, lambda c, k: F.when(k == i - 1, F.concat(c, F.array(x["v"]))).otherwise(c))))
+
+    def folded(xs: Column) -> Column:
+        clusters = F.aggregate(xs, F.array().cast("array<array<double>>"), put)
+        best = F.array_max(F.transform(clusters, lambda c, k: F.struct(F.size(c).alias("n"), (-k).alias("first"), c.alias("c"))))
+        return once(best["c"], upper)
+
+    return once(listed, lambda xs: F.when(F.size(xs) == 1, F.get(xs, F.lit(0))["v"]).otherwise(folded(xs)))
+
+
 def register(spark: SparkSession) -> None:
     for f in (char_ratio, token_set_ratio, consensus_value):
         spark.udf.register(f.func.__name__, f)

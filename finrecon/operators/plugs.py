@@ -53,7 +53,7 @@ def x3(spark, sf_dir):
 @query("x4_consensus_aggregate")
 def x4(spark, sf_dir):
     rows = fixture(spark, sf_dir, "fx_obs").where("statement_type = 'consolidated'")
-    return rows.groupBy("company_id", "raw_label", "fy", "fq").agg(scorers.consensus_value(F.col("value"), rank_of(F.col("source"))).alias("value"))
+    return rows.groupBy("company_id", "raw_label", "fy", "fq").agg(scorers.consensus_of(F.col("value"), rank_of(F.col("source"))).alias("value"))
 
 
 def with_rules(w: DataFrame, rules: DataFrame) -> DataFrame:

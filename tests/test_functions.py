@@ -163,3 +163,15 @@ def test_unit_phrases(spark):
     phrases = {"(Lakhs)": 100.0, "(₹ lakhs)": 100.0, "Rs. in Crores": 1.0, "(₹ 000)": 10000.0, "'000": 10000.0, "INR in million": 10.0, "nothing": 1.0}
     rows = spark.createDataFrame(list(phrases.items()), "t string, d double").select("t", "d", texts.unit_divisor(F.col("t")).alias("got")).collect()
     assert all(r["d"] == r["got"] for r in rows)
+
+
+def test_consensus_in_columns(spark):
+    """The same values as the fold in Python, without Python in the plan."""
+    import random
+
+    draw = random.Random(5)
+    rows = [(k, draw.choice([1.0, 100.0, 102.0, 104.9, 107.0, 0.0, -50.0, -51.0]), draw.randrange(3)) for k in range(60) for _ in range(draw.randrange(1, 7))]
+    df = spark.createDataFrame(rows, "k int, v double, r int")
+    ours = df.groupBy("k").agg(scorers.consensus_of(F.col("v"), F.col("r")).alias("x"))
+    assert "Python" not in ours._jdf.queryExecution().toString()
+    assert dict(map(tuple, ours.collect())) == dict(map(tuple, df.groupBy("k").agg(scorers.consensus_value(F.col("v"), F.col("r")).alias("x")).collect()))
