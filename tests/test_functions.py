@@ -175,3 +175,13 @@ def test_consensus_in_columns(spark):
     ours = df.groupBy("k").agg(scorers.consensus_of(F.col("v"), F.col("r")).alias("x"))
     assert "Python" not in ours._jdf.queryExecution().toString()
     assert dict(map(tuple, ours.collect())) == dict(map(tuple, df.groupBy("k").agg(scorers.consensus_value(F.col("v"), F.col("r")).alias("x")).collect()))
+
+
+def test_words_come_from_one_array(spark, small):
+    """A branch for each word is code that the JVM does not compile; the fixtures of Spark have none."""
+    from finrecon.plans import fixtures, registry
+
+    for name in ("fx_raw_label", "fx_filed_page", "fx_filed_line", "fx_sheet", "fx_cover_page", "fx_company"):
+        assert fixtures.fixture(spark, small, name)._jdf.queryExecution().optimizedPlan().toString().count(" WHEN ") <= 1
+    joined = registry.queries()["l3_first_phrase"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in joined
