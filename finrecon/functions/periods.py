@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from finrecon.functions.once import once
+
 #: Quarter of the fiscal year by the first letters of a month; the year starts in April.
 QUARTER_OF = {"apr": 1, "may": 1, "jun": 1, "jul": 2, "aug": 2, "sep": 2, "oct": 3, "nov": 3, "dec": 3, "jan": 4, "feb": 4, "mar": 4}
 MONTHS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
@@ -15,6 +17,11 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.when(found != "", found)
 
 
+def _year(text: Column, pattern: str) -> Column:
+    """The full year of the pattern's group, null without a match; the pattern is tried once. An empty text is not cast: Spark makes an exception for each cast that fails, also for those it takes as null."""
+    return once(F.regexp_extract(text, pattern, 1), lambda d: F.when(d != "", full_year(d)))
+
+
 def full_year(digits: Column) -> Column:
     """Two digits below 50 are 20xx, others 19xx; four digits stay."""
     n = digits.try_cast("int")
@@ -44,13 +51,16 @@ def quarter(raw: Column) -> Column:
 
 def period(raw: Column, low: int = LOW, high: int = HIGH) -> Column:
     """Period text to Fyyyy, else to a quarter, else null. A span of years counts by its last year; a month with four digits is annual for March."""
-    t = F.lower(F.trim(raw))
-    direct = full_year(_part(t, r"^f\.?\s*y?\.?\s*'?(\d{4}|\d{2})$", 1))
-    span = full_year(_part(t, r"^(?:f\.?y\.?\s*)?\d{4}\s*[-/]\s*(\d{4}|\d{2})$", 1))
-    written = full_year(_part(t, r"march\s+31,?\s+(\d{4})", 1))
-    march = full_year(_part(t, r"^mar(?:ch)?[ ,-]*(\d{4})$", 1))
-    plain = full_year(_part(t, r"^(\d{4})$", 1))
-    year = F.coalesce(direct, span, written, march, F.when(plain.between(low, high), plain))
+
+    def of(t: Column) -> Column:
+        direct = _year(t, r"^f\.?\s*y?\.?\s*'?(\d{4}|\d{2})$")
+        span = _year(t, r"^(?:f\.?y\.?\s*)?\d{4}\s*[-/]\s*(\d{4}|\d{2})$")
+        written = _year(t, r"march\s+31,?\s+(\d{4})")
+        march = _year(t, r"^mar(?:ch)?[ ,-]*(\d{4})$")
+        plain = once(_year(t, r"^(\d{4})$"), lambda y: F.when(y.between(low, high), y))
+        return F.coalesce(direct, span, written, march, plain)
+
+    year = once(F.lower(F.trim(raw)), of)
     return F.coalesce(F.concat(F.lit("F"), year.cast("string")), quarter(raw))
 
 

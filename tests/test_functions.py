@@ -185,3 +185,11 @@ def test_words_come_from_one_array(spark, small):
         assert fixtures.fixture(spark, small, name)._jdf.queryExecution().optimizedPlan().toString().count(" WHEN ") <= 1
     joined = registry.queries()["l3_first_phrase"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in joined
+
+
+def test_statements_are_parsed_once(spark, small):
+    """Each text once as an array and once as an object; before, a filter ahead of explode parsed it again."""
+    from finrecon.plans import registry
+
+    plan = registry.queries()["src3_statement_json"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 3 and "size(" not in plan
