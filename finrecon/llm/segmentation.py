@@ -6,7 +6,7 @@ seed, the row's key, the place of the segment and the step: a row gives the same
 
 Pieces do not reach over the start of a run of spaces, so the lattice falls into segments, a run of spaces with the other characters after it, split further between ASCII characters
 that no piece holds side by side. The sums of each distinct
-segment are computed once per worker; a sampling step is then one binary search for all segments of a batch at once. A piece of rank r weighs
+segment are computed once per worker; a sampling step then tries the edges of one node for each segment, all segments of a batch at once. A piece of rank r weighs
 (1 + r) ** -alpha, since the vocabulary gives merge ranks; alpha sets how far samples stray from frequent pieces. Characters without a piece, and the space mark itself, become
 byte pieces, so decoding gives back every text exactly.
 
@@ -29,6 +29,8 @@ from finrecon.llm.tokens import KnownBytes, first_of, gathered
 
 MARK = "▁"
 ALPHA, STORED_EDGES = 1.0, 6_000_000
+#: Bits of a hash that are looked at before it is sought among those of the pieces.
+LEADING = 20
 NO_KEY = np.uint64(0xA0761D6478BD642F)
 ONLY_SPACE = np.zeros(256, bool)
 ONLY_SPACE[0x20] = True
@@ -38,7 +40,7 @@ class Lattices:
     """Backward edges of the lattices of distinct segments, end to end.
 
     Node numbers run over all segments. threshold holds v plus the cumulative
-    probability of its edges, so one search over all nodes draws an edge. Edge e takes its node back to before[e] and emits piece emit[e], or the bytes of a character."""
+    probability of its edges, and first its first edge, from which the few thresholds of the node are tried in turn. Edge e takes its node back to before[e] and emits piece emit[e], or the bytes of a character."""
 
     def __init__(self, model: str, alpha: float = ALPHA):
         import sentencepiece
@@ -63,6 +65,9 @@ class Lattices:
         hashes = ta.Words(all_, all_.offsets[:-1], all_.offsets[1:], np.arange(len(plain)), ta.SAME, len(all_.data)).hashes()
         order = np.argsort(hashes)
         self.piece_hash, self.piece_id = hashes[order], np.array(plain)[order]
+        #: The leading bits that hashes of pieces have; most substrings are no pieces, and their hashes are not sought.
+        self.leading = np.zeros(1 << LEADING, bool)
+        self.leading[self.piece_hash >> np.uint64(64 - LEADING)] = True
         self.piece_weight = -alpha * np.log(1.0 + np.array([max(min(-p.get_score(int(i)), n), 0) for i in self.piece_id]))
         #: Whether two ASCII bytes ever stand next to each other in a piece; other bytes always may.
         self.joined = np.ones((256, 256), bool)
@@ -79,6 +84,7 @@ class Lattices:
         self.end = np.zeros(0, np.int64)
         self.nodes = 0
         self.threshold, self.before, self.emit = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.first = np.zeros(0, np.int32)
         self.spelt_out: list[list[int]] = []
         self.spelt_of: dict[bytes, int] = {}
 
@@ -97,8 +103,10 @@ class Lattices:
             if not len(u):
                 break
             h = ta.Words(texts, char[u], char[u + k], of[u], ta.SAME, len(data)).hashes()
-            place = np.minimum(np.searchsorted(self.piece_hash, h), len(self.piece_hash) - 1)
-            found = self.piece_hash[place] == h
+            may = np.flatnonzero(self.leading[h >> np.uint64(64 - LEADING)])
+            place, found = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+            place[may] = np.minimum(np.searchsorted(self.piece_hash, h[may]), len(self.piece_hash) - 1)
+            found[may] = self.piece_hash[place[may]] == h[may]
             hit, ids = np.flatnonzero(found), self.piece_id[place[found]]
             size = char[u[hit] + k] - char[u[hit]]
             right = size == self.piece_size[ids]
@@ -140,6 +148,8 @@ class Lattices:
         inside = run - np.repeat(run[group] - share[group], np.diff(np.append(group, len(after))))
         last = np.append(group[1:], len(after)) - 1
         inside[last] = 1.0
+        edges = np.bincount(after, minlength=nodes)
+        self.first = np.concatenate([self.first, (len(self.threshold) + np.cumsum(edges) - edges).astype(np.int32)])
         self.threshold = np.concatenate([self.threshold, self.nodes + after + np.minimum(inside, 1.0)])
         self.before = np.concatenate([self.before, (self.nodes + before).astype(np.int32)])
         self.emit = np.concatenate([self.emit, piece.astype(np.uint32)])
@@ -191,7 +201,7 @@ class Lattices:
         step = 0
         while len(live):
             u = ta.uniform(seed[live] + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64)))
-            e = np.searchsorted(self.threshold, node[live] + u, side="right")
+            e = self.drawn(node[live], u)
             edges.append(e)
             of.append(live)
             node[live] = self.before[e]
@@ -212,6 +222,15 @@ class Lattices:
             ids[ids >= self.pieces] = [b for x in spelt for b in x]
         return ids, np.bincount(which, minlength=n).astype(np.int64)
 
+    def drawn(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The first edge whose threshold is above node + u, for each; nodes have few edges."""
+        x, e = node + u, self.first[node].astype(np.int64)
+        on = np.flatnonzero(self.threshold[e] <= x)
+        while len(on):
+            e[on] += 1
+            on = on[self.threshold[e[on]] <= x[on]]
+        return e
+
     def decoded(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids spell, with the space that encoding puts before a text."""
         return self.piece_bytes[gathered(self.piece_at[ids], self.piece_size[ids])]

@@ -860,3 +860,15 @@ def test_op2_against_the_vocabulary(spark, small):
         assert sums[r["doc_id"]] == (len(plain), zlib.crc32(np.array(plain, "<u4").tobytes()))
         spelt = b"".join(bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in plain)
         assert spelt == (" " + r["text"]).encode() if r["text"] else not plain
+
+
+def test_edges_are_drawn_at_their_nodes():
+    """The edge of a node and a number is the first whose threshold is above both, as a search among all thresholds gives it."""
+    lattices = segmentation.lattices_of(PIECES)
+    for _ in segmentation.encoded(pa.array(["several words, given twice", "žluťoučký kůň 🙂 x"]), segmentation.row_seeds(pa.array([1, 2]), 3), lattices):
+        pass
+    node = np.unique(np.floor(lattices.threshold[:-1]).astype(np.int64))
+    node = node[lattices.threshold[lattices.first[node]] <= node + 1]
+    for u in (0.0, 0.3, 0.999):
+        assert (lattices.drawn(node, np.full(len(node), u)) == np.searchsorted(lattices.threshold, node + u, side="right")).all()
+    assert lattices.leading[lattices.piece_hash >> np.uint64(64 - segmentation.LEADING)].all()
