@@ -84,13 +84,17 @@ def refused(candidates: DataFrame, filled: DataFrame) -> DataFrame:
     A label that is no total is refused for ``over_total`` if a year's value exceeds that of a filled total with which it shares a word, and any label for ``swing`` if a year differs from the one before by more than SWING. Labels meet
     totals on shared words within a company and year."""
     is_total = F.lower(F.col("label")).rlike("|".join(TOTALS))
-    ties = lambda df: df.withColumn("w", F.explode(F.array_except(_words(F.col("label")), F.array(*map(F.lit, LOOSE)))))
-    totals = ties(filled.where(is_total & (F.col("value") > 0))).groupBy("company_id", "fy", "w").agg(F.min("value").alias("total"))
-    over = ties(candidates.where(~is_total)).join(totals, ["company_id", "fy", "w"]).where(F.col("value") > F.col("total") * OVER_TOTAL).select("company_id", "label", F.lit("over_total").alias("reason"))
+    words = F.array_except(_words(F.col("label")), F.array(*map(F.lit, LOOSE)))
+    tied = filled.where(is_total & (F.col("value") > 0)).withColumn("w", F.explode(words)).groupBy("company_id", "fy", "w").agg(F.min("value").alias("total"))
+    totals = tied.groupBy("company_id", "fy").agg(F.map_from_entries(F.collect_list(F.struct("w", "total"))).alias("totals"))
+    limit = lambda w: F.try_element_at("totals", w) * OVER_TOTAL
+    over = F.when(~is_total & F.col("totals").isNotNull(), F.coalesce(F.exists(words, lambda w: F.col("value") > limit(w)), F.lit(False))).otherwise(F.lit(False))
+    judged = candidates.join(totals, ["company_id", "fy"], "left").select("company_id", "label", "fy", "value", over.alias("_over"))
     before = F.lag("value").over(Window.partitionBy("company_id", "label").orderBy("fy"))
     ratio = F.abs("value") / F.abs("_before")
-    swung = candidates.withColumn("_before", before).where((F.abs("_before") >= SWING_FROM) & ((ratio > SWING) | (ratio < 1 / SWING))).select("company_id", "label", F.lit("swing").alias("reason"))
-    return over.union(swung).groupBy("company_id", "label").agg(F.min("reason").alias("reason"))
+    swung = (F.abs("_before") >= SWING_FROM) & ((ratio > SWING) | (ratio < 1 / SWING))
+    reason = F.when(F.col("_over"), "over_total").when(swung, "swing")
+    return judged.withColumn("_before", before).groupBy("company_id", "label").agg(F.min(reason).alias("reason")).where("reason is not null")
 
 
 _V20_SQL = """with c as (select company_id, replace(concept, '_', ' ') as label, fy, value from fx_lines),

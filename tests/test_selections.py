@@ -46,3 +46,12 @@ def test_report_names(spark):
     assert [r["q"] for r in df.select(reports.result_quarter(F.col("t")).alias("q")).collect()] == [4, 1, None, 2, None]
     cells = spark.createDataFrame([("12",), ("300",), ("301",), ("0",), ("1,2",), ("7.0",), ("x",), (None,)], "t string")
     assert [r["n"] for r in cells.select(reports.note_cell(F.col("t")).alias("n")).collect()] == [True, True, False, False, True, False, False, False]
+
+
+def test_candidates_are_not_multiplied(spark):
+    """Candidates meet the totals of their year as one row each, not one for each word."""
+    rows = [(1, "total other income", 2020, 10.0), (1, "other interest income", 2020, 11.0), (1, "other income", 2020, 10.5), (1, "rent", 2020, 1.0), (1, "rent", 2021, 20.0), (1, "rent", 2022, None)]
+    df = spark.createDataFrame(rows, "company_id int, label string, fy int, value double")
+    found = guards.refused(df, df)
+    assert {tuple(r) for r in found.collect()} == {(1, "other interest income", "over_total"), (1, "rent", "swing")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
