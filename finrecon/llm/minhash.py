@@ -128,9 +128,12 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Exact overlap of the sets of each pair (a, b); linked tells whether the similarity reaches percent."""
-    withb = pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = withb.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+    """Exact overlap of the sets of each pair (a, b); linked tells whether the similarity reaches percent.
+
+    Sets of copies take little room where they are stored and much in memory, so Spark may take them for small; the joins must not send them to all tasks. The centres come first, while the rows of one that has many members are narrow."""
+    wide = sets.hint("merge")
+    witha = pairs.join(wide.select(F.col("doc").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = witha.join(wide.select(F.col("doc").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
     found = in_arrow(both, _overlaps, "a long, b long, shared long, n_a long, n_b long")
     return found.withColumn("linked", F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * percent)
 

@@ -872,3 +872,12 @@ def test_edges_are_drawn_at_their_nodes():
     for u in (0.0, 0.3, 0.999):
         assert (lattices.drawn(node, np.full(len(node), u)) == np.searchsorted(lattices.threshold, node + u, side="right")).all()
     assert lattices.leading[lattices.piece_hash >> np.uint64(64 - segmentation.LEADING)].all()
+
+
+def test_sets_are_not_broadcast(spark):
+    """Stored sets of copies look small; they are sorted and merged all the same."""
+    sets = spark.createDataFrame([(i, np.arange(i, i + 10, dtype=np.uint64).tobytes()) for i in range(4)], "doc long, shingles binary")
+    found = minhash.overlaps(spark.createDataFrame([(0, 1), (0, 3)], "a long, b long"), sets, 80)
+    assert sorted((r["a"], r["b"], r["shared"], r["linked"]) for r in found.collect()) == [(0, 1, 9, True), (0, 3, 7, False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
