@@ -8,33 +8,42 @@ from finrecon.functions import labels as lb
 from finrecon.plans.fixtures import fixture, oracle
 from finrecon.plans.registry import query
 
-# Equal quarters of a row that are too many, the least quarter columns and cells of a row that is judged, the difference under which scopes are equal, and how far a quarter may exceed its year.
-MOST_EQUAL, LEAST_QUARTERS, SAME_SCOPES, OVER_YEAR = 4, 3, 0.01, 1.5
+# Equal quarters of a row that are too many, the difference under which scopes are equal, and how far a quarter may exceed its year. A judged row has three quarters and its sheet three quarter columns at least.
+MOST_EQUAL, SAME_SCOPES, OVER_YEAR = 4, 0.01, 1.5
 # Slack of a component over its total, the least figure whose swing counts and the swing, words that mark totals and words that tie no labels.
 OVER_TOTAL, SWING_FROM, SWING, TOTALS, LOOSE = 1.05, 1.0, 10.0, ("total", "sum"), ("total", "sum", "of", "the")
 
-SHEET, ROW = ["company_id", "sheet"], ["company_id", "sheet", "scope", "label"]
+SHEET = ["company_id", "sheet"]
 
 
 def write_guards(cells: DataFrame) -> DataFrame:
     """cells (company_id, sheet, scope, label, period, value) with guard, the first that blanks the cell, else null, and value, null where one does.
 
-    1 ``duplicate_quarterly``: a value in MOST_EQUAL quarters of a row or more, of sheets and rows with LEAST_QUARTERS. 2 ``cons_eq_standalone``: the standalone cell where the consolidated one of its sheet, label and period is the same.
-    3 ``magnitude_too_high``: a quarter above OVER_YEAR times the largest year figure of the company's label in any sheet and scope. Each step sees what the ones before left; zeros and nulls take no part."""
-    quarter, filled = F.col("period").rlike(r"^[1-4]QF\d{4}$"), F.col("value").isNotNull() & (F.col("value") != 0)
-    live = quarter & filled
-    rows = cells.withColumns({"_q": live, "_r": F.round("value", 2), "_columns": F.size(F.collect_set(F.when(quarter, F.col("period"))).over(Window.partitionBy(*SHEET)))})
-    own, same = F.count_if("_q").over(Window.partitionBy(*ROW)), F.count_if("_q").over(Window.partitionBy(*ROW, "_r"))
-    first = rows.withColumn("_one", F.col("_q") & (F.col("_columns") >= LEAST_QUARTERS) & (own >= LEAST_QUARTERS) & (same >= MOST_EQUAL))
-    left = F.when(~F.col("_one") & (F.col("value") != 0), F.col("value"))
-    other = F.max(F.when(F.col("scope") == "consolidated", left)).over(Window.partitionBy(*SHEET, "label", "period"))
+    1 ``duplicate_quarterly``: a value in MOST_EQUAL quarters of a row or more, of sheets with three quarter columns. 2 ``cons_eq_standalone``: the standalone cell where the consolidated one of its sheet, label and period is the same.
+    3 ``magnitude_too_high``: a quarter above OVER_YEAR times the largest year figure of the company's label in any sheet and scope. Each step sees what the ones before left; zeros and nulls take no part.
+
+    All windows lie within companies and share two sorts; cells that are dealt by company are not shuffled."""
+    filled = F.col("value").isNotNull() & (F.col("value") != 0)
+    rows = cells.withColumn("_quarter", F.when(F.col("period").rlike(r"^[1-4]QF\d{4}$"), F.col("period"))).withColumn("_live", F.when(F.col("_quarter").isNotNull() & filled, F.round("value", 2)))
+    by_row = Window.partitionBy(*SHEET).orderBy("scope", "label", "_live")
+    sheet, equal = by_row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), by_row.rangeBetween(Window.currentRow, Window.currentRow)
+    spans = rows.withColumns({"_first": F.min("_quarter").over(sheet), "_last": F.max("_quarter").over(sheet), "_same": F.count("_live").over(equal), "_before": F.lag("label").over(by_row)})
+    # A quarter between the first and the last makes three columns; a row of MOST_EQUAL quarters has three of them.
+    between = F.bool_or((F.col("_quarter") > F.col("_first")) & (F.col("_quarter") < F.col("_last"))).over(sheet)
+    # A label is normalised at the first of its rows and carried on over the others.
+    named = F.last(F.when(~F.col("label").eqNullSafe(F.col("_before")), lb.normal(F.col("label"))), ignorenulls=True).over(by_row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    one = F.col("_live").isNotNull() & (F.col("_same") >= MOST_EQUAL) & F.coalesce("_between", F.lit(False))
+    year = F.when(F.col("_quarter").isNotNull(), F.concat(F.lit("F"), F.substring("_quarter", 4, 4))).otherwise(F.col("period"))
+    keys = {"_label": F.when(F.col("label").isNotNull(), F.col("_named")), "_year": year, "_live": F.col("_live").isNotNull(), "_one": one}
+    first = spans.withColumns({"_between": between, "_named": named}).select(*cells.columns, *(c.alias(k) for k, c in keys.items()))
+    left, by_year = F.when(~F.col("_one") & (F.col("value") != 0), F.col("value")), ["company_id", "_label", "_year"]
+    other = F.max(F.when(F.col("scope") == "consolidated", left)).over(Window.partitionBy(*by_year, "sheet", "label", "period"))
     second = first.withColumn("_two", ~F.col("_one") & F.coalesce((F.col("scope") == "standalone") & (F.abs(other - left) < SAME_SCOPES), F.lit(False)))
-    year = F.when(quarter, F.concat(F.lit("F"), F.regexp_extract("period", r"(\d{4})$", 1))).otherwise(F.col("period"))
     kept = ~F.col("_one") & ~F.col("_two")
-    annual = F.max(F.when(kept & filled & F.col("period").rlike(r"^F\d{4}$"), F.abs("value"))).over(Window.partitionBy("company_id", lb.normal(F.col("label")), year))
-    third = second.withColumn("_three", kept & F.col("_q") & F.coalesce(F.abs("value") > OVER_YEAR * annual, F.lit(False)))
-    guard = F.when(F.col("_one"), "duplicate_quarterly").when(F.col("_two"), "cons_eq_standalone").when(F.col("_three"), "magnitude_too_high")
-    return third.withColumn("guard", guard).withColumn("value", F.when(F.col("guard").isNull(), F.col("value"))).drop("_q", "_r", "_columns", "_one", "_two", "_three")
+    annual = F.max(F.when(kept & filled & F.col("period").rlike(r"^F\d{4}$"), F.abs("value"))).over(Window.partitionBy(*by_year))
+    three = kept & F.col("_live") & F.coalesce(F.abs("value") > OVER_YEAR * annual, F.lit(False))
+    guard = F.when(F.col("_one"), "duplicate_quarterly").when(F.col("_two"), "cons_eq_standalone").when(three, "magnitude_too_high")
+    return second.select(*cells.columns, guard.alias("guard")).withColumn("value", F.when(F.col("guard").isNull(), F.col("value")))
 
 
 def guard_counts(guarded: DataFrame) -> DataFrame:
@@ -55,13 +64,18 @@ V23_SQL = f"""with {_CELLS_SQL}, w as (select *, sheet = 'quarters' and value <>
 
 
 def _cells(spark, sf_dir) -> DataFrame:
-    """Quarters of a source with repeated figures for a third of the companies and equal ones of both scopes for another, and years that fall short of their quarters for half of them."""
+    """Quarters of a source with repeated figures for a third of the companies and equal ones of both scopes for another, and years that fall short of their quarters for half of them; dealt by company, in as many parts as shuffles have,
+    since the guards take much longer than the bytes of their input tell."""
     obs = fixture(spark, sf_dir, "fx_obs").where("source = 'xbrl'")
     value = F.when(F.col("company_id") % 3 == 0, F.floor(F.col("fy") / 3) * 1000.0).when((F.col("company_id") % 3 == 1) & (F.col("fq") == 2), 70000.0).otherwise(F.round("value", 2))
-    quarters = obs.select("company_id", F.lit("quarters").alias("sheet"), F.col("statement_type").alias("scope"), F.col("raw_label").alias("label"), F.concat(F.col("fq"), F.lit("QF"), F.col("fy")).alias("period"), "fy", value.alias("value"))
+    quarters = obs.select("company_id", F.col("statement_type").alias("scope"), F.col("raw_label").alias("label"), "fy", "fq", value.alias("value"))
+    dealt = quarters.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "company_id")
     total = F.sum(F.col("value").cast("decimal(20,2)")).cast("double") * F.when(F.col("company_id") % 2 == 0, 0.25).otherwise(1.0)
-    years = quarters.groupBy("company_id", F.lit("years").alias("sheet"), "scope", "label", F.concat(F.lit("F"), F.col("fy")).alias("period")).agg(total.alias("value"))
-    return quarters.drop("fy").union(years)
+    own = [c for n in range(1, 5) for c in (F.max(F.when(F.col("fq") == n, F.col("value"))).alias(f"value{n}"), F.count_if(F.col("fq") == n).alias(f"n{n}"))]
+    years = dealt.groupBy("company_id", "scope", "label", "fy").agg(total.alias("total"), *own)
+    cell = lambda sheet, prefix, value: F.struct(F.lit(sheet).alias("sheet"), "scope", "label", F.concat(F.lit(prefix), F.col("fy")).alias("period"), F.col(value).alias("value"))
+    cells = F.array(cell("years", "F", "total"), *(F.when(F.col(f"n{n}") > 0, cell("quarters", f"{n}QF", f"value{n}")) for n in range(1, 5)))
+    return years.select("company_id", F.inline(cells)).where("sheet is not null")
 
 
 @query("v23_ordered_guards", oracle(f"{V23_SQL} select company_id, sheet, scope, label, period, case when guard is null then value end as value, guard from g", "fx_obs"))

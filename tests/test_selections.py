@@ -41,6 +41,23 @@ def test_guards_see_what_is_left(spark):
     assert got["standalone", "sales (net)", "F2024"] == "cons_eq_standalone" and got["consolidated", "sales (net)", "F2024"] is None and got["standalone", "Other", "F2024"] is None
 
 
+def test_guards_share_their_sorts(spark, small):
+    """Cells are dealt by company once and sorted twice, whatever the number of guards' windows."""
+    plan = guards.v23_guards(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Sort [") == 2
+
+
+def test_guards_on_odd_cells(spark):
+    """Equal quarters count in sheets of three columns only; labels of one name meet over sheets and scopes, those that are null among themselves."""
+    four = lambda company, periods, label: [(company, "q", "standalone", label, p, 5.0) for p in periods]
+    rows = four(1, ["1QF2024", "1QF2024", "2QF2024", "2QF2024"], "Sales") + four(2, ["1QF2024", "1QF2024", "2QF2024", "2QF2024"], "Sales") + [(2, "q", None, "Other", "3QF2024", 0.0)]
+    rows += [(3, "a", "consolidated", "Sales", "1QF2024", 90.0), (3, "a", "standalone", None, "1QF2024", 90.0), (3, "b", "other", "Less: SALES", "F2024", -50.0), (3, "b", "other", None, "F2024", 70.0), (3, "b", "other", "Zero", "F2024", None)]
+    df = spark.createDataFrame(rows, "company_id int, sheet string, scope string, label string, period string, value double")
+    got = {(r["company_id"], r["label"], r["period"]): r["guard"] for r in guards.write_guards(df).collect()}
+    assert {got[1, "Sales", p] for p in ("1QF2024", "2QF2024")} == {None} and {got[2, "Sales", p] for p in ("1QF2024", "2QF2024")} == {"duplicate_quarterly"} and got[2, "Other", "3QF2024"] is None
+    assert got[3, "Sales", "1QF2024"] == "magnitude_too_high" and got[3, None, "1QF2024"] is None and got[3, "Less: SALES", "F2024"] is None
+
+
 def test_report_names(spark):
     df = spark.createDataFrame([("Q4FY25_Financial_Results.pdf",), ("Results for June 2024",), ("August",), ("H1 Oct",), (None,)], "t string")
     assert [r["q"] for r in df.select(reports.result_quarter(F.col("t")).alias("q")).collect()] == [4, 1, None, 2, None]
