@@ -646,6 +646,29 @@ def test_a_cluster_of_outliers_is_rejected(spark, rows, share, distance):
     assert out[rows - bad :].all() and out[: rows - bad].mean() <= 0.03 and all(abs(est[f"m{i}"]) < 0.5 for i in range(6))
 
 
+def test_a_concentration_step_is_a_small_plan(spark, tmp_path):
+    """The driver plans a step some ten times; its factor and distance are arrays, not a projection for each element."""
+    names = ", ".join(f"{f} double" for f in quality.FEATURES)
+    rows = spark.createDataFrame([("0/a", *map(float, np.random.default_rng(k).normal(size=6))) for k in range(40)], f"g string, {names}")
+    quality._factored(quality._moments(rows.withColumn("start", F.lit(1)))).write.parquet(f"{tmp_path}/e")
+    plan = quality._step(rows, spark.read.parquet(f"{tmp_path}/e"), True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Project") <= 15 and plan.count("Join") <= 3 and len(plan) < 16_000
+
+
+def test_factors_and_distances_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 6)) @ rng.normal(size=(6, 6)) + 3
+    rows = spark.createDataFrame([("0/a", 1, *map(float, v)) for v in x], "g string, start int, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    found = quality._factored(quality._moments(rows))
+    row, mean, c = found.first(), x.mean(axis=0), np.cov(x.T, bias=True) + np.diag(np.array(quality.RIDGE) ** 2)
+    lower = np.linalg.cholesky(c)
+    assert np.allclose(row["mean"], mean) and np.allclose(row["lower"], lower[np.tril_indices(6)])
+    assert np.allclose(row["inverse"], np.linalg.inv(lower).T[np.triu_indices(6)]) and np.isclose(row["det"], np.linalg.slogdet(c)[1])
+    met = rows.join(found.select("g", "mean", "inverse"), "g").select("f_length", quality._distance().alias("d2")).collect()
+    distance = np.einsum("ij,ij->i", x - mean, np.linalg.solve(c, (x - mean).T).T)
+    assert np.allclose([r["d2"] for r in sorted(met, key=lambda r: r["f_length"])], distance[np.argsort(x[:, 0])])
+
+
 def test_chi_squared():
     assert abs(quality.chi2_share(12.592, 6) - 0.95) < 1e-4 and abs(quality.chi2_quantile(0.5, 2) - 2 * math.log(2)) < 1e-9
 
