@@ -21,7 +21,7 @@ def number(raw: Column) -> Column:
 
 def site_number(raw: Column) -> Column:
     """As number, with a percent sign and inner spaces removed."""
-    return number(F.regexp_replace(raw, "[%\\s]", ""))
+    return number(F.translate(raw, "% \t\n\x0b\f\r", ""))
 
 
 def to_crore(value: Column, unit: Column) -> Column:

@@ -106,4 +106,4 @@ def quarter_of_text(text: Column) -> Column:
 
 def site_year(head: Column) -> Column:
     """Site headings: first four-digit year, else a trailing two-digit one; trailing twelve months have none."""
-    return F.when(~F.lower(head).rlike("ttm|trailing"), full_year(F.coalesce(_part(head, r"((?:19|20)\d{2})", 1), _part(head, r"(\d{2})\s*$", 1))))
+    return F.when(~F.lower(head).rlike("ttm|trailing"), F.coalesce(_year(head, r"((?:19|20)\d{2})"), _year(head, r"(\d{2})\s*$")))

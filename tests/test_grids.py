@@ -77,3 +77,23 @@ def test_blocks_meet_in_their_own_row(spark):
     found = grids.nested_blocks(spark.createDataFrame([(1, small), (1, other)], "doc long, body string"), "doc", "body")
     assert sorted(r["label"] for r in found.collect()) == list("abcdefg")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statements_stay_in_their_own_row(spark):
+    """Nothing is shuffled or sorted after a page is read, and cells before the first row of a table have columns."""
+    html = "<table><thead><tr><th></th><th>Mar 2020</th></tr></thead><tbody><tr><td>a</td><td>1</td></tr><tr><td>b +</td><td>2</td><td>3</td></tr></tbody></table>"
+    found = grids.statement_tables(pages(spark, html, html))
+    assert sorted((r["page_id"], r["label"], r["value"]) for r in found.collect()) == [(0, "a", 1.0), (0, "b", 2.0), (1, "a", 1.0), (1, "b", 2.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    # Each pattern of a year is tried once for a heading.
+    assert plan.count("(?:19|20)") == 1
+    loose = grids.html_tables(pages(spark, "<table><td>a<td colspan=2>b<td>c<tr><td>d</table>")).collect()[0]["cs"]
+    assert [(c["row"], c["col"], c["text"]) for c in loose] == [(0, 0, "a"), (0, 1, "b"), (0, 3, "c"), (1, 0, "d")]
+
+
+def test_hidden_parts_and_odd_tags(spark):
+    """Comments, scripts and styles hide tags up to their end, or nothing without one; a tag goes on to the next closing bracket."""
+    html = "a<!-- <table> --><style><td></style><SCRIPT><td></script ></SCRIPT>x<table><tr><td <b>>1<!---->2</td><!-- ><td>3<script>4<td>5<6"
+    cells = grids.html_tables(pages(spark, html)).collect()
+    assert [(r["tab"], [c["text"] for c in r["cs"]]) for r in cells] == [(5, [">1 2", "3 4", "5 6"])]
