@@ -97,3 +97,17 @@ def test_hidden_parts_and_odd_tags(spark):
     html = "a<!-- <table> --><style><td></style><SCRIPT><td></script ></SCRIPT>x<table><tr><td <b>>1<!---->2</td><!-- ><td>3<script>4<td>5<6"
     cells = grids.html_tables(pages(spark, html)).collect()
     assert [(r["tab"], [c["text"] for c in r["cs"]]) for r in cells] == [(5, [">1 2", "3 4", "5 6"])]
+
+
+def test_blocks_behind_many_items_and_levels(spark, small):
+    """With no bound of items the whole list is looked at, as the query does; depth can be said as well."""
+    block = '{"a":{"2024":1},"b":{"2024":2},"c":{"2024":3}}'
+    long, deep = "[" + "0," * 50 + f"{block}]", block
+    for _ in range(8):
+        deep = f'{{"k":{deep}}}'
+    df = spark.createDataFrame([(1, long), (2, deep)], "doc long, body string")
+    labels = lambda found: sorted((r["doc"], r["label"]) for r in found.collect())
+    assert labels(grids.nested_blocks(df, "doc", "body", items=None)) == [(1, k) for k in "abc"]
+    assert labels(grids.nested_blocks(df, "doc", "body", items=51, deepest=8)) == [(d, k) for d in (1, 2) for k in "abc"]
+    assert labels(grids.nested_blocks(df, "doc", "body")) == []
+    assert f", 1, {grids.ITEMS})" not in grids.src9(spark, small)._jdf.queryExecution().analyzed().toString()
